@@ -37,8 +37,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z only; other scripts stay as they are. NULL counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """A-Z only; other scripts stay as they are. NULL counts as empty. Pure ASCII texts take the faster way."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def spaced(text: Column) -> Column:
