@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglens.llm import decontaminate, secrets, simhash
+from loglens.llm import decontaminate, licenses, secrets, simhash
 from loglens.llm.common import table
 
 
@@ -15,8 +15,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op8_secrets": secrets.op8_secrets, "op10_decontaminate": decontaminate.op10_decontaminate}
+    return {"op2_simhash": op2_simhash, "op7_licenses": licenses.op7_licenses, "op8_secrets": secrets.op8_secrets, "op10_decontaminate": decontaminate.op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_secrets": secrets.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+    return {"op7_licenses": licenses.OP7_SQL, "op8_secrets": secrets.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
