@@ -21,9 +21,9 @@ BROADCAST_TERMS = 200_000
 
 
 def forward_index(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) -> stored (row_id, doc_id, n_words, body); row_id tells rows with equal doc_id apart."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id"), spaced(F.col("text")).alias("body"))
-    return stored(rows.select("row_id", "doc_id", n_words(F.col("body")).alias("n_words"), "body"), "forward")
+    """docs (doc_id, text, ...) -> stored (row_id, doc_id, text_key, n_words, body); row_id tells rows with equal doc_id apart."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id"), F.xxhash64("text").alias("text_key"), spaced(F.col("text")).alias("body"))
+    return stored(rows.select("row_id", "doc_id", "text_key", n_words(F.col("body")).alias("n_words"), "body"), "forward")
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -98,7 +98,7 @@ def proximity_matches(index: DataFrame, queries: DataFrame, span: int) -> DataFr
 
 
 def contamination(index: DataFrame, items: DataFrame) -> DataFrame:
-    """(row_id, doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row per row of the index.
+    """(row_id, doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated), a row per row of the index.
 
     NULL and empty texts have no words and no hits. Items without words match nothing; an item_id that is NULL counts its
     hits but is not listed. Repeated rows each get a row; rows of equal doc_id with different texts are judged apart.
@@ -108,15 +108,15 @@ def contamination(index: DataFrame, items: DataFrame) -> DataFrame:
         F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", "end"))))).cast("long").alias("n_hit"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
     )
-    out = index.select("row_id", "doc_id", "n_words").join(hits, "row_id", "left")
+    out = index.select("row_id", "doc_id", "text_key", "n_words").join(hits, "row_id", "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select("row_id", "doc_id", "n_words", hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    return out.select("row_id", "doc_id", "text_key", "n_words", hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = forward_index(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return contamination(index, table(spark, sf_dir, "benchmark", "item_id", "text")).drop("row_id")
+    return contamination(index, table(spark, sf_dir, "benchmark", "item_id", "text")).drop("row_id", "text_key")
 
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglens.llm import decontaminate, licenses, secrets, simhash
-from loglens.llm.common import table
-
-
-def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).drop("fp")
+import corpus_pipeline
+from loglens.llm import decontaminate, langid, licenses, pieces, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op7_licenses": licenses.op7_licenses, "op8_secrets": secrets.op8_secrets, "op10_decontaminate": decontaminate.op10_decontaminate}
+    return {
+        "op1_langid": langid.op1_langid,
+        "op2_simhash": simhash.op2_simhash,
+        "op6_sentencepiece": pieces.op6_sentencepiece,
+        "op7_licenses": licenses.op7_licenses,
+        "op8_secrets": secrets.op8_secrets,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

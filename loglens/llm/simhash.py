@@ -19,10 +19,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm.common import stored
+from loglens.llm.common import stored, table
 from loglens.llm.components import components
 
 SHINGLE, SEED = 4, 42
@@ -54,12 +54,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values)], names=["doc_id", "text_key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, fp bigint), a row per row; whole texts."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """docs (doc_id, text, ...) -> (doc_id, text_key, fp bigint), a row per row; whole texts. text_key: a hash of the text."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key")).mapInArrow(_fingerprints, "doc_id long, text_key long, fp long")
 
 
 def _box(x: Column, k: int) -> Column:
@@ -152,16 +152,21 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, fingerprint, component_id, fp).
+    """docs (doc_id, text, ...) -> (doc_id, fingerprint, component_id, text_key, root).
 
     A row per row of docs, repeats included. fingerprint: 16 hex digits; component_id: the smallest doc_id reachable over
     links of at most TAU differing bits (NULL only if every doc_id of the component is NULL). NULL, empty and wordless
     texts share the fingerprint zero and are linked like others. An empty table gives no rows; other columns are ignored.
+    root, a fingerprint, names the component even where doc_ids repeat.
     """
     fps = stored(fingerprints(docs), "fingerprints")
     own = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fps")
     roots = components(links(own.select("fp"))).withColumnRenamed("node", "fp")
     of = own.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = of.join(least, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+    of = of.join(least, "root").select("fp", "component_id", "root")
+    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key", "root")
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_key", "root")
