@@ -7,20 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loglens.llm import decontaminate, langid, licenses, pieces, secrets, simhash
+from loglens.llm import chat, decontaminate, langid, licenses, pieces, pii, quality, secrets, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": langid.op1_langid,
         "op2_simhash": simhash.op2_simhash,
+        "op3_pii": pii.op3_pii,
+        "op4_warc": warc.op4_warc,
+        "op5_quality": quality.op5_quality,
         "op6_sentencepiece": pieces.op6_sentencepiece,
         "op7_licenses": licenses.op7_licenses,
         "op8_secrets": secrets.op8_secrets,
+        "op9_chat": chat.op9_chat,
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_licenses": licenses.OP7_SQL, "op8_secrets": secrets.OP8_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+    return {
+        "op4_warc": warc.OP4_SQL,
+        "op7_licenses": licenses.OP7_SQL,
+        "op8_secrets": secrets.OP8_SQL,
+        "op9_chat": chat.OP9_SQL,
+        "op10_decontaminate": decontaminate.OP10_SQL,
+    }
