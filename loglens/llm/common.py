@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,10 @@ def words(spaced_text: Column) -> Column:
 
 def n_words(spaced_text: Column) -> Column:
     return F.when(spaced_text == "", F.lit(0)).otherwise(F.length(spaced_text) - F.length(F.replace(spaced_text, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
+def release() -> None:
+    """Gives freed memory of a Python worker back to the system; workers are reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

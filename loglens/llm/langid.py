@@ -193,11 +193,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Network([])
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, n / sum(counts.values()))])
+    # about 1.5 times as many rows as wanted pass a threshold by hash, as many of each language; the first of them are taken
+    even = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, n * len(counts) / (1.5 * sample + 64))])
     draw = lambda seed: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     place = (draw(1) * F.greatest(F.length("text") - EXCERPT, F.lit(0))).cast("int") + 1
-    drawn = rows.where(F.rlike("text", F.lit(r"\p{L}"))).select("lang", F.substring("text", place, F.lit(EXCERPT)).alias("text"), (draw(0) * F.element_at(share, F.col("lang"))).alias("u"), "doc_id")
-    got = drawn.orderBy("u", "doc_id", "text").limit(sample).collect()
+    passed = rows.withColumn("u", draw(0) * F.element_at(even, F.col("lang"))).where((F.col("u") < 1) & F.rlike("text", F.lit(r"\p{L}")))
+    got = passed.select("u", "doc_id", "lang", F.substring("text", place, F.lit(EXCERPT)).alias("text")).orderBy("u", "doc_id", "text").limit(sample).collect()
     langs = sorted({r.lang for r in got})
     net = Network(langs)
     if langs:
@@ -210,11 +211,13 @@ def predict(docs: DataFrame, net: Network, carry: tuple[str, ...] = ("doc_id",))
 
     NULL texts and texts without a letter get UNKNOWN and score 0, as does everything if the network knows no language.
     """
-    made = docs.select(*carry, F.col("text").cast("string").alias("_text"), F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)).alias("_letter"))
+    at = carry.index("text") if "text" in carry else len(carry)
+    own = [] if "text" in carry else [F.col("text").cast("string").alias("_text")]
+    made = docs.select(*carry, *own, F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)).alias("_letter"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = batch.column(len(carry)), batch.column(len(carry) + 1).to_pylist()
+            texts, keep = batch.column(at), batch.column(batch.num_columns - 1).to_pylist()
             names, scores = [UNKNOWN] * len(keep), [0.0] * len(keep)
             group: list[tuple[int, bytes]] = []
             held = 0

@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm.common import stored, table
+from loglens.llm.common import release, stored, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONG, BLOCK_CHARS, MASK = 100, 24_000_000, 48
+LONG, BLOCK_CHARS, MASK, PART_UNITS = 100, 16_000_000, 60, 40_000
+HASH_KEYS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 SPACE = "▁"
 LETTERS = "A-Za-zÀ-ɏ"
-MAX_PIECES = 1_000_000
+MAX_PIECES, ID_BITS, NONE = 1_000_000, 20, 1 << 40
+SETS = "array<struct<set:bigint,bits:bigint>>"
 NORMAL, USER_DEFINED, BYTE, UNIGRAM, BPE = 1, 4, 6, 1, 2
 
 
@@ -118,33 +120,56 @@ def segment(unit: str, model: Model, index: dict[str, tuple[int, float]]) -> lis
 
 
 def lattice(units: DataFrame, model: Model) -> DataFrame:
-    """Distinct units (unit) of at most LONG characters -> (unit, edges): edges is a map from start * (LONG + 1) + end to
-    (id, score) of the piece between; units without any piece have an empty map."""
-    spark = units.sparkSession
-    pieces = F.broadcast(spark.createDataFrame(list(model.pieces), "piece string, id int, score double"))  # at most MAX_PIECES rows
-    starts = F.sequence(F.lit(0), F.length("unit") - 1)
-    ends = lambda s: F.sequence(s + 1, F.least(s + model.longest, F.length("unit")))
-    spans = F.flatten(F.transform(starts, lambda s: F.transform(ends(s), lambda e: F.struct((s * (LONG + 1) + e).alias("at"), F.substring("unit", s + 1, e - s).alias("piece")))))
-    edges = units.select("unit", F.explode(spans).alias("x")).select("unit", "x.at", "x.piece").join(pieces, "piece")
-    grouped = edges.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("score", "id")))).alias("edges"))
-    return units.join(grouped, "unit", "left").select("unit", F.coalesce("edges", F.create_map().cast("map<int,struct<score:double,id:int>>")).alias("edges"))
+    """Distinct units (unit) of at most LONG characters -> (unit, edges): edges is a map from start * (LONG + 1) + end to the
+    piece between, as (score, id) for a unigram model and as rank << ID_BITS | id for a BPE one, rank 0 being the best
+    score. The first character always stands in the map, as NULL if it is no piece.
+
+    With units partitioned by unit, neither the join (the piece table is broadcast, it has at most MAX_PIECES rows) nor the
+    grouping moves anything.
+    """
+    ranks = {score: k for k, score in enumerate(sorted({s for *_, s in model.pieces}, reverse=True))}
+    packed = [(p, float(s), k, (ranks[s] << ID_BITS) | k) for p, k, s in model.pieces]
+    value = "struct(score, id)" if model.kind == UNIGRAM else "packed"
+    pieces = F.broadcast(units.sparkSession.createDataFrame(packed, "piece string, score double, id int, packed bigint").select("piece", F.expr(value).alias("value")))
+    n = F.length("unit")
+    starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = starts.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("s")))).alias("l"))
+    cells = spans.select("unit", (F.col("s") * (LONG + 1) + F.col("s") + F.col("l")).alias("at"), F.substring("unit", F.col("s") + 1, F.col("l")).alias("piece"))
+    edges = cells.join(pieces, "piece", "left").where(F.col("value").isNotNull() | (F.col("at") == 1)).select("unit", F.struct("at", "value").alias("e"))
+    return edges.groupBy("unit").agg(F.collect_list("e").alias("e")).select("unit", F.map_from_entries("e").alias("edges"))
 
 
 def _edge(start: Column, end: Column) -> Column:
     return F.try_element_at("edges", start * (LONG + 1) + end)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def merge_fold() -> Column:
-    """Boundaries of a BPE segmentation: each step joins the adjacent pair whose piece scores best, leftmost on ties."""
+    """Boundaries of a BPE segmentation: each step joins the adjacent pair whose piece scores best, leftmost on ties.
+
+    The state holds the boundaries and the rank of each adjacent pair (NONE: no piece); a step looks up the two pairs that
+    it changes and finds the best by array functions alone.
+    """
     n = F.length("unit")
+    none = F.lit(NONE).cast("long")
+    score = lambda s, e: F.coalesce(F.shiftright(_edge(s, e), ID_BITS), none)
+    empty = F.array().cast("array<bigint>")
+    first = F.struct(F.sequence(F.lit(0), n).alias("b"), F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda k: score(k, k + 2))).otherwise(empty).alias("sc"))
+
+    def join(acc: Column, i: Column) -> Column:
+        b, sc = acc["b"], acc["sc"]
+        left = F.when(i > 1, F.array(score(F.get(b, i - 2), F.get(b, i + 1)))).otherwise(empty)
+        right = F.when(i < F.size(sc), F.array(score(F.get(b, i - 1), F.get(b, i + 2)))).otherwise(empty)
+        return F.struct(F.concat(F.slice(b, F.lit(1), i), F.slice(b, i + 2, F.lit(1 << 20))).alias("b"), F.concat(F.slice(sc, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(sc, i + 2, F.lit(1 << 20))).alias("sc"))
 
     def step(acc: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(acc) - 3), lambda i: F.struct(_edge(F.get(acc, i), F.get(acc, i + 2))["score"].alias("score"), (-i).alias("i")))
-        joined = lambda b: F.concat(F.slice(acc, 1, 1 - b["i"]), F.slice(acc, 3 - b["i"], F.size(acc)))
-        best = lambda b: F.when(b["score"].isNull(), acc).otherwise(joined(b))
-        return F.when(F.size(acc) < 3, acc).otherwise(F.get(F.transform(F.array(F.array_max(pairs)), best), F.lit(0)))
+        return _let(F.array_min(acc["sc"]), lambda best: F.when(best < NONE, _let(F.array_position(acc["sc"], best).cast("int"), lambda i: join(acc, i))).otherwise(acc))
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
+    return F.aggregate(F.sequence(F.lit(1), n), first, step, lambda acc: acc["b"])
 
 
 def viterbi_fold(model: Model) -> Column:
@@ -168,46 +193,70 @@ def viterbi_fold(model: Model) -> Column:
 
 
 def lexicon(units: DataFrame, model: Model) -> DataFrame:
-    """Distinct non-empty units (unit) -> (unit, ids array<int>)."""
-    short = lattice(units.where(F.length("unit") <= LONG), model)
-    bounds = short.select("unit", "edges", (merge_fold() if model.kind == BPE else viterbi_fold(model)).alias("bounds"))
+    """Distinct non-empty units (unit, sets) -> (unit, sets, ids array<int>); sets is carried along."""
+    short = units.where(F.length("unit") <= LONG)
+    bounds = lattice(short, model).select("unit", "edges", (merge_fold() if model.kind == BPE else viterbi_fold(model)).alias("bounds"))
     byte_ids = F.array(*[F.lit(k) for k in model.byte_ids])
+    own = lambda i: _edge(F.get("bounds", i), F.get("bounds", i + 1))
+    own_id = (lambda i: own(i)["id"]) if model.kind == UNIGRAM else (lambda i: own(i).bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long")).cast("int"))
 
     def fallback(s: Column) -> Column:
         code = F.hex(F.encode(F.substring("unit", s + 1, F.lit(1)), "UTF-8"))
         return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda i: F.get(byte_ids, F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int")))
 
-    def ids(i: Column) -> Column:
-        own = _edge(F.get("bounds", i), F.get("bounds", i + 1))
-        return F.when(own.isNotNull(), F.array(own["id"])).otherwise(fallback(F.get("bounds", i)))
-
-    made = bounds.select("unit", F.flatten(F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), ids)).alias("ids"))
+    known = bounds.select("unit", "bounds", F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), lambda i: F.coalesce(own_id(i), F.lit(-1))).alias("ids"))
+    spelled = F.flatten(F.transform("ids", lambda x, i: F.when(x < 0, fallback(F.get("bounds", i))).otherwise(F.array(x))))
+    made = known.select("unit", F.when(F.array_contains("ids", -1), spelled).otherwise(F.col("ids")).alias("ids"))
+    made = short.join(made.hint("shuffle_hash"), "unit").select("unit", "sets", "ids")
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {p: (k, s) for p, k, s in model.pieces}
         for batch in batches:
             own = [segment(u, model, index) for u in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], names=["unit", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int32()))], names=["unit", "sets", "ids"])
+
+    return made.unionByName(units.where(F.length("unit") > LONG).select("unit", "sets").mapInArrow(plain, f"unit string, sets {SETS}, ids array<int>"))
+
 
-    return made.unionByName(units.where(F.length("unit") > LONG).select("unit").mapInArrow(plain, "unit string, ids array<int>"))
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, row_id, text) -> (block, packed): the rows of a block in a batch, compressed."""
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        order = np.argsort(block, kind="stable")
+        names, first = np.unique(block[order], return_index=True)
+        packed = []
+        for rows in np.split(order, first[1:]):
+            sink = pa.BufferOutputStream()
+            own = batch.select([1, 2]).take(pa.array(rows))
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(own)
+            packed.append(sink.getvalue().to_pybytes())
+        if packed:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(packed, pa.binary())], names=["block", "packed"])
 
 
 def _assembler(cut: str):
     rx = re.compile(cut)
 
     def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-        lists = words.column("ids").combine_chunks()
-        offsets, flat = lists.offsets.to_numpy().tolist(), np.asarray(lists.values, dtype=np.int32).tobytes()
-        known = {u: flat[4 * a : 4 * b] for u, a, b in zip(words.column("unit").to_pylist(), offsets, offsets[1:], strict=False)}
-        known[""] = b""
-        parts, ends = [], [0]
-        for text in docs.column("text"):
-            text = text.as_py() or ""
-            own = b"".join([known[u] for u in rx.split(SPACE + text.replace(" ", SPACE))]) if text else b""
-            parts.append(own)
-            ends.append(ends[-1] + len(own) // 4)
-        ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
-        return pa.table({"row_id": docs.column("row_id"), "ids": ids.cast(pa.list_(pa.int32()))})
+        known = {"": b""}
+        for batch in words.to_batches(max_chunksize=50_000):
+            lists = batch.column(batch.schema.get_field_index("ids"))
+            ends, flat = lists.offsets.to_numpy(), np.asarray(lists.values, dtype=np.int32).tobytes()
+            for unit, a, b in zip(batch.column(batch.schema.get_field_index("unit")).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                known[unit] = flat[4 * a : 4 * b]
+        rows, ids, ends = [], bytearray(), [0]
+        for packed in docs.column("packed"):
+            batch = pa.ipc.open_stream(packed.as_buffer()).read_all()
+            rows.append(batch.column("row_id").combine_chunks())
+            for text in batch.column("text"):
+                if text := text.as_py():
+                    ids += b"".join([known[u] for u in rx.split(SPACE + text.replace(" ", SPACE))])
+                ends.append(len(ids) // 4)
+        del known
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+        release()
+        return pa.table({"row_id": pa.concat_arrays(rows) if rows else pa.array([], pa.int64()), "ids": lists})
 
     return assemble
 
@@ -217,18 +266,27 @@ def encode(rows: DataFrame, model: Model) -> DataFrame:
 
     row_id names a row in the result and spreads rows over blocks; it may repeat.
     """
-    own = rows.select("row_id", F.col("text").cast("string").alias("text"))
+    spark = rows.sparkSession
+    own = rows.select(F.col("row_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text"))
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = -(-chars // BLOCK_CHARS) or 1
-    own = own.withColumn("block", F.pmod(F.xxhash64("row_id", "text"), F.lit(n_blocks)).cast("int"))
+    own = own.select(F.pmod(F.xxhash64("row_id", "text"), F.lit(n_blocks)).cast("int").alias("block"), "row_id", "text")
     units = own.select("block", F.explode(F.split(marked(F.col("text")), model.cut, -1)).alias("unit")).where("unit <> ''")
     # which blocks hold a unit: a bit each, MASK blocks a row
     held = units.groupBy("unit", F.expr(f"block div {MASK}").alias("set")).agg(F.bit_or(F.expr(f"shiftleft(1L, block % {MASK})")).alias("bits"))
     held = stored(held, "units")
-    known = stored(lexicon(held.select("unit").distinct(), model), "lexicon")
-    bits = F.filter(F.sequence(F.lit(0), F.lit(MASK - 1)), lambda k: F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0)
-    words = held.join(known, "unit").select("unit", "ids", F.explode(bits).alias("k"), "set").select((F.col("set") * MASK + F.col("k")).cast("int").alias("block"), "unit", "ids")
-    return own.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assembler(model.cut), "row_id long, ids array<int>")
+    n_parts = max(1, -(-held.count() // PART_UNITS))
+    before = spark.conf.get(HASH_KEYS)
+    spark.conf.set(HASH_KEYS, str(8 * PART_UNITS))  # a task groups PART_UNITS units in memory without sorting their edges
+    try:
+        distinct = held.repartition(n_parts, "unit").groupBy("unit").agg(F.collect_list(F.struct("set", "bits")).alias("sets"))
+        known = stored(lexicon(distinct, model), "lexicon")
+    finally:
+        spark.conf.set(HASH_KEYS, before)
+    bits = lambda x: F.filter(F.sequence(F.lit(0), F.lit(MASK - 1)), lambda k: x["bits"].bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0)
+    blocks = F.flatten(F.transform("sets", lambda x: F.transform(bits(x), lambda k: (x["set"] * MASK + k).cast("int"))))
+    words = known.select(F.explode(blocks).alias("block"), "unit", "ids")
+    return own.mapInArrow(_pack, "block int, packed binary").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assembler(model.cut), "row_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
