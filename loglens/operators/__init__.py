@@ -1 +1,13 @@
 """Relational operators over normalized log tables."""
+
+from pyspark.sql import DataFrame
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: a reliable checkpoint in the shared folder if the session names one, else kept in memory and
+    on disk. For loops and for results that several plans read."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    df = df.persist()
+    df.count()
+    return df

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglens.operators import settled
+
 DAY = 86400
 
 
@@ -191,7 +193,7 @@ def branch_paths(nodes: DataFrame) -> DataFrame:
     Each round doubles the distance walked, so a path of n nodes takes log2(n) joins, and a cycle shows as a distance that
     no path can have. Conversations with a cycle or a parent that is missing are left out.
     """
-    tree = nodes.select("conv_id", "node", "parent")
+    tree = settled(nodes.select("conv_id", "node", "parent"))
     size = tree.groupBy("conv_id").agg(F.count("*").alias("n"))
     known = tree.select("conv_id", F.col("node").alias("parent"))
     dangling = tree.where(F.col("parent").isNotNull()).join(known, ["conv_id", "parent"], "left_anti").select("conv_id").distinct()
@@ -202,9 +204,9 @@ def branch_paths(nodes: DataFrame) -> DataFrame:
     while walked < most:
         hop = step.where(F.col("d") == walked).select("conv_id", F.col("node").alias("above"), F.col("above").alias("top"), F.col("d").alias("d2"))
         far = up.join(hop, ["conv_id", "above"]).select("conv_id", "node", F.col("top").alias("above"), (F.col("d") + F.col("d2")).alias("d"))
-        up = up.unionByName(far).distinct()
+        up = settled(up.unionByName(far).distinct())
         step, walked = up, walked * 2
     cyclic = up.where(F.col("node") == F.col("above")).select("conv_id").distinct()
     leaves = tree.select("conv_id", F.col("node").alias("leaf")).join(tree.select("conv_id", F.col("parent").alias("leaf")), ["conv_id", "leaf"], "left_anti").join(cyclic, "conv_id", "left_anti")
     own = leaves.select("conv_id", "leaf", F.col("leaf").alias("node"), F.lit(0).alias("depth"))
-    return own.unionByName(leaves.join(up.withColumnRenamed("node", "leaf"), ["conv_id", "leaf"]).select("conv_id", "leaf", F.col("above").alias("node"), F.col("d").alias("depth")))
+    return settled(own.unionByName(leaves.join(up.withColumnRenamed("node", "leaf"), ["conv_id", "leaf"]).select("conv_id", "leaf", F.col("above").alias("node"), F.col("d").alias("depth"))))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglens.functions import text as T
-from loglens.operators import sequence
+from loglens.operators import sequence, settled
 from loglens.sources import jsonl as J
 from loglens.sources.config import EXPORT_PROJECTS, Config, locate
 
@@ -88,7 +88,8 @@ def claude_code(parts: Parts, cfg: Config) -> None:
     bad(typed.where("ts IS NULL"))
     inside = typed.where(F.col("ts").between(cfg.cut, cfg.now)).withColumn("session", J.shown("$.sessionId")).withColumn("ok", F.col("session").isNotNull() & J.is_object("$.message"))
     bad(inside.where("NOT ok"))
-    rows = inside.where("ok").select("type", "ts", "session", "j", "line", _ord(), J.shown("$.cwd").alias("cwd"), J.shown("$.entrypoint").alias("surface"), F.lit(agent).alias("agent")).persist()
+    rows = inside.where("ok").select("type", "ts", "session", "j", "line", _ord(), J.shown("$.cwd").alias("cwd"), J.shown("$.entrypoint").alias("surface"), F.lit(agent).alias("agent"))
+    rows = settled(rows)
     parts.add("seen", rows.select("agent", "session", "ts", "cwd", "surface", F.lit(False).alias("auto"), "ord"))
 
     replies = rows.where("type = 'assistant'").withColumn("mid", F.coalesce(J.shown("$.message.id"), J.shown("$.uuid"), F.to_json("j")))
@@ -161,7 +162,8 @@ def codex(parts: Parts, cfg: Config) -> None:
     context = F.when(F.col("type") == "turn_context", F.struct(J.shown("$.payload.model").alias("model"), J.shown("$.payload.effort").alias("effort")))
     turn_cwd = F.when(F.col("type") == "turn_context", J.shown("$.payload.cwd"))
     events = events.withColumn("ctx", sequence.carried(context, ["session"], order)).withColumn("turn", sequence.carried(turn_cwd, ["session"], order))
-    events = events.join(info, "session").withColumn("cwd", F.coalesce("turn", "meta_cwd")).select("session", "ts", F.col("o").alias("ord"), "type", "pt", "j", "canon", "cwd", "meta_cwd", F.col("ctx.model").alias("model"), F.col("ctx.effort").alias("effort"), "surface", "auto", F.lit(agent).alias("agent")).persist()
+    events = events.join(info, "session").withColumn("cwd", F.coalesce("turn", "meta_cwd")).select("session", "ts", F.col("o").alias("ord"), "type", "pt", "j", "canon", "cwd", "meta_cwd", F.col("ctx.model").alias("model"), F.col("ctx.effort").alias("effort"), "surface", "auto", F.lit(agent).alias("agent"))
+    events = settled(events)
 
     calls = events.where(inside & (F.col("type") == "response_item") & F.col("pt").isin("function_call", "custom_tool_call")).withColumn("call", F.coalesce(J.shown("$.payload.call_id"), F.col("canon")))
     calls = sequence.first_by(calls, ["session", "call"], ["ts", "ord"])
@@ -176,7 +178,8 @@ def codex(parts: Parts, cfg: Config) -> None:
     cands = cands.where((F.col("text") != "") & ~_starts(F.col("text"), INJECTED)).withColumn("id", F.xxhash64("session", "canon"))
     left = history.withColumn("key", T.strip(F.col("text"))).withColumn("id", F.concat(F.lit("h"), F.col("id").cast("string")))
     right = cands.select("session", F.col("text").alias("key"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("id"), "ts", "cwd", "ord")
-    pairs = sequence.greedy_matches(left.select("session", "key", "id", "ts"), right.select("session", "key", "id", "ts"), ["session", "key"], 5.0).persist()
+    pairs = sequence.greedy_matches(left.select("session", "key", "id", "ts"), right.select("session", "key", "id", "ts"), ["session", "key"], 5.0)
+    pairs = settled(pairs)
     contexts = events.where("type = 'turn_context'").select("session", "ts", F.struct("cwd").alias("at"), F.row_number().over(Window.partitionBy("session").orderBy(*order[:1], "ord")).alias("ord"))
     placed = sequence.asof(left.select("session", "ts", "id", "key"), contexts, ["session"], "ts", "at")
     placed = placed.join(pairs.select("session", F.col("left_id").alias("id"), "right_id"), ["session", "id"], "left").join(right.select("session", F.col("id").alias("right_id"), F.struct("cwd").alias("own")), ["session", "right_id"], "left").join(info, "session")
@@ -317,7 +320,7 @@ def chatgpt(parts: Parts, cfg: Config, convs: DataFrame) -> None:
     nodes = convs.select("k", "cid", J.shown("$.current_node").alias("current"), J.seconds("$.create_time").alias("conv_ts"), F.posexplode(F.expr("map_entries(try_variant_get(j, '$.mapping', 'map<string,variant>'))")).alias("i", "e")).select("k", "cid", "current", "conv_ts", "i", F.col("e.key").alias("node"), F.col("e.value").alias("v"))
     nodes = nodes.withColumn("parent", J.shown("$.parent", "v")).withColumn("linked", J.kind("$.parent", "v").isNotNull() | J.kind("$.children", "v").isNotNull())
     shape = nodes.groupBy("k").agg(F.bool_or("linked").alias("tree"), F.bool_or(F.coalesce(F.col("node") == F.col("current"), F.lit(False))).alias("known"))
-    nodes = nodes.join(shape, "k")
+    nodes = settled(nodes.join(shape, "k"))
     paths = sequence.branch_paths(nodes.where("tree OR known").select(F.col("k").alias("conv_id"), "node", "parent", "i")).withColumnRenamed("conv_id", "k")
     walked = nodes.where("tree OR known").select("k", "current", "known").distinct()
     ups = paths.join(walked, "k")
@@ -325,7 +328,7 @@ def chatgpt(parts: Parts, cfg: Config, convs: DataFrame) -> None:
     active = ups.where("known AND node = current").groupBy("k", "current").agg(F.min(F.struct("leaf", "depth")).alias("f"))
     active = active.select("k", "current", F.col("f.leaf").alias("leaf"), F.col("f.depth").alias("from"))
     way = paths.join(active, ["k", "leaf"]).where(F.col("depth") >= F.col("from")).select("k", F.col("current").alias("leaf"), "node", "depth")
-    good = ends.unionByName(way)
+    good = settled(ends.unionByName(way))
     told(walked.select("k").join(good.select("k").distinct(), "k", "left_anti"), "malformed")
     told(good.join(walked.where("NOT known"), "k").select("k").distinct(), "active_branch_unknown")
     order = nodes.select("k", F.col("node").alias("leaf"), F.col("i").alias("leaf_i"))
@@ -334,7 +337,7 @@ def chatgpt(parts: Parts, cfg: Config, convs: DataFrame) -> None:
     own = nodes.join(first, ["k", "node"]).withColumn("session", F.when(F.col("leaves") == 1, F.col("cid")).otherwise(F.concat_ws("/", "cid", F.lit("branch"), "leaf")))
     flat = nodes.where("NOT tree AND NOT known").withColumn("session", F.col("cid"))
     every = own.select("k", "i", "session", "conv_ts", "v").unionByName(flat.select("k", "i", "session", "conv_ts", "v"))
-    every = every.where(J.is_object("$.message", "v") & ~J.truthy("$.message.metadata.is_visually_hidden_from_conversation", "v"))
+    every = settled(every).where(J.is_object("$.message", "v") & ~J.truthy("$.message.metadata.is_visually_hidden_from_conversation", "v"))
     text = F.expr("array_join(transform(filter(try_variant_get(v, '$.message.content.parts', 'array<variant>'), b -> schema_of_variant(b) = 'STRING'), b -> try_variant_get(b, '$', 'string')), '\\n')")
     ts = F.coalesce(F.nullif(J.seconds("$.message.create_time", "v"), F.lit(0.0)), "conv_ts", F.lit(0.0))
     _messages(parts, cfg, agent, every.select("session", ts.alias("ts"), T.strip(F.coalesce(text, F.lit(""))).alias("text"), J.string("$.message.author.role", "v").alias("role"), J.shown("$.message.metadata.model_slug", "v").alias("model"), _place("k", "i")))

@@ -101,19 +101,24 @@ def test_codex_history_and_rollouts(spark, tmp_path):
     assert {r.session: r.measured for r in got["checks"].collect()} == {"c1": 1005, "zz": 0}
 
 
-@pytest.mark.parametrize("rows, usage, issues", [
-    ([counter(1000, 8 * 86400), counter(1200, 60), counter(1200, 50)], [(100, 100, 20)], {}),
-    ([counter(1200, 60, last=200)], [(100, 100, 20)], {"partial_counter_baseline": 1}),
-    ([counter(1200, 60)], [], {"missing_counter_baseline": 1}),
-    ([counter(1000, 90, last=1000), counter(100, 60)], [(500, 500, 100)], {"token_counter_reset": 1}),
-    ([counter(200, 90, last=200), event("token_usage_record", 80, response_id="r", usage={"input_tokens": 200, "cached_input_tokens": 100, "output_tokens": 20})], [(100, 100, 20)], {}),
-    ([counter(200, 90, last=200), event("token_usage_record", 80, response_id="r", usage={"input_tokens": 300, "cached_input_tokens": 100, "output_tokens": 20})], [(200, 100, 20)], {"usage_cross_check_mismatch": 1}),
-])
-def test_codex_counters(spark, tmp_path, rows, usage, issues):
-    rollout(tmp_path, *rows)
+def test_codex_counters(spark, tmp_path):
+    record = lambda n: event("token_usage_record", 80, response_id="r", usage={"input_tokens": n, "cached_input_tokens": 100, "output_tokens": 20})
+    cases = {
+        "delta": ([counter(1000, 8 * 86400), counter(1200, 60), counter(1200, 50)], [(100, 100, 20)]),
+        "partial": ([counter(1200, 60, last=200)], [(100, 100, 20)]),
+        "missing": ([counter(1200, 60)], []),
+        "reset": ([counter(1000, 90, last=1000), counter(100, 60)], [(500, 500, 100)]),
+        "equal": ([counter(200, 90, last=200), record(200)], [(100, 100, 20)]),
+        "unequal": ([counter(200, 90, last=200), record(300)], [(200, 100, 20)]),
+    }
+    for sid, (rows, _) in cases.items():
+        rollout(tmp_path, *rows, sid=sid, name=sid)
     got = extract(spark, tmp_path, sources="codex")
-    assert [(r.fresh_input, r.cache_read, r.output) for r in got["usage"].collect()] == usage
-    assert diag(got, "codex").issues == issues
+    used = {}
+    for r in got["usage"].collect():
+        used.setdefault(r.session, []).append((r.fresh_input, r.cache_read, r.output))
+    assert used == {sid: usage for sid, (_, usage) in cases.items() if usage}
+    assert diag(got, "codex").issues == {"partial_counter_baseline": 1, "missing_counter_baseline": 1, "token_counter_reset": 1, "usage_cross_check_mismatch": 1}
 
 
 def test_codex_malformed_and_automation(spark, tmp_path):
