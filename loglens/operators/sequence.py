@@ -162,8 +162,8 @@ def greedy_matches(left: DataFrame, right: DataFrame, keys: list[str], within: f
     """left (keys, id, ts), right (keys, id, ts) -> (keys, left_id, right_id): each left row in time order takes the nearest
     right row of its keys that is still free, if within the time; the first of equally near ones.
 
-    Rows further than `within` from their neighbour start a new cluster, so each key is cut into small independent groups
-    before anything sequential runs.
+    Rows further than `within` from their neighbour start a new cluster, so each key is cut into small independent groups.
+    A cluster of one row of each side is a match as it stands; only clusters where rows compete are decided one by one.
     """
     import pandas as pd
 
@@ -184,7 +184,10 @@ def greedy_matches(left: DataFrame, right: DataFrame, keys: list[str], within: f
         return pd.DataFrame(rows, columns=[*keys, "left_id", "right_id"])
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", left_id {kinds['id']}, right_id {kinds['id']}"
-    return both.groupBy(*keys, "cluster").applyInPandas(pair, schema)
+    c = Window.partitionBy(*keys, "cluster")
+    sized = both.withColumn("_l", F.count_if(F.col("side") == 0).over(c)).withColumn("_r", F.count_if(F.col("side") == 1).over(c)).where("_l > 0 AND _r > 0")
+    plain = sized.where("_l = 1 AND _r = 1").groupBy(*keys, "cluster").agg(F.max(F.when(F.col("side") == 0, F.col("id"))).alias("left_id"), F.max(F.when(F.col("side") == 1, F.col("id"))).alias("right_id")).drop("cluster")
+    return plain.unionByName(sized.where("_l > 1 OR _r > 1").drop("_l", "_r").groupBy(*keys, "cluster").applyInPandas(pair, schema))
 
 
 def branch_paths(nodes: DataFrame) -> DataFrame:

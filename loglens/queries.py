@@ -208,12 +208,13 @@ add("cross_check", cross_check, f"""{_DELTAS}, {_U[5:]}, m AS (SELECT session, C
 
 def history_match(spark: SparkSession, d: str) -> DataFrame:
     """Typed history against rollout messages whose time is off by 0 to 8 seconds."""
-    p = stats.human(view(spark, d, "prompts")).select("session", F.trim("text").alias("key"), "id", "ts")
-    rollout = p.select("session", "key", F.concat(F.lit("r"), "id").alias("id"), (F.col("ts") + F.pmod(F.crc32("id"), F.lit(9))).alias("ts"))
-    return sequence.greedy_matches(p, rollout, ["session", "key"], 5.0)
+    p = stats.human(view(spark, d, "prompts")).select("session", F.trim("text").alias("key"), "id", "ts", (F.length("text") % 9).alias("jitter"))
+    rollout = p.select("session", "key", F.concat(F.lit("r"), "id").alias("id"), (F.col("ts") + F.col("jitter")).alias("ts"))
+    return sequence.greedy_matches(p.drop("jitter"), rollout, ["session", "key"], 5.0)
 
 
-add("history_match", history_match)
+# prompts of a session are a minute or more apart, so the nearest message is the one of the same prompt
+add("history_match", history_match, f"{_P} SELECT session, trim(text) AS key, id AS left_id, 'r' || id AS right_id FROM p WHERE length(text) % 9 <= 5")
 
 # conversation trees
 _N = duckdb_ctes("nodes")

@@ -143,3 +143,18 @@ def test_reports_on_no_rows(spark):
     assert coaching.rows(p).count() == 0 and stats.digest(p).count() == 0 and stats.words(p, spark.createDataFrame([], "output long")).first().leverage == 0
     with pytest.raises(ValueError):
         config(days=0)
+
+
+def test_greedy_matching_against_the_definition(spark):
+    rnd = random.Random(11)
+    left = [(rnd.choice("ab"), f"h{k}", float(rnd.randint(0, 300))) for k in range(60)]
+    right = [(rnd.choice("ab"), f"c{k:03d}", float(rnd.randint(0, 300))) for k in range(60)]
+    want, free = set(), sorted(right, key=lambda r: (r[2], r[1]))
+    for k, i, ts in sorted(left, key=lambda r: (r[2], r[1])):
+        near = [r for r in free if r[0] == k and abs(r[2] - ts) <= 5]
+        if near:
+            best = min(near, key=lambda r: abs(r[2] - ts))
+            free.remove(best)
+            want.add((i, best[1]))
+    frame = lambda rows: spark.createDataFrame(rows, "k string, id string, ts double")
+    assert {(r.left_id, r.right_id) for r in sequence.greedy_matches(frame(left), frame(right), ["k"], 5.0).collect()} == want
