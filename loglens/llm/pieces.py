@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from loglens.llm.common import release, stored, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONG, BLOCK_CHARS, MASK, PART_UNITS = 100, 16_000_000, 60, 40_000
+LONG, BLOCK_CHARS, MASK, PART_UNITS = 100, 12_000_000, 60, 30_000
 HASH_KEYS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 SPACE = "▁"
 LETTERS = "A-Za-zÀ-ɏ"
