@@ -63,3 +63,19 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(120)
     assert sorted(r.id for r in spark.table("once").collect()) == ["p1", "p2", "p3"]
     assert sorted((r.id, r.next_reaction) for r in spark.table("next").collect()) == [("p1", "correct"), ("p2", "retry")]
+
+
+def test_bundle_reader(spark, tmp_path):
+    from loglens.plans import stats
+    from loglens.sources import bundle
+
+    path = tmp_path / "b.json"
+    prompt = {"ts": 1_800_000_000.0, "agent": "codex", "session": "s", "project": "p", "text": "hello there"}
+    path.write_text(json.dumps({"prompts": [prompt, prompt | {"id": "own", "is_automation": True}], "usage": [{"ts": 1.5, "agent": "codex", "session": "s", "project": "p", "fresh_input": 50, "output": 100}]}))
+    got = bundle.read(spark, str(path))
+    assert sorted((r.id[:2], r.is_automation) for r in got["prompts"].collect()) == [("ow", True), ("p_", False)]
+    assert stats.token_types(got["usage"]).first().total == 150 and got["tools"].count() == 0
+    for bad in ({"usage": []}, {"schema_version": 9, "prompts": [], "usage": []}):
+        path.write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            bundle.read(spark, str(path))
