@@ -1,9 +1,11 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line with a word. It meets a template if it holds at least THRESHOLD of the template's distinct words. Words
-are ordered by how many blocks of the whole corpus hold them, rarest first. A block that meets a template of n words with
-a = ceil(THRESHOLD * n) must hold one of its n - a + 1 rarest (prefix filter), must hold a words at all (length filter),
-and where the two lists first meet, enough words must remain on both sides (positional filter). What is left is verified.
+A block is a line, or a window of consecutive words across line breaks: for a template of m words, repeats counted, every
+ceil(m / THRESHOLD) words of the whole text. It meets a template if it holds at least THRESHOLD of the template's distinct
+words. A text with such a block holds them too, so texts are filtered first. Words are ordered by how many texts of the
+corpus hold them, rarest first. A text that meets a template of n words with a = ceil(THRESHOLD * n) must hold one of its
+n - a + 1 rarest (prefix filter), must hold a words at all (length filter), and where the two lists first meet, enough words
+must remain on both sides (positional filter). Of what is left every line and every window is verified.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from loglens.llm.common import LOWER, UPPER, ascii_lower, n_words, spaced, store
 THRESHOLD = 0.8
 #: Templates are broadcast; this bounds their words.
 MAX_TEMPLATE_WORDS = 100_000
+#: Pairs of text and template up to here are broadcast, more are shuffled.
+MAX_BROADCAST = 100_000
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 # Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -46,31 +51,36 @@ def template_words(templates: list[tuple[str, str]]) -> list[tuple[int, str, lis
     return [x for x in out if x[2]]
 
 
-def blocks(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """rows (row_id, text) -> (row_id, block, size, held): per line its number, distinct words, and those in vocabulary."""
-    lines = rows.select("row_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block", "line"))
-    made = lines.select("row_id", "block", F.array_distinct(words(spaced(F.col("line")))).alias("own"))
-    return made.select("row_id", "block", F.size("own").alias("size"), F.array_intersect("own", F.array(*[F.lit(w) for w in vocabulary])).alias("held")).where(F.size("held") > 0)
-
-
-def similar_blocks(rows: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """rows (row_id, text) -> (row_id, block, template, label, containment) for every pair that meets the threshold."""
+def similar_blocks(rows: DataFrame, held: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """rows (row_id, text), held (row_id, held: a text's words in the templates) -> (row_id, template, label, containment)
+    for every pair with a block that meets the threshold; containment is that of the best block."""
     spark, made = rows.sparkSession, template_words(templates)
     vocabulary = sorted({w for *_, ws in made for w in ws})
-    held = stored(blocks(rows, vocabulary), "blocks")
     counts = {r.word: r.n for r in held.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most a row per template word
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     least = {k: math.ceil(threshold * len(ws) - 1e-9) for k, _, ws in made}
+    reach = {k: math.ceil(len(WORD.findall(templates[k][1])) / threshold - 1e-9) for k, *_ in made}
     prefixes = [(w, k, pos) for k, _, ws in made for pos, w in enumerate(sorted(ws, key=rank.get)[: len(ws) - least[k] + 1])]
     prefix = F.broadcast(spark.createDataFrame(prefixes, "word string, template int, tpos int"))
-    whole = F.broadcast(spark.createDataFrame([(k, label, sorted(ws, key=rank.get), least[k]) for k, label, ws in made], "template int, label string, twords array<string>, least int"))
+    whole = F.broadcast(spark.createDataFrame([(k, label, sorted(ws, key=rank.get), least[k], reach[k]) for k, label, ws in made], "template int, label string, twords array<string>, least int, reach int"))
     ordered = held.where(F.size("held") >= min(least.values(), default=0)).withColumn("held", F.filter(F.array(*[F.lit(w) for w in order]), lambda w: F.array_contains("held", w)))
-    met = ordered.select("row_id", "block", "held", F.posexplode("held").alias("bpos", "word")).join(prefix, "word").join(whole, "template")
+    met = ordered.select("row_id", "held", F.posexplode("held").alias("bpos", "word")).join(prefix, "word").join(whole, "template")
     met = met.where(F.size("held") >= F.col("least"))
     first = (F.get("twords", F.col("tpos")) == F.get(F.filter("held", lambda w: F.array_contains("twords", w)), F.lit(0))) & (F.least(F.size("twords") - F.col("tpos"), F.size("held") - F.col("bpos")) >= F.col("least"))
-    common = F.size(F.array_intersect("held", "twords"))
-    return met.where(first).where(common >= F.col("least")).select("row_id", "block", "template", "label", (common / F.size("twords")).alias("containment"))
+    met = met.where(first).where(F.size(F.array_intersect("held", "twords")) >= F.col("least"))
+    left = stored(met.select("row_id", "template"), "candidates")
+    few = F.broadcast(left) if left.count() <= MAX_BROADCAST else left.hint("shuffle_hash")
+    lines = F.transform(F.split("text", "\n"), lambda line: words(spaced(line)))
+    pairs = rows.join(few, "row_id").select("row_id", "template", lines.alias("lines")).join(whole, "template")
+    places = F.filter(F.transform(F.flatten("lines"), lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains("twords", x["w"]))
+    pairs = pairs.withColumn("places", places)
+    # a window with nothing of the template ahead holds no less if it starts at the next of its words
+    window = lambda x, k: F.filter(F.slice("places", k + 1, F.col("reach")), lambda y: y["i"] < x["i"] + F.col("reach"))
+    by_window = F.array_max(F.transform("places", lambda x, k: F.size(F.array_distinct(F.transform(window(x, k), lambda y: y["w"])))))
+    by_line = F.array_max(F.transform("lines", lambda own: F.size(F.array_intersect(own, F.col("twords")))))
+    best = pairs.select("row_id", "template", "label", "least", F.size("twords").alias("n"), F.greatest(by_window, by_line).alias("best"))
+    return best.where("best >= least").select("row_id", "template", "label", (F.col("best") / F.col("n")).alias("containment"))
 
 
 def phrase_places(body: Column) -> dict[str, Column]:
@@ -96,9 +106,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     containment among the pairs that meet the threshold. The two label columns are distinct, sorted and comma-joined.
     """
     own = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.col("text").cast("string").alias("text"))
-    body = own.select("row_id", "doc_id", "text", spaced(F.col("text")).alias("body"))
-    base = stored(body.select("row_id", "doc_id", n_words(F.col("body")).alias("n_words"), *[c.alias(k) for k, c in phrase_places(F.col("body")).items()]), "licenses")
-    near = similar_blocks(own.select("row_id", "text"), templates, threshold)
+    body = own.select("row_id", "doc_id", spaced(F.col("text")).alias("body"))
+    vocabulary = sorted({w for *_, ws in template_words(templates) for w in ws})
+    held = F.array_intersect(words(F.col("body")), F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>"))
+    base = stored(body.select("row_id", "doc_id", n_words(F.col("body")).alias("n_words"), *[c.alias(k) for k, c in phrase_places(F.col("body")).items()], held.alias("held")), "licenses")
+    near = similar_blocks(own.select("row_id", "text"), base.select("row_id", "held").where(F.size("held") > 0), templates, threshold)
     more = near.groupBy("row_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("score"))
     out = base.join(more, "row_id", "left")
     labels = F.array_sort(F.array_union("base_labels", F.coalesce("more", F.array().cast("array<string>"))))

@@ -48,6 +48,47 @@ def test_licenses_match_brute_force(spark, tmp_path):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+GPL = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License."
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and associated documentation files (the Software)"
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+
+
+def slow_windows(text):
+    """Labels and score over lines and over every window, line breaks or not."""
+    words, found, score = WORD.findall(lowered(text)), set(), 0.0
+    for k, label, own in licenses.template_words(licenses.TEMPLATES):
+        reach = -(-len(WORD.findall(lowered(licenses.TEMPLATES[k][1]))) * 5 // 4)
+        blocks = [WORD.findall(lowered(line)) for line in text.split("\n")] + [words[i : i + reach] for i in range(len(words))]
+        share = max(len(set(b) & set(own)) / len(own) for b in blocks)
+        if share >= licenses.THRESHOLD - 1e-12:
+            found.add(label)
+            score = max(score, share)
+    return found, score
+
+
+def test_wrapped_licenses_are_found(spark, monkeypatch):
+    rnd = random.Random(8)
+    marked = lambda text, sign: "\n".join(sign + line for line in text.split("\n"))
+    headers = [("gpl", GPL), ("mit", MIT), ("bsd", BSD)]
+    rows = [(label, marked(text, sign)) for label, text in headers for sign in ("", "# ", " * ", "// ", "REM ", "dnl ")]
+    rows += [(label, "word " * 3000 + "\n" + text.replace("\n", "\r\n\r\n") + "\n" + "other " * 3000) for label, text in headers]
+    scattered = ("\n" + "filler " * 60).join(x + " " for x in GPL.split())
+    pool = sorted({w for *_, ws in licenses.template_words(licenses.TEMPLATES) for w in ws})
+    texts = [t for _, t in rows] + [scattered] + [" ".join(rnd.choice(["", "\n"]) + w for w in rnd.choices(pool, k=120)) for _ in range(40)]
+    for _, t in licenses.TEMPLATES:
+        texts += ["\n".join(w for w in t.split() if rnd.random() > drop) for drop in (0, 0.1, 0.2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (licenses.MAX_BROADCAST, 0):
+        monkeypatch.setattr(licenses, "MAX_BROADCAST", most)
+        got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+        assert all(label in got[k].labels.split(",") and got[k].score >= 0.8 for k, (label, _) in enumerate(rows))
+        assert got[len(rows)].score == 0
+        for k, t in enumerate(texts):
+            found, score = slow_windows(t)
+            assert set(got[k].labels.split(",")) - {""} == found | (set(got[k].base_labels.split(",")) - {""}), t
+            assert abs(got[k].score - score) < 1e-12, t
+
+
 BASE = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
 
 
