@@ -88,7 +88,7 @@ def phrase_places(body: Column) -> dict[str, Column]:
     padded = F.concat(F.lit(" "), body, F.lit(" "))
     every = f"(?:{'|'.join(sorted(PHRASES))})"
     hit = F.rlike(padded, F.lit(f" {every} "))
-    before = lambda lazy: F.regexp_extract(padded, f"^(.*{lazy}) {every}(?= )", 1)
+    before = lambda lazy: F.regexp_extract(padded, f"(?s)^(.*{lazy}) {every}(?= )", 1)
     spaces = lambda c: (F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))).cast("long")
     labels = F.filter(F.array(*[F.when(F.contains(padded, F.lit(f" {p} ")), F.lit(v)) for p, v in sorted(PHRASES.items(), key=lambda x: x[1])]), lambda x: x.isNotNull())
     return {

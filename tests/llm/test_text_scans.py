@@ -48,6 +48,12 @@ def test_licenses_match_brute_force(spark, tmp_path):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_phrases_after_unicode_line_ends(spark):
+    texts = [f"one{end}two{end} three MIT License four {end} cc by five" for end in "\u2028\u2029\u0085"] + ["mit license \u2028 x apache license y"]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [tuple(got[k])[1:] for k in range(len(texts))] == [slow_licenses(t) for t in texts]
+
+
 GPL = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License."
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and associated documentation files (the Software)"
 BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
