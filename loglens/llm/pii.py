@@ -4,7 +4,9 @@ Detected entities get keyed replacements of their own kind: an e-mail address ke
 phone number its punctuation and country code, a card number its length, issuer digit and a valid check digit, an IP
 address stays one, a name part is replaced by one of the same role, gender and script. One entity has one surrogate in
 the whole corpus (coreference), two entities never share one, and no surrogate equals a detected original: surrogates are
-drawn in rounds, and an entity whose draw collides draws again. Everything runs as DataFrame expressions.
+drawn in rounds, and an entity whose draw collides draws again, later from a larger space: names get more syllables,
+addresses more letters, numbers more digits. IP addresses alone keep a bounded space, of 254^4. Everything runs as
+DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from loglens.llm.common import stored, table
 
 KEY = "loglens-surrogates"
 MAX_ROUNDS = 60
+#: Rounds in the space of the entity's own shape; after them names and addresses grow every other round, numbers every one.
+OWN_SHAPE = {"name": 4, "email": 4, "number": 30}
 
 # Titles by gender.
 TITLES = {"m": ["Mr", "Herr", "Señor", "Monsieur", "Господин", "Κύριος"], "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Госпожа", "Κυρία"]}
@@ -79,7 +83,10 @@ def parts(value: Column, kind: Column) -> Column:
 
 
 def draw(kind: Column, norm: Column, attempt: int, key: str = KEY) -> Column:
-    """A surrogate for the normalized entity. Numbers come from SHA-256 of key, attempt, kind and entity."""
+    """A surrogate for the normalized entity. Numbers come from SHA-256 of key, attempt, kind and entity. Late attempts
+    draw longer ones, so that no kind but IP addresses runs out."""
+    late = {k: max(0, attempt - own + 1) for k, own in OWN_SHAPE.items()}
+    longer = {"name": (late["name"] + 1) // 2, "email": (late["email"] + 1) // 2, "number": late["number"]}
 
     def number(i: Column, most: int) -> Column:
         h = F.sha2(F.concat_ws("|", F.lit(key), F.lit(str(attempt)), kind, norm, F.floor(i / 8).cast("string")), 256)
@@ -91,20 +98,26 @@ def draw(kind: Column, norm: Column, attempt: int, key: str = KEY) -> Column:
     n = F.length(norm)
     joined = lambda a, b, f: F.array_join(F.transform(F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>")), f), "")
     keep = F.length(F.regexp_extract(norm, r"(\.[a-z]+)$", 1))
-    email = F.concat(joined(F.lit(1), n - keep, shaped), F.right(norm, keep))
+    more = lambda s, k: [at(s, F.lit(10_000 + i), 1) for i in range(k)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    # an address without a letter or digit would keep all it has
+    bare = ~F.rlike(F.left(norm, n - keep), F.lit("[a-z0-9]"))
+    lettered = lambda i: F.when(bare & F.rlike(char(i), F.lit("[_%+-]")), at(letters, i, 1)).otherwise(shaped(i))
+    email = F.concat(*more(letters, longer["email"]), joined(F.lit(1), n - keep, lettered), F.right(norm, keep))
     digits = F.regexp_replace(norm, r"^\+1|^\+\d{2}", "")
     code = n - F.length(digits)
-    phone = F.concat(F.substring(norm, F.lit(1), code), (number(F.lit(900), 8) + 2).cast("string"), joined(code + 2, n, shaped))
-    body = F.concat(F.substring(norm, 1, 1), joined(F.lit(2), n - 1, shaped))
+    phone = F.concat(F.substring(norm, F.lit(1), code), (number(F.lit(900), 8) + 2).cast("string"), joined(code + 2, n, shaped), *more("0123456789", longer["number"]))
+    body = F.concat(F.substring(norm, 1, 1), joined(F.lit(2), n - 1, shaped), *more("0123456789", longer["number"]))
     card = F.concat(body, luhn_digit(body))
     ip = F.concat_ws(".", *[(number(F.lit(i), 254) + 1).cast("string") for i in range(4)])
-    ssn = joined(F.lit(1), n, shaped)
+    ssn = F.concat(joined(F.lit(1), n, shaped), *more("0123456789", longer["number"]))
     out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "ssn", ssn)
     for script, syllables in SYLLABLES.items():
         pick = lambda i, xs: F.get(F.array(*[F.lit(x) for x in xs]), number(F.lit(i), len(xs)).cast("int"))  # noqa: B023, E731
+        grown = [pick(8 + i, syllables) for i in range(longer["name"])]
         for gender in "mf":
-            out = out.when(kind == f"given:{gender}:{script}", F.initcap(F.concat(pick(0, syllables), pick(1, syllables), pick(2, ENDINGS[script, gender]))))
-        out = out.when(kind == f"surname:-:{script}", F.initcap(F.concat(*[pick(i, syllables) for i in range(4)])))
+            out = out.when(kind == f"given:{gender}:{script}", F.initcap(F.concat(pick(0, syllables), pick(1, syllables), *grown, pick(2, ENDINGS[script, gender]))))
+        out = out.when(kind == f"surname:-:{script}", F.initcap(F.concat(*[pick(i, syllables) for i in range(4)], *grown)))
     return out
 
 
@@ -125,7 +138,7 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         left = stored(left.join(won.select("kind", "norm"), ["kind", "norm"], "left_anti"), "undrawn")
         if left.isEmpty():
             return given
-    raise RuntimeError(f"no free surrogate after {MAX_ROUNDS} rounds: the kind's space is too small")
+    raise RuntimeError(f"no free surrogate after {MAX_ROUNDS} rounds")
 
 
 def written(value: Column, kind: Column, subs: Column) -> Column:
@@ -134,7 +147,7 @@ def written(value: Column, kind: Column, subs: Column) -> Column:
     digits = F.regexp_replace(first, r"[^\d]", "")
     shape = F.split(value, "")
     step = lambda acc, c: F.struct(F.concat(acc["out"], F.when(F.rlike(c, F.lit("[0-9]")), F.substring(digits, acc["i"] + 1, F.lit(1))).otherwise(c)).alias("out"), (acc["i"] + F.when(F.rlike(c, F.lit("[0-9]")), 1).otherwise(0)).alias("i"))
-    formatted = F.aggregate(shape, F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step, lambda acc: acc["out"])
+    formatted = F.aggregate(shape, F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step, lambda acc: F.concat(acc["out"], F.substring(digits, acc["i"] + 1, F.length(digits))))
     title = F.regexp_extract(value, rf"^((?:{_ALL})\.?\x20)", 1)
     email = F.when(value == F.upper(value), F.upper(first)).otherwise(first)
     return F.when(kind == "name", F.concat(title, F.array_join(subs, " "))).when(kind == "ip", first).when(kind == "email", email).otherwise(formatted)

@@ -48,6 +48,21 @@ def test_surrogates_stay_distinct_where_draws_collide(spark):
     assert {(r.norm, r.surrogate) for r in pii.surrogates(entities).collect()} == {(r.norm, r.surrogate) for r in got}
 
 
+def test_surrogates_outlast_the_base_space(spark, monkeypatch):
+    monkeypatch.setitem(pii.OWN_SHAPE, "number", 2)
+    rows = [("given:m:latin", f"Name{i}") for i in range(2000)] + [("email", f"{a}@{b}.de") for a in "abcdefghijklmnopqrstuvwxyz0123456789" for b in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    rows += [("email", "__@--.com"), ("email", "..@-.com"), *[("ssn", f"{i:02d}") for i in range(100)]]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, norm string")).collect()
+    assert len(got) == len(rows) == len({(r.kind, r.surrogate) for r in got}) == len({(r.kind, r.norm) for r in got})
+    assert not {(r.kind, r.surrogate) for r in got} & set(rows)
+    assert all(re.fullmatch(pii.PATTERNS["email"], r.surrogate) for r in got if r.kind == "email")
+    assert all(r.surrogate.endswith(("o", "us", "an")) for r in got if r.kind.startswith("given"))
+    one = spark.createDataFrame([("123-45-6789", "ssn", ["9876543210"])], "v string, k string, s array<string>")
+    assert one.select(pii.written(F.col("v"), F.col("k"), F.col("s"))).first()[0] == "987-65-43210"
+    (row,) = pii.pseudonymize(spark.createDataFrame([(1, "to __@--.com now")], "doc_id long, text string")).collect()
+    assert re.fullmatch(r"to [a-z]{2}@[a-z]{2}\.com now", row.text)
+
+
 def test_no_detected_value_is_left_in_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     new = pii.pseudonymize(docs)
