@@ -261,7 +261,7 @@ _LINE = f"'[' || id || '] ' || strftime({_TS}, '%a %m-%d %H:%M') || ' | ' || age
 ORACLES["digest"] = f"{_P} SELECT id, {_LINE} AS line FROM p"
 
 # scans
-add("tag_strip", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", text.without_injected(F.concat(F.lit("<system-reminder>"), F.substring("html", 1, 200), F.lit("</system-reminder> kept <command-name>x</command-name>"), F.col("page_id").cast("string"))).alias("text")), "SELECT page_id, 'kept ' || page_id AS text FROM pages")
+add("tag_strip", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", text.without_injected(F.concat(F.lit("<system-reminder>"), F.col("html"), F.lit("</system-reminder> kept <command-name>x</command-name>"), F.col("page_id").cast("string"))).alias("text")), "SELECT page_id, 'kept ' || page_id AS text FROM pages")
 add("json_props", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k")), "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events")
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from loglens.functions import redact, text
 from loglens.operators import sequence
 from loglens.plans import coaching, stats
+from loglens.queries import QUERIES
 from loglens.sources.config import config
 
 
@@ -158,3 +160,12 @@ def test_greedy_matching_against_the_definition(spark):
             want.add((i, best[1]))
     frame = lambda rows: spark.createDataFrame(rows, "k string, id string, ts double")
     assert {(r.left_id, r.right_id) for r in sequence.greedy_matches(frame(left), frame(right), ["k"], 5.0).collect()} == want
+
+
+def test_tag_strip_reads_whole_pages(spark, tmp_path):
+    tag = re.compile(f"(?s){text.INJECTED_TAG}")
+    pages = ["short", "", "x" * 500 + "</system-reminder> seen <system-reminder>" + "y" * 500, "é\n" * 400 + "</system-reminder> a <command-name>b</command-name> c", "<system-reminder>in <system-reminder>" + "z" * 300 + "</system-reminder> out"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.text for r in QUERIES["tag_strip"](spark, str(tmp_path)).collect()}
+    assert got == {k: tag.sub("", f"<system-reminder>{h}</system-reminder> kept <command-name>x</command-name>{k}").strip() for k, h in enumerate(pages)}
+    assert "seen" in got[2] and "out" in got[4]
