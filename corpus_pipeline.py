@@ -64,9 +64,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_pieces, ids): every document as SentencePiece ids."""
-    encoded = pieces.encode(docs.select(F.col("doc_id").alias("row_id"), "text"), pieces.load())
-    return encoded.select(F.col("row_id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids")
+    """(doc_id, n_pieces, ids, decoded_sha256): every document as SentencePiece ids, and the digest of the text that they
+    decode to. NULL and empty texts have no ids; repeated rows and rows of equal doc_id each get a row."""
+    model = pieces.load()
+    encoded = pieces.encode(docs.select(F.col("doc_id").alias("row_id"), "text"), model)
+    done = pieces.digests(encoded, model, keep_ids=True)
+    return done.select(F.col("row_id").alias("doc_id"), "n_pieces", "ids", "decoded_sha256")
 
 
 STAGES = [("language ID", language), ("SimHash near-dedup", near_duplicates), ("benchmark decontamination", benchmarks), ("secret scans", mask_secrets), ("SentencePiece encoding", tokens)]

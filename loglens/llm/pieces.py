@@ -2,19 +2,29 @@
 
 Texts are cut into units that no piece of the vocabulary can cross. Every distinct unit of the corpus is segmented once:
 its bounded-length substrings are exploded and equi-joined to the piece table, the edges are grouped by unit, and a
-higher-order aggregate folds them. For a unigram model the fold is Viterbi's; for a BPE model the best path by score is
-not the model's own segmentation, so the fold applies the edges as merges, best score first and leftmost on ties, which
-is. Characters that are no piece become byte pieces. Units over LONG characters are segmented by a plain Python form of
-the same rules. The corpus is then encoded in blocks of about BLOCK_CHARS characters, each with the part of the lexicon
-that it needs, so no task ever holds the whole lexicon.
+higher-order aggregate folds them. For a unigram model the fold is Viterbi's. For a BPE model the best path by score is
+not the model's own segmentation; there the fold goes through the edges by rank, start and length, and an edge is taken if
+it joins exactly two of the tokens that stand so far. That is the model's segmentation where every piece in the unit is, for
+itself, put together by merges of falling score (equal ones from its start), which load() checks for each piece. Characters
+that are no piece become byte pieces.
+
+The boundaries of a unit are the bits of a bigint, so the fold takes units of up to LONG characters. Longer ones (hashes,
+runs without a space) and those that hold an odd piece (in the public model a run of 16 spaces) are segmented where the
+lexicon is dealt out, by segment(), which is exact for all units.
+
+The corpus is encoded in blocks of about BLOCK_CHARS characters, each with the part of the lexicon that it needs, so no
+task ever holds the whole lexicon. Blocks that repeated rows have made too large are split.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +34,23 @@ from pyspark.sql import functions as F
 from loglens.llm.common import release, stored, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONG, BLOCK_CHARS, MASK, PART_UNITS = 100, 12_000_000, 60, 30_000
-HASH_KEYS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+LONG, BLOCK_CHARS, PART_CHARS, GROUP_BLOCKS, FLUSH = 60, 12_000_000, 4_000_000, 4096, 400_000
+MAX_ODD = 20
+HASH_KEYS, HASH_LIMIT = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 250_000
 SPACE = "▁"
 LETTERS = "A-Za-zÀ-ɏ"
-MAX_PIECES, ID_BITS, NONE = 1_000_000, 20, 1 << 40
-SETS = "array<struct<set:bigint,bits:bigint>>"
-NORMAL, USER_DEFINED, BYTE, UNIGRAM, BPE = 1, 4, 6, 1, 2
+NORMAL, CONTROL, UNKNOWN, BYTE, UNIGRAM, BPE = 1, 3, 2, 6, 1, 2
+#: An edge of a BPE lattice is a bigint: rank, start, length and piece id from the highest bits down.
+ID_BITS, SIZE_BITS, START_BITS = 20, 6, 6
+SIZE_AT, START_AT, RANK_AT = ID_BITS, ID_BITS + SIZE_BITS, ID_BITS + SIZE_BITS + START_BITS
+NO_PIECE = (1 << ID_BITS) - 1
 
 
 @dataclass(frozen=True)
 class Model:
     """kind: UNIGRAM or BPE; pieces: (piece, id, score) that text can match; byte_ids: the ids of the 256 byte pieces;
-    shown: for each id the bytes that it decodes to."""
+    shown: for each id the bytes that it decodes to; cut: where units end, as a regular expression; odd: the BPE pieces that
+    are not put together by merges of falling score."""
 
     kind: int
     pieces: tuple[tuple[str, int, float], ...]
@@ -44,28 +58,59 @@ class Model:
     shown: tuple[bytes, ...]
     longest: int
     cut: str
+    odd: tuple[str, ...]
 
 
+@lru_cache(maxsize=4)
 def load(path: str = MODEL, kind: int | None = None) -> Model:
-    """Reads a .model file. kind overrides its segmentation. Models whose pieces have a space mark after another
-    character, or no byte pieces, or a normalizer other than identity are refused."""
+    """Reads a .model file; kind overrides its segmentation. Refused are models whose texts would come out differently:
+    with another normalizer than identity, without a dummy prefix or with the space mark as a suffix, without byte pieces,
+    with user-defined or unused pieces, with pieces that cross words or lines, and BPE models with more than MAX_ODD odd
+    pieces."""
     from sentencepiece import sentencepiece_model_pb2
 
     proto = sentencepiece_model_pb2.ModelProto()
     with open(path, "rb") as f:
         proto.ParseFromString(f.read())
-    pieces = tuple((p.piece, k, p.score) for k, p in enumerate(proto.pieces) if p.type in (NORMAL, USER_DEFINED))
+    pieces = tuple((p.piece, k, p.score) for k, p in enumerate(proto.pieces) if p.type == NORMAL)
     byte_ids = tuple(k for k, p in enumerate(proto.pieces) if p.type == BYTE)
-    if proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces or len(byte_ids) != 256 or len(pieces) > MAX_PIECES:
-        raise ValueError("only identity normalization with byte fallback is supported")
+    norm = proto.normalizer_spec
+    if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or not norm.escape_whitespaces:
+        raise ValueError("only identity normalization with a dummy prefix is supported")
+    if proto.trainer_spec.treat_whitespace_as_suffix or len(byte_ids) != 256:
+        raise ValueError("only space marks ahead of words and byte fallback are supported")
+    if any(p.type not in (NORMAL, CONTROL, UNKNOWN, BYTE) for p in proto.pieces):
+        raise ValueError("user-defined and unused pieces are not supported")
+    if len(proto.pieces) >= NO_PIECE or max(len(p) for p, *_ in pieces) >= LONG:
+        raise ValueError("too many or too long pieces")
     if any(SPACE in p.lstrip(SPACE) or "\n" in p for p, *_ in pieces):
         raise ValueError("pieces must not cross words or lines")
-    shown = tuple(bytes([byte_ids.index(k)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() if p.type in (NORMAL, USER_DEFINED) else b"" for k, p in enumerate(proto.pieces))
+    kind = kind or proto.trainer_spec.model_type
+    index = {p: (k, s) for p, k, s in pieces}
+    odd = tuple(p for p in index if not _in_order(p, index)) if kind == BPE else ()
+    if len(odd) > MAX_ODD:
+        raise ValueError("too many pieces are not put together by merges of falling score")
+    byte_of = {k: bytes([b]) for b, k in enumerate(byte_ids)}
+    text_of = {k: p.replace(SPACE, " ").encode() for p, k, _ in pieces}
+    shown = tuple(byte_of.get(k) or text_of.get(k, b"") for k in range(len(proto.pieces)))
     letter = re.compile(f"[{LETTERS}]")
-    crossed = {p[i] for p, *_ in pieces for i in range(1, len(p)) if letter.match(p[i - 1])}
+    crossed = {p[i] for p in index for i in range(1, len(p)) if letter.match(p[i - 1])}
     marks = "".join(re.escape(c) for c in "!#$%&()*+,./:;<=>?@[]^_`{|}~\"'-" if c not in crossed)
     cut = rf"(?={SPACE})(?<=[^{SPACE}])|(?=\n)|(?<=\n)" + (rf"|(?=[{marks}])(?<=[{LETTERS}])" if marks else "")
-    return Model(kind or proto.trainer_spec.model_type, pieces, byte_ids, shown, max(len(p) for p, *_ in pieces), cut)
+    return Model(kind, pieces, byte_ids, shown, max(map(len, index)), cut, odd)
+
+
+def _in_order(piece: str, index: dict[str, tuple[int, float]]) -> bool:
+    """Whether merging the best pair again and again, leftmost on ties, gives the piece without a score above the one before,
+    and those that equal the piece's own begin where it begins."""
+    parts, last, own = list(piece), float("inf"), index[piece][1]
+    while len(parts) > 1:
+        pairs = [(index[a + b][1], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in index]
+        score, i = max(pairs, default=(float("inf"), 0))
+        if score > last or (score == own and i):
+            return False
+        parts[-i : 2 - i], last = [parts[-i] + parts[1 - i]], score
+    return True
 
 
 def marked(text: Column) -> Column:
@@ -83,7 +128,7 @@ def segment(unit: str, model: Model, index: dict[str, tuple[int, float]]) -> lis
         heap: list[tuple[float, int, int, int]] = []
 
         def offer(i: int) -> None:
-            if i >= 0 and (j := after[i]) < n and (got := index.get(unit[i : stop[j]])):
+            if i >= 0 and (j := after[i]) < n and stop[j] - i <= model.longest and (got := index.get(unit[i : stop[j]])):
                 heapq.heappush(heap, (-got[1], i, stop[i], stop[j]))
 
         for i in range(n - 1):
@@ -120,141 +165,308 @@ def segment(unit: str, model: Model, index: dict[str, tuple[int, float]]) -> lis
 
 
 def lattice(units: DataFrame, model: Model) -> DataFrame:
-    """Distinct units (unit) of at most LONG characters -> (unit, edges): edges is a map from start * (LONG + 1) + end to the
-    piece between, as (score, id) for a unigram model and as rank << ID_BITS | id for a BPE one, rank 0 being the best
-    score. The first character always stands in the map, as NULL if it is no piece.
+    """Rows (unit, ...) -> (unit, ..., edges): for a BPE model an array of packed edges, for a unigram model a map from
+    start * (LONG + 1) + end to (score, id). Characters that are no piece have an edge with the id NO_PIECE. Of a unit over
+    LONG characters only the first one is looked up. Units are told apart by all their columns.
 
-    With units partitioned by unit, neither the join (the piece table is broadcast, it has at most MAX_PIECES rows) nor the
-    grouping moves anything.
+    With rows partitioned by unit, neither the join (the piece table is broadcast, it has less than 2 ** ID_BITS rows) nor
+    the grouping moves anything.
     """
     ranks = {score: k for k, score in enumerate(sorted({s for *_, s in model.pieces}, reverse=True))}
-    packed = [(p, float(s), k, (ranks[s] << ID_BITS) | k) for p, k, s in model.pieces]
-    value = "struct(score, id)" if model.kind == UNIGRAM else "packed"
-    pieces = F.broadcast(units.sparkSession.createDataFrame(packed, "piece string, score double, id int, packed bigint").select("piece", F.expr(value).alias("value")))
-    n = F.length("unit")
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("s")))).alias("l"))
-    cells = spans.select("unit", (F.col("s") * (LONG + 1) + F.col("s") + F.col("l")).alias("at"), F.substring("unit", F.col("s") + 1, F.col("l")).alias("piece"))
-    edges = cells.join(pieces, "piece", "left").where(F.col("value").isNotNull() | (F.col("at") == 1)).select("unit", F.struct("at", "value").alias("e"))
-    return edges.groupBy("unit").agg(F.collect_list("e").alias("e")).select("unit", F.map_from_entries("e").alias("edges"))
-
-
-def _edge(start: Column, end: Column) -> Column:
-    return F.try_element_at("edges", start * (LONG + 1) + end)
+    packed = [(p, float(s), k, (ranks[s] << RANK_AT) | (len(p) << SIZE_AT) | k) for p, k, s in model.pieces]
+    pieces = F.broadcast(units.sparkSession.createDataFrame(packed, "piece string, score double, id int, packed bigint"))
+    short, n = F.length("unit") <= LONG, F.length("unit")
+    starts = F.when(short, F.sequence(F.lit(0), n - 1)).otherwise(F.array(F.lit(0)))
+    size = F.when(short, F.least(F.lit(model.longest), n - F.col("s"))).otherwise(F.lit(1))
+    cells = units.select("*", F.explode(starts).alias("s")).select("*", F.explode(F.sequence(F.lit(1), size)).alias("l"))
+    cells = cells.withColumn("piece", F.substring("unit", F.col("s") + 1, F.col("l")))
+    found = cells.join(pieces, "piece", "left").where(F.col("packed").isNotNull() | (F.col("l") == 1))
+    if model.kind == BPE:
+        base = F.coalesce("packed", F.lit((1 << SIZE_AT) | NO_PIECE).cast("long"))
+        edge = base + F.shiftleft(F.col("s").cast("long"), START_AT)
+        return found.groupBy(*units.columns).agg(F.collect_list(edge).alias("edges"))
+    at = (F.col("s") * (LONG + 1) + F.col("s") + F.col("l")).alias("at")
+    value = F.struct("score", F.coalesce("id", F.lit(NO_PIECE)).alias("id")).alias("value")
+    grouped = found.groupBy(*units.columns).agg(F.collect_list(F.struct(at, value)).alias("edges"))
+    return grouped.withColumn("edges", F.map_from_entries("edges"))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _bits(edge: Column) -> tuple[Column, Column]:
+    """Of an edge the two boundaries at its ends, and the boundaries inside it, as bits."""
+    start = F.shiftright(edge, START_AT).bitwiseAND(F.lit((1 << START_BITS) - 1)).cast("int")
+    size = F.shiftright(edge, SIZE_AT).bitwiseAND(F.lit((1 << SIZE_BITS) - 1)).cast("int")
+    one = F.lit(1).cast("long")
+    stop = F.call_function("shiftleft", one, start + size)
+    return F.call_function("shiftleft", one, start) + stop, stop - F.call_function("shiftleft", one, start + 1)
 
 
 def merge_fold() -> Column:
-    """Boundaries of a BPE segmentation: each step joins the adjacent pair whose piece scores best, leftmost on ties.
+    """The tokens of a BPE segmentation from edges, as start << START_AT | id in order. The state holds a bit per boundary; an edge whose ends are boundaries
+    and that has one boundary inside joins two tokens and takes that boundary away."""
 
-    The state holds the boundaries and the rank of each adjacent pair (NONE: no piece); a step looks up the two pairs that
-    it changes and finds the best by array functions alone.
-    """
-    n = F.length("unit")
-    none = F.lit(NONE).cast("long")
-    score = lambda s, e: F.coalesce(F.shiftright(_edge(s, e), ID_BITS), none)
-    empty = F.array().cast("array<bigint>")
-    first = F.struct(F.sequence(F.lit(0), n).alias("b"), F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda k: score(k, k + 2))).otherwise(empty).alias("sc"))
+    def step(state: Column, edge: Column) -> Column:
+        ends, inner = _bits(edge)
+        joins = (state.bitwiseAND(ends) == ends) & (F.bit_count(state.bitwiseAND(inner)) == 1)
+        return F.when(joins, state.bitwiseAND(F.bitwise_not(inner))).otherwise(state)
 
-    def join(acc: Column, i: Column) -> Column:
-        b, sc = acc["b"], acc["sc"]
-        left = F.when(i > 1, F.array(score(F.get(b, i - 2), F.get(b, i + 1)))).otherwise(empty)
-        right = F.when(i < F.size(sc), F.array(score(F.get(b, i - 1), F.get(b, i + 2)))).otherwise(empty)
-        return F.struct(F.concat(F.slice(b, F.lit(1), i), F.slice(b, i + 2, F.lit(1 << 20))).alias("b"), F.concat(F.slice(sc, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(sc, i + 2, F.lit(1 << 20))).alias("sc"))
+    def tokens(state: Column) -> Column:
+        def stands(edge: Column) -> Column:
+            ends, inner = _bits(edge)
+            return (state.bitwiseAND(ends) == ends) & (state.bitwiseAND(inner) == 0)
 
-    def step(acc: Column, _: Column) -> Column:
-        return _let(F.array_min(acc["sc"]), lambda best: F.when(best < NONE, _let(F.array_position(acc["sc"], best).cast("int"), lambda i: join(acc, i))).otherwise(acc))
+        place = F.lit((((1 << START_BITS) - 1) << START_AT) | NO_PIECE).cast("long")
+        return F.sort_array(F.transform(F.filter("edges", stands), lambda e: e.bitwiseAND(place)))
 
-    return F.aggregate(F.sequence(F.lit(1), n), first, step, lambda acc: acc["b"])
+    every = F.call_function("shiftleft", F.lit(1).cast("long"), F.length("unit") + 1) - F.lit(1).cast("long")
+    return F.aggregate(F.sort_array("edges"), every, step, tokens)
 
 
 def viterbi_fold(model: Model) -> Column:
-    """Boundaries of the best-scoring path; a character that is no piece costs 10 more than the worst piece."""
+    """The tokens of the best-scoring path, as merge_fold() gives them; a character that is no piece costs 10 more than the worst piece."""
     n, worst = F.length("unit"), min(s for _, _, s in model.pieces) - 10
+    edge = lambda s, e: F.try_element_at("edges", s * (LONG + 1) + e)
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("from")))
 
     def step(acc: Column, e: Column) -> Column:
         def arrive(s: Column) -> Column:
-            own = _edge(s, e)["score"]
-            cost = F.when(own.isNotNull(), own).when(s == e - 1, F.lit(float(worst)))
+            own = edge(s, e)
+            cost = F.when(own.isNotNull(), F.coalesce(own["score"], F.lit(float(worst))))
             return F.struct((F.get(acc, s)["score"] + cost).alias("score"), s.alias("from"))
 
-        ways = F.filter(F.transform(F.sequence(F.greatest(e - model.longest, F.lit(0)), e - 1), arrive), lambda w: w["score"].isNotNull())
+        near = F.sequence(F.greatest(e - model.longest, F.lit(0)), e - 1)
+        ways = F.filter(F.transform(near, arrive), lambda w: w["score"].isNotNull())
         top = F.reduce(ways, F.get(ways, F.lit(0)), lambda a, w: F.when(w["score"] > a["score"], w).otherwise(a))
         return F.concat(acc, F.array(top))
 
-    path = F.aggregate(F.sequence(F.lit(1), n), first, step)
-    back = lambda states: F.aggregate(F.sequence(F.lit(1), n), F.array(n), lambda b, _: F.when(F.get(b, F.lit(0)) <= 0, b).otherwise(F.concat(F.array(F.get(states, F.get(b, F.lit(0)))["from"]), b)))
-    return F.get(F.transform(F.array(path), back), F.lit(0))
+    def back(states: Column) -> Column:
+        further = lambda b: F.concat(F.array(F.get(states, F.get(b, F.lit(0)))["from"]), b)
+        walk = lambda b, _: F.when(F.get(b, F.lit(0)) <= 0, b).otherwise(further(b))
+
+        def token(s: Column, e: Column) -> Column:
+            return F.shiftleft(s.cast("long"), START_AT).bitwiseOR(edge(s, e)["id"].cast("long"))
+
+        spans = lambda b: F.zip_with(F.slice(b, F.lit(1), F.size(b) - 1), F.slice(b, F.lit(2), F.size(b) - 1), token)
+        return F.aggregate(F.sequence(F.lit(1), n), F.array(n), walk, spans)
+
+    return F.aggregate(F.sequence(F.lit(1), n), first, step, back)
 
 
 def lexicon(units: DataFrame, model: Model) -> DataFrame:
-    """Distinct non-empty units (unit, sets) -> (unit, sets, ids array<int>); sets is carried along."""
-    short = units.where(F.length("unit") <= LONG)
-    bounds = lattice(short, model).select("unit", "edges", (merge_fold() if model.kind == BPE else viterbi_fold(model)).alias("bounds"))
+    """Rows (unit, ...) of non-empty units -> (unit, ..., ids array<int>); ids are NULL for units over LONG characters
+    and those that hold an odd piece."""
+    folded = merge_fold() if model.kind == BPE else viterbi_fold(model)
+    able = reduce(lambda a, b: a & ~F.contains("unit", F.lit(b)), model.odd, F.length("unit") <= LONG)
+    made = lattice(units, model).select(*units.columns, F.when(able, folded).alias("tokens"))
     byte_ids = F.array(*[F.lit(k) for k in model.byte_ids])
-    own = lambda i: _edge(F.get("bounds", i), F.get("bounds", i + 1))
-    own_id = (lambda i: own(i)["id"]) if model.kind == UNIGRAM else (lambda i: own(i).bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long")).cast("int"))
+    own_id = lambda x: x.bitwiseAND(F.lit(NO_PIECE).cast("long")).cast("int")
+
+    def spelled(x: Column) -> Column:
+        char = F.substring("unit", F.shiftright(x, START_AT).cast("int") + 1, F.lit(1))
+        code = F.hex(F.encode(char, "UTF-8"))
+        pairs = F.sequence(F.lit(1), F.length(code), F.lit(2))
+        return F.transform(pairs, lambda i: F.get(byte_ids, F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int")))
+
+    whole = F.flatten(F.transform("tokens", lambda x: F.when(own_id(x) == NO_PIECE, spelled(x)).otherwise(F.array(own_id(x)))))
+    plain = F.transform("tokens", own_id)
+    ids = F.when(F.exists("tokens", lambda x: own_id(x) == NO_PIECE), whole).otherwise(plain)
+    return made.select(*units.columns, ids.alias("ids"))
+
+
+def _packed(schema: pa.Schema, *columns: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(list(columns), schema=schema))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(packed.as_buffer()).read_all()
+
+
+UNIT_LISTS = pa.schema([("unit", pa.string()), ("values", pa.list_(pa.int32()))])
+
+
+class _Units(dict):
+    """Chunk between spaces -> its units. A chunk stands for itself with a space mark ahead."""
+
+    def __init__(self, cut: str):
+        super().__init__()
+        self.rx = re.compile(cut)
+
+    def __missing__(self, chunk: str) -> tuple[str, ...]:
+        got = self[chunk] = tuple(u for u in self.rx.split(SPACE + chunk) if u)
+        return got
+
+
+def _plain(text: str) -> bool:
+    """Whether the chunks between the text's spaces can be cut one by one: units hold no more than one space mark then."""
+    return "  " not in text and text[0] != " " and SPACE not in text
+
+
+def _gather(cut: str, n_parts: int) -> Callable:
+    """(block, text) -> (part, blocks, packed): a task's distinct units, each with its blocks, dealt to parts by hash and to
+    groups of GROUP_BLOCKS blocks. A task lets go of what it holds every FLUSH chunks."""
 
-    def fallback(s: Column) -> Column:
-        code = F.hex(F.encode(F.substring("unit", s + 1, F.lit(1)), "UTF-8"))
-        return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda i: F.get(byte_ids, F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int")))
+    def dealt(chunks: dict[int, set[str]], odd: dict[int, set[str]], units: _Units) -> Iterator[pa.RecordBatch]:
+        where: dict[tuple[int, str], list[int]] = {}
+        for block in chunks.keys() | odd.keys():
+            group, own = block // GROUP_BLOCKS, set(odd.get(block, ()))
+            for chunk in chunks.get(block, ()):
+                own.update(units[chunk])
+            for unit in own:
+                where.setdefault((group, unit), []).append(block)
+        parts: dict[tuple[int, int], list[str]] = {}
+        for group, unit in where:
+            parts.setdefault((zlib.crc32(unit.encode()) % n_parts, group), []).append(unit)
+        rows = []
+        for (part, group), own in parts.items():
+            own.sort()
+            lists = pa.array([where[group, u] for u in own], pa.list_(pa.int32()))
+            rows.append((part, group, _packed(UNIT_LISTS, pa.array(own, pa.string()), lists)))
+        if rows:
+            kinds = (pa.int32(), pa.int32(), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "blocks", "packed"])
 
-    known = bounds.select("unit", "bounds", F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), lambda i: F.coalesce(own_id(i), F.lit(-1))).alias("ids"))
-    spelled = F.flatten(F.transform("ids", lambda x, i: F.when(x < 0, fallback(F.get("bounds", i))).otherwise(F.array(x))))
-    made = known.select("unit", F.when(F.array_contains("ids", -1), spelled).otherwise(F.col("ids")).alias("ids"))
-    made = short.join(made.hint("shuffle_hash"), "unit").select("unit", "sets", "ids")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, set[str]] = {}
+        odd: dict[int, set[str]] = {}
+        units, held = _Units(cut), 0
+        for batch in batches:
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                if not text:
+                    continue
+                if _plain(text):
+                    own = chunks.setdefault(block, set())
+                    held -= len(own)
+                    own.update(text.split(" "))
+                    held += len(own)
+                else:
+                    own = odd.setdefault(block, set())
+                    held -= len(own)
+                    own.update(u for u in units.rx.split(SPACE + text.replace(" ", SPACE)) if u)
+                    held += len(own)
+                if held >= FLUSH:
+                    yield from dealt(chunks, odd, units)
+                    chunks, odd, units, held = {}, {}, _Units(cut), 0
+        yield from dealt(chunks, odd, units)
+        del chunks, odd, units
+        release()
 
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {p: (k, s) for p, k, s in model.pieces}
+    return run
+
+
+def _merged(part: pa.Table) -> pa.Table:
+    """The units of a part and a group of blocks, from all tasks, each once with all its blocks (32-bit little-endian)."""
+    where: dict[str, set[int]] = {}
+    for packed in part.column("packed"):
+        table = _unpacked(packed)
+        for unit, blocks in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
+            where.setdefault(unit, set()).update(blocks)
+    values = [np.array(sorted(b), "<i4").tobytes() for b in where.values()]
+    out = pa.table({"unit": pa.array(where.keys(), pa.string()), "blocks": pa.array(values, pa.binary())})
+    del where
+    release()
+    return out
+
+
+def _deal(model: Model) -> Callable:
+    """Lexicon rows (unit, blocks, ids) -> (block, packed): the part of the lexicon that each block needs."""
+
+    def packs(units: list[str], ids: list, blocks: list[bytes]) -> pa.RecordBatch:
+        sizes = np.fromiter((len(b) // 4 for b in blocks), np.int64, len(blocks))
+        flat = np.frombuffer(b"".join(blocks), "<i4")
+        rows = np.repeat(np.arange(len(units)), sizes)
+        order = np.argsort(flat, kind="stable")
+        names, first = np.unique(flat[order], return_index=True)
+        every, lists = pa.array(units, pa.string()), pa.array(ids, pa.list_(pa.int32()))
+        out = []
+        for own in np.split(rows[order], first[1:]):
+            at = pa.array(own)
+            out.append(_packed(UNIT_LISTS, every.take(at), lists.take(at)))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(out, pa.binary())], names=["block", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = None
+        units: list[str] = []
+        ids: list = []
+        blocks: list[bytes] = []
         for batch in batches:
-            own = [segment(u, model, index) for u in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int32()))], names=["unit", "sets", "ids"])
+            own = batch.column(2).to_pylist()
+            for i, unit in enumerate(batch.column(0).to_pylist()):
+                if own[i] is None:
+                    index = index or {p: (k, s) for p, k, s in model.pieces}
+                    own[i] = segment(unit, model, index)
+                units.append(unit)
+            ids += own
+            blocks += batch.column(1).to_pylist()
+            if len(units) >= FLUSH // 4:
+                yield packs(units, ids, blocks)
+                units, ids, blocks = [], [], []
+        if units:
+            yield packs(units, ids, blocks)
+        del units, ids, blocks
+        release()
 
-    return made.unionByName(units.where(F.length("unit") > LONG).select("unit", "sets").mapInArrow(plain, f"unit string, sets {SETS}, ids array<int>"))
+    return run
+
+
+TEXTS = pa.schema([("row_id", pa.int64()), ("text", pa.string())])
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, row_id, text) -> (block, packed): the rows of a block in a batch, compressed."""
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, sub, row_id, text) -> (block, sub, packed): the rows of a block in a batch, compressed."""
     for batch in batches:
-        block = batch.column(0).to_numpy()
-        order = np.argsort(block, kind="stable")
-        names, first = np.unique(block[order], return_index=True)
-        packed = []
-        for rows in np.split(order, first[1:]):
-            sink = pa.BufferOutputStream()
-            own = batch.select([1, 2]).take(pa.array(rows))
-            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(own)
-            packed.append(sink.getvalue().to_pybytes())
-        if packed:
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(packed, pa.binary())], names=["block", "packed"])
-
-
-def _assembler(cut: str):
-    rx = re.compile(cut)
-
-    def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-        known = {"": b""}
-        for batch in words.to_batches(max_chunksize=50_000):
-            lists = batch.column(batch.schema.get_field_index("ids"))
-            ends, flat = lists.offsets.to_numpy(), np.asarray(lists.values, dtype=np.int32).tobytes()
-            for unit, a, b in zip(batch.column(batch.schema.get_field_index("unit")).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
+        order = np.argsort(key, kind="stable")
+        names, first = np.unique(key[order], return_index=True)
+        rows = [batch.take(pa.array(x)) for x in np.split(order, first[1:])]
+        packed = [_packed(TEXTS, x.column(2), x.column(3)) for x in rows]
+        columns = [pa.array(names >> 32, pa.int32()), pa.array(names & 0xFFFFFFFF, pa.int32()), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "sub", "packed"])
+
+
+class _Ids(dict):
+    """Chunk between spaces -> the ids of its units, as bytes."""
+
+    def __init__(self, cut: str, known: dict[str, bytes]):
+        super().__init__()
+        self.rx, self.known = re.compile(cut), known
+
+    def of(self, marked_text: str) -> bytes:
+        return b"".join([self.known[u] for u in self.rx.split(marked_text) if u])
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self[chunk] = self.of(SPACE + chunk)
+        return got
+
+
+def _assembler(cut: str) -> Callable:
+    def assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
+        known: dict[str, bytes] = {}
+        for packed in words.column("packed"):
+            table = _unpacked(packed).combine_chunks()
+            lists = table.column(1).chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int32()))
+            flat, ends = np.asarray(lists.flatten(), dtype="<i4").tobytes(), lists.offsets.to_pylist()
+            for unit, a, b in zip(table.column(0).to_pylist(), ends, ends[1:], strict=False):
                 known[unit] = flat[4 * a : 4 * b]
+        chunks = _Ids(cut, known)
         rows, ids, ends = [], bytearray(), [0]
-        for packed in docs.column("packed"):
-            batch = pa.ipc.open_stream(packed.as_buffer()).read_all()
-            rows.append(batch.column("row_id").combine_chunks())
-            for text in batch.column("text"):
+        for packed in texts.column("packed"):
+            batch = _unpacked(packed)
+            rows += batch.column(0).chunks
+            for text in batch.column(1):
                 if text := text.as_py():
-                    ids += b"".join([known[u] for u in rx.split(SPACE + text.replace(" ", SPACE))])
+                    if _plain(text):
+                        ids += b"".join(map(chunks.__getitem__, text.split(" ")))
+                    else:
+                        ids += chunks.of(SPACE + text.replace(" ", SPACE))
                 ends.append(len(ids) // 4)
-        del known
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+        del known, chunks
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, "<i4")))
         release()
         return pa.table({"row_id": pa.concat_arrays(rows) if rows else pa.array([], pa.int64()), "ids": lists})
 
@@ -264,72 +476,92 @@ def _assembler(cut: str):
 def encode(rows: DataFrame, model: Model) -> DataFrame:
     """rows (row_id bigint, text, ...) -> (row_id, ids array<int>), a row per row; NULL and empty texts have no ids.
 
-    row_id names a row in the result and spreads rows over blocks; it may repeat.
+    row_id names a row in the result and spreads rows over blocks; it may be NULL and may repeat. Equal rows fall into one
+    block; a block of more than twice BLOCK_CHARS is split, each part with its own copy of the block's lexicon. There are
+    at most as many such blocks as the corpus has times that many characters, a row of two numbers each.
     """
     spark = rows.sparkSession
     own = rows.select(F.col("row_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text"))
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = -(-chars // BLOCK_CHARS) or 1
-    own = own.select(F.pmod(F.xxhash64("row_id", "text"), F.lit(n_blocks)).cast("int").alias("block"), "row_id", "text")
-    units = own.select("block", F.explode(F.split(marked(F.col("text")), model.cut, -1)).alias("unit")).where("unit <> ''")
-    # which blocks hold a unit: a bit each, MASK blocks a row
-    held = units.groupBy("unit", F.expr(f"block div {MASK}").alias("set")).agg(F.bit_or(F.expr(f"shiftleft(1L, block % {MASK})")).alias("bits"))
-    held = stored(held, "units")
-    n_parts = max(1, -(-held.count() // PART_UNITS))
+    n_blocks, n_parts = -(-chars // BLOCK_CHARS) or 1, -(-chars // PART_CHARS) or 1
+    block = F.pmod(F.xxhash64("row_id", "text"), F.lit(n_blocks)).cast("int").alias("block")
+    gathered = own.select(block, "text").mapInArrow(_gather(model.cut, n_parts), "part int, blocks int, packed binary")
+    distinct = gathered.groupBy("part", "blocks").applyInArrow(_merged, "unit string, blocks binary")
     before = spark.conf.get(HASH_KEYS)
-    spark.conf.set(HASH_KEYS, str(8 * PART_UNITS))  # a task groups PART_UNITS units in memory without sorting their edges
+    spark.conf.set(HASH_KEYS, str(HASH_LIMIT))  # a task groups its units in memory, without sorting their edges
     try:
-        distinct = held.repartition(n_parts, "unit").groupBy("unit").agg(F.collect_list(F.struct("set", "bits")).alias("sets"))
-        known = stored(lexicon(distinct, model), "lexicon")
+        known = stored(lexicon(distinct.repartition(n_parts, "unit", "blocks"), model), "lexicon")
     finally:
         spark.conf.set(HASH_KEYS, before)
-    bits = lambda x: F.filter(F.sequence(F.lit(0), F.lit(MASK - 1)), lambda k: x["bits"].bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0)
-    blocks = F.flatten(F.transform("sets", lambda x: F.transform(bits(x), lambda k: (x["set"] * MASK + k).cast("int"))))
-    words = known.select(F.explode(blocks).alias("block"), "unit", "ids")
-    return own.mapInArrow(_pack, "block int, packed binary").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assembler(model.cut), "row_id long, ids array<int>")
+    sizes = own.select(block, F.length("text").alias("n")).groupBy("block").agg(F.sum("n").alias("n"))
+    large = sizes.where(F.col("n") > 2 * BLOCK_CHARS).select("block", F.ceil(F.col("n") / BLOCK_CHARS).cast("int").alias("subs"))
+    large = F.broadcast(stored(large, "large-blocks"))
+    sub = F.when(F.col("subs").isNull(), F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("subs")))
+    texts = own.select(block, "row_id", "text").join(large, "block", "left").select("block", sub.cast("int").alias("sub"), "row_id", "text")
+    words = known.select("unit", "blocks", "ids").mapInArrow(_deal(model), "block int, packed binary").join(large, "block", "left")
+    words = words.select("block", F.explode(F.sequence(F.lit(0), F.coalesce("subs", F.lit(1)) - 1)).alias("sub"), "packed")
+    packed = texts.mapInArrow(_pack_texts, "block int, sub int, packed binary")
+    both = packed.groupBy("block", "sub").cogroup(words.groupBy("block", "sub"))
+    return both.applyInArrow(_assembler(model.cut), "row_id long, ids array<int>")
+
+
+def _decoder(model: Model) -> Callable[[np.ndarray], str]:
+    shown = model.shown
+
+    def decoded(ids: np.ndarray) -> str:
+        data = b"".join([shown[k] for k in ids.tolist()])
+        return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
+
+    return decoded
+
+
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The arrays of a column, empty for NULL."""
+    flat, ends = np.asarray(column.values, dtype="<i4"), column.offsets.to_pylist()
+    for a, b in zip(ends, ends[1:], strict=False):
+        yield flat[a:b]
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
     """(row_id, ids) -> (row_id, text): pieces and bytes joined, the mark ahead of the text taken off; bytes that are no
-    UTF-8 become U+FFFD. Ids of control pieces show nothing."""
-    shown = model.shown
+    UTF-8 become U+FFFD. Ids of control pieces show nothing; NULL ids give an empty text."""
+    decoded = _decoder(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            flat = np.asarray(lists.values).tolist()
-            texts = []
-            for a, b in zip(lists.offsets.to_pylist(), lists.offsets.to_pylist()[1:], strict=False):
-                data = b"".join([shown[k] for k in flat[a:b]])
-                texts.append((data[1:] if data[:1] == b" " else data).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row_id", "text"])
+            texts = pa.array([decoded(ids) for ids in _lists(batch.column(1))], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["row_id", "text"])
 
     return encoded.select("row_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "row_id long, text string")
 
 
-def _digest(model: Model):
-    import hashlib
+DIGESTS = "n_pieces long, ids_sha256 string, decoded_chars long, decoded_sha256 string"
 
-    shown = model.shown
+
+def digests(encoded: DataFrame, model: Model, keep_ids: bool = False) -> DataFrame:
+    """(row_id, ids) -> (row_id, n_pieces, ids_sha256, decoded_chars, decoded_sha256), with ids if they are to be kept: the
+    number and SHA-256 (32-bit little-endian) of a row's ids, and length and SHA-256 of the text decoded from them."""
+    decoded = _decoder(model)
+    names = ["row_id", *(["ids"] if keep_ids else []), *(c.split()[0] for c in DIGESTS.split(", "))]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            ends, flat = lists.offsets.to_pylist(), np.asarray(lists.values, dtype=np.int32)
             rows = []
-            for a, b in zip(ends, ends[1:], strict=False):
-                own = flat[a:b]
-                data = b"".join([shown[k] for k in own.tolist()])
-                text = (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
-                rows.append((b - a, hashlib.sha256(own.astype("<i4").tobytes()).hexdigest(), len(text), hashlib.sha256(text.encode()).hexdigest()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["doc_id", "n_pieces", "ids_sha256", "decoded_chars", "decoded_sha256"])
+            for ids in _lists(batch.column(1)):
+                text = decoded(ids)
+                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), len(text), hashlib.sha256(text.encode()).hexdigest()))
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            made = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + keep_ids], *made], names=names)
 
-    return run
+    schema = "row_id long, " + ("ids array<int>, " if keep_ids else "") + DIGESTS
+    return encoded.select("row_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, schema)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document the number and SHA-256 (little-endian 32-bit) of its ids, and length and SHA-256 of the decoded text."""
+    """Per row of documents digests() of its ids. NULL and empty texts have no ids and decode to an empty text; repeated
+    rows and rows of equal doc_id each get a row; an empty table gives none; other columns are not read."""
     model = load()
-    encoded = encode(table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "row_id"), model)
-    return encoded.mapInArrow(_digest(model), "doc_id long, n_pieces long, ids_sha256 string, decoded_chars long, decoded_sha256 string")
+    rows = table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "row_id")
+    return digests(encode(rows, model), model).withColumnRenamed("row_id", "doc_id")

@@ -26,11 +26,10 @@ def library(kind):
     return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
 
-@pytest.mark.parametrize("long, block_chars", [(100, 24_000_000), (6, 900)])
-def test_bpe_equals_the_library_and_decodes(spark, monkeypatch, long, block_chars):
-    monkeypatch.setattr(pieces, "LONG", long)
+@pytest.mark.parametrize("block_chars", [24_000_000, 900])
+def test_bpe_equals_the_library_and_decodes(spark, monkeypatch, block_chars):
     monkeypatch.setattr(pieces, "BLOCK_CHARS", block_chars)
-    texts = TEXTS + random_texts(60)
+    texts = TEXTS + random_texts(60) + [" lead", "tail ", "a  b", "▁▁ x▁ y", "w" * 59, "w" * 60, "w" * 61, "z9" * 400, "漢字" * 40] + ["x" + " " * k + "y" for k in range(3, 40)]
     model, sp = pieces.load(), library(pieces.BPE)
     rows = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
     encoded = pieces.encode(rows.withColumn("unit", F.lit("clash")), model)
@@ -54,6 +53,29 @@ def test_unigram_fold_finds_the_best_path(spark):
             assert total(got[k]) >= total(sp.encode(t)), t
 
 
+def test_repeated_rows_split_a_block(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "BLOCK_CHARS", 300)
+    model, text = pieces.load(), "the same words again and again, " * 5
+    rows = spark.createDataFrame([(1, text)] * 40 + [(None, text), (2, None), (3, "other")], "row_id long, text string").repartition(3)
+    got = pieces.encode(rows, model).collect()
+    ids = library(pieces.BPE).encode(text)
+    assert len(got) == 43 and sum(list(r.ids) == ids for r in got) == 41
+    assert {r.row_id: len(r.ids) for r in got if r.row_id in (2, 3)} == {2: 0, 3: len(library(pieces.BPE).encode("other"))}
+
+
+def test_models_that_come_out_differently_are_refused(tmp_path):
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(pieces.MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    for k, change in enumerate([lambda p: setattr(p.pieces[500], "type", 4), lambda p: setattr(p.normalizer_spec, "add_dummy_prefix", False)]):
+        changed = sentencepiece_model_pb2.ModelProto()
+        changed.CopyFrom(proto)
+        change(changed)
+        (tmp_path / f"{k}.model").write_bytes(changed.SerializeToString())
+        with pytest.raises(ValueError):
+            pieces.load(str(tmp_path / f"{k}.model"))
+
+
 def test_empty_table(spark):
     assert pieces.encode(spark.createDataFrame([], "row_id long, text string"), pieces.load()).count() == 0
 

@@ -1,3 +1,5 @@
+import hashlib
+
 import corpus_pipeline
 import sentencepiece
 
@@ -23,7 +25,9 @@ def test_stages_keep_clean_documents_and_take_effect(spark, tmp_path):
     masked = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "s3")).collect()}
     assert masked[15] == "the and of [secret:assign]\" that" and all(masked[k] == t for k, t in clean.items())
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    assert all(list(r.ids) == sp.encode(masked[r.doc_id]) for r in docs.collect())
+    for r in docs.collect():
+        assert list(r.ids) == sp.encode(masked[r.doc_id]) and r.n_pieces == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(masked[r.doc_id].encode()).hexdigest()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 7
 
 
