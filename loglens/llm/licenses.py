@@ -2,10 +2,17 @@
 
 A block is a line, or a window of consecutive words across line breaks: for a template of m words, repeats counted, every
 ceil(m / THRESHOLD) words of the whole text. It meets a template if it holds at least THRESHOLD of the template's distinct
-words. A text with such a block holds them too, so texts are filtered first. Words are ordered by how many texts of the
-corpus hold them, rarest first. A text that meets a template of n words with a = ceil(THRESHOLD * n) must hold one of its
-n - a + 1 rarest (prefix filter), must hold a words at all (length filter), and where the two lists first meet, enough words
-must remain on both sides (positional filter). Of what is left every line and every window is verified.
+words. A text holds what its blocks hold, so texts are filtered before blocks are looked at:
+
+- Template words are ordered by how often they stand in the whole corpus, rarest first.
+- Prefix filter: of a template of n words, a = ceil(THRESHOLD * n) must be met, so one of its n - a + 1 rarest must be. The
+  corpus' words are equi-joined with these prefixes alone.
+- Length filter: a text needs a words.
+- Positional filter: the words of the texts left are ranked, and from the place of the rarest word that a text shares with
+  the template on, a ranks must be left in the text.
+
+Of what is left every line and every window is verified. Texts are known by the MD5 of their content, so copies are
+filtered and verified once, and nothing depends on how rows are dealt to tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from loglens.llm.common import LOWER, UPPER, ascii_lower, n_words, spaced, store
 THRESHOLD = 0.8
 #: Templates are broadcast; this bounds their words.
 MAX_TEMPLATE_WORDS = 100_000
-#: Pairs of text and template up to here are broadcast, more are shuffled.
+#: Texts, and pairs of text and template, are broadcast up to here; more are shuffled.
 MAX_BROADCAST = 100_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -39,6 +46,14 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", "In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0"),
+    ("cc0-1.0", "dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
 
@@ -51,36 +66,70 @@ def template_words(templates: list[tuple[str, str]]) -> list[tuple[int, str, lis
     return [x for x in out if x[2]]
 
 
-def similar_blocks(rows: DataFrame, held: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """rows (row_id, text), held (row_id, held: a text's words in the templates) -> (row_id, template, label, containment)
-    for every pair with a block that meets the threshold; containment is that of the best block."""
+def _tokens(rows: DataFrame) -> DataFrame:
+    """(key, n, word) of rows (key, text): every word of a text, n being how many there are."""
+    split = rows.select("key", words(spaced(F.col("text"))).alias("words"))
+    return split.select("key", F.size("words").alias("n"), F.explode("words").alias("word"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A stored df for a join: broadcast if its rows are within the bound."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df.hint("shuffle_hash")
+
+
+def candidates(rows: DataFrame, made: list, rank: dict[str, int], threshold: float) -> tuple[DataFrame, DataFrame]:
+    """rows (key, text) -> the texts (key, text) that pass the prefix and length filters, one a key, and the pairs
+    (key, template) that pass the positional filter too. rank: template words in their global order."""
+    spark = rows.sparkSession
+    prefixes = []
+    for k, _, ws in made:
+        least = math.ceil(threshold * len(ws) - 1e-9)
+        for tpos, w in enumerate(sorted(ws, key=rank.get)[: len(ws) - least + 1]):
+            prefixes.append((w, k, tpos, rank[w], least))
+    schema = "word string, template int, tpos int, rank int, least int"
+    prefix = F.broadcast(spark.createDataFrame(prefixes, schema))
+    met = _tokens(rows).join(prefix, "word").where(F.col("n") >= F.col("least"))
+    # the first word of the template that the text holds, by rank
+    pairs = met.groupBy("key", "template", "least").agg(F.min("rank").alias("rank"))
+    pairs = stored(pairs, "license-prefixes")
+    keys = _few(stored(pairs.select("key").distinct(), "license-keys"))
+    texts = stored(rows.join(keys, "key", "left_semi").dropDuplicates(["key"]), "license-texts")
+    ranks = F.broadcast(spark.createDataFrame(list(rank.items()), "word string, r int"))
+    held = _tokens(texts).join(ranks, "word").groupBy("key").agg(F.sort_array(F.collect_set("r")).alias("held"))
+    remaining = F.size("held") - F.array_position("held", F.col("rank")) + 1
+    left = pairs.join(held, "key").where(remaining >= F.col("least")).select("key", "template")
+    return texts, stored(left, "license-candidates")
+
+
+def similar_blocks(rows: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """rows (key, text), the key standing for the text -> (key, template, label, containment) for every pair with a block
+    that meets the threshold, a row each; containment is that of the best block. NULL texts and keys are left out."""
     spark, made = rows.sparkSession, template_words(templates)
-    vocabulary = sorted({w for *_, ws in made for w in ws})
-    counts = {r.word: r.n for r in held.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most a row per template word
-    order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
+    vocabulary = spark.createDataFrame([(w,) for w in sorted({w for *_, ws in made for w in ws})], "word string")
+    counted = _tokens(rows).join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+    counts = {r.word: r.n for r in counted.collect()}  # at most a row per template word
+    order = sorted({w for *_, ws in made for w in ws}, key=lambda w: (counts.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
-    least = {k: math.ceil(threshold * len(ws) - 1e-9) for k, _, ws in made}
-    reach = {k: math.ceil(len(WORD.findall(templates[k][1])) / threshold - 1e-9) for k, *_ in made}
-    prefixes = [(w, k, pos) for k, _, ws in made for pos, w in enumerate(sorted(ws, key=rank.get)[: len(ws) - least[k] + 1])]
-    prefix = F.broadcast(spark.createDataFrame(prefixes, "word string, template int, tpos int"))
-    whole = F.broadcast(spark.createDataFrame([(k, label, sorted(ws, key=rank.get), least[k], reach[k]) for k, label, ws in made], "template int, label string, twords array<string>, least int, reach int"))
-    ordered = held.where(F.size("held") >= min(least.values(), default=0)).withColumn("held", F.filter(F.array(*[F.lit(w) for w in order]), lambda w: F.array_contains("held", w)))
-    met = ordered.select("row_id", "held", F.posexplode("held").alias("bpos", "word")).join(prefix, "word").join(whole, "template")
-    met = met.where(F.size("held") >= F.col("least"))
-    first = (F.get("twords", F.col("tpos")) == F.get(F.filter("held", lambda w: F.array_contains("twords", w)), F.lit(0))) & (F.least(F.size("twords") - F.col("tpos"), F.size("held") - F.col("bpos")) >= F.col("least"))
-    met = met.where(first).where(F.size(F.array_intersect("held", "twords")) >= F.col("least"))
-    left = stored(met.select("row_id", "template"), "candidates")
-    few = F.broadcast(left) if left.count() <= MAX_BROADCAST else left.hint("shuffle_hash")
+    texts, left = candidates(rows, made, rank, threshold)
+    listed = [
+        (k, label, ws, math.ceil(threshold * len(ws) - 1e-9), math.ceil(len(WORD.findall(templates[k][1])) / threshold - 1e-9))
+        for k, label, ws in made
+    ]
+    whole = F.broadcast(spark.createDataFrame(listed, "template int, label string, twords array<string>, least int, reach int"))
     lines = F.transform(F.split("text", "\n"), lambda line: words(spaced(line)))
-    pairs = rows.join(few, "row_id").select("row_id", "template", lines.alias("lines")).join(whole, "template")
-    places = F.filter(F.transform(F.flatten("lines"), lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains("twords", x["w"]))
-    pairs = pairs.withColumn("places", places)
-    # a window with nothing of the template ahead holds no less if it starts at the next of its words
-    window = lambda x, k: F.filter(F.slice("places", k + 1, F.col("reach")), lambda y: y["i"] < x["i"] + F.col("reach"))
-    by_window = F.array_max(F.transform("places", lambda x, k: F.size(F.array_distinct(F.transform(window(x, k), lambda y: y["w"])))))
+    pairs = texts.join(_few(left), "key").select("key", "template", lines.alias("lines")).join(whole, "template")
+    numbered = F.transform(F.flatten("lines"), lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+    pairs = pairs.withColumn("places", F.filter(numbered, lambda x: F.array_contains("twords", x["w"])))
+
+    def window(x: Column, k: Column) -> Column:
+        """The template's words in the window that begins with one of them; others hold no more."""
+        return F.filter(F.slice("places", k + 1, F.col("reach")), lambda y: y["i"] < x["i"] + F.col("reach"))
+
+    distinct = lambda xs: F.size(F.array_distinct(F.transform(xs, lambda y: y["w"])))
+    by_window = F.array_max(F.transform("places", lambda x, k: distinct(window(x, k))))
     by_line = F.array_max(F.transform("lines", lambda own: F.size(F.array_intersect(own, F.col("twords")))))
-    best = pairs.select("row_id", "template", "label", "least", F.size("twords").alias("n"), F.greatest(by_window, by_line).alias("best"))
-    return best.where("best >= least").select("row_id", "template", "label", (F.col("best") / F.col("n")).alias("containment"))
+    best = pairs.select("key", "template", "label", "least", F.size("twords").alias("n"), F.greatest(by_window, by_line).alias("best"))
+    return best.where("best >= least").select("key", "template", "label", (F.col("best") / F.col("n")).alias("containment"))
 
 
 def phrase_places(body: Column) -> dict[str, Column]:
@@ -105,19 +154,24 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     A row per row, repeats included. NULL and empty texts have no words, empty labels and score 0; score is the largest
     containment among the pairs that meet the threshold. The two label columns are distinct, sorted and comma-joined.
     """
-    own = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.col("text").cast("string").alias("text"))
-    body = own.select("row_id", "doc_id", spaced(F.col("text")).alias("body"))
-    vocabulary = sorted({w for *_, ws in template_words(templates) for w in ws})
-    held = F.array_intersect(words(F.col("body")), F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>"))
-    base = stored(body.select("row_id", "doc_id", n_words(F.col("body")).alias("n_words"), *[c.alias(k) for k, c in phrase_places(F.col("body")).items()], held.alias("held")), "licenses")
-    near = similar_blocks(own.select("row_id", "text"), base.select("row_id", "held").where(F.size("held") > 0), templates, threshold)
-    more = near.groupBy("row_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("score"))
-    out = base.join(more, "row_id", "left")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select("doc_id", F.unhex(F.md5(text)).alias("key"), text.alias("text"))
+    body = own.select("doc_id", "key", spaced(F.col("text")).alias("body"))
+    places = [c.alias(k) for k, c in phrase_places(F.col("body")).items()]
+    base = stored(body.select("doc_id", "key", n_words(F.col("body")).alias("n_words"), *places), "licenses")
+    near = similar_blocks(own.select("key", "text"), templates, threshold)
+    more = stored(near.groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("score")), "license-labels")
+    out = base.join(_few(more), "key", "left")
     labels = F.array_sort(F.array_union("base_labels", F.coalesce("more", F.array().cast("array<string>"))))
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return out.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
+    )
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan() of documents. NULL and empty texts, ties, repeated rows and rows of equal doc_id each give a row by their own
+    text; an empty table gives none; other columns are not read."""
     return scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
