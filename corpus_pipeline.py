@@ -6,13 +6,11 @@ doc_id and text, so rows that share a doc_id are judged apart if their texts dif
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.llm import decontaminate, langid, pieces, secrets, simhash
-from loglens.llm.common import shared_dir, stored, table
+from loglens.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose best language has a lower mean probability is rejected.
@@ -54,7 +52,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces found secrets by marks; every document stays."""
-    found = secrets.scan(docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text"), f"{shared_dir(spark)}/loglens-ledger-{uuid.uuid4().hex}")
+    found = secrets.scan(docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text"), secrets.ledger_dir(spark))
     hits = found.where(F.size("spans") > 0).select(F.col("path").alias("doc_id"), "blob", "spans").dropDuplicates(["doc_id", "blob"]).hint("shuffle_hash")
     rows = docs.select(*COLUMNS, secrets.blob_of(F.col("text")).alias("blob"))
     out = rows.join(hits, rows["doc_id"].eqNullSafe(hits["doc_id"]) & (rows["blob"] == hits["blob"]), "left")

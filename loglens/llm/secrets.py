@@ -21,31 +21,52 @@ BASE_RULES = [
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),  # the maximal runs of 24 or more among all runs
 ]
+# Rules of our own, from the public descriptions of the formats: JWTs (RFC 7519), PEM private keys (RFC 7468, the header and
+# the base64 lines that follow), tokens of some services by their prefixes, and a login in a URL (RFC 3986 userinfo). None
+# of them looks at a character more than a few times, however long a text is.
+_SAFE = "A-Za-z0-9._~%!$&'()*+,;="
+_JWT = r"eyJ[A-Za-z0-9_-]{8,}%s\.[A-Za-z0-9_-]{8,}%s\.[A-Za-z0-9_-]{8,}"
+_PEM = r"-----BEGIN (?:RSA |EC |DSA |ENCRYPTED |OPENSSH )?PRIVATE KEY-----(?:\s+[A-Za-z0-9+/]{16,}={0,2})*"
+_PREFIXED = r"\b(?:ghp_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[abps]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"
 MORE_RULES = [
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", 0, 0),
-    ("prefixed", r"\b(?:ghp_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[abps]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", 0, 0),
-    ("basic_auth", r"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@", 0, 0),
+    ("jwt", r"(?<![A-Za-z0-9_-])" + _JWT % ("+", "+"), 0, 0),
+    ("private_key", _PEM + "+", 0, 0),
+    ("prefixed", _PREFIXED, 0, 0),
+    ("url_login", rf"//[{_SAFE}-]+:[{_SAFE}:-]+@", 0, 0),
 ]
-RULE_SETS = {"base/1": BASE_RULES, "more/1": MORE_RULES}
+RULE_SETS = {"base/1": BASE_RULES, "more/2": MORE_RULES}
 KINDS = [kind for rules in RULE_SETS.values() for kind, *_ in rules]
 SPAN = "array<struct<start:int,rank:int,stop:int>>"
+CHUNK = 256
+#: The setting that names the folder of a ledger that runs share.
+LEDGER = "spark.loglens.ledger"
 
 
 def spans(text: Column, pattern: str, group: int, least: int, rank: int) -> Column:
-    """Leftmost non-overlapping matches as (start, rank, stop) in code points, without those whose group is too short."""
+    """Leftmost non-overlapping matches as (start, rank, stop) in code points, without those whose group is too short.
+
+    Matches are folded CHUNK at a time and the chunks put one behind the other, so no array grows match by match.
+    """
     rx = F.lit(pattern)
     found, between, counted = F.regexp_extract_all(text, rx, F.lit(0)), F.split(text, pattern, -1), F.regexp_extract_all(text, rx, F.lit(group))
     rows = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b"), counted.alias("g"))
+    sizes = F.transform(rows, lambda x: F.struct(F.length(x["b"]).alias("gap"), F.length(x["m"]).alias("size"), (F.length(x["g"]) >= least).alias("ok")))
+    chunks = lambda xs: F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(CHUNK)), lambda i: F.slice(xs, i + 1, F.lit(CHUNK)))
+    none = F.array().cast(SPAN)
+    span = lambda start, stop: F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["1"])
-        stop = start + F.length(x["0"])
-        return F.struct(stop.alias("at"), F.when(F.length(x["2"]) >= least, F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"))))).otherwise(acc["out"]).alias("out"))
+        start = acc["at"] + x["gap"]
+        stop = start + x["size"]
+        return F.struct(stop.alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(span(start, stop)))).otherwise(acc["out"]).alias("out"))
 
-    zipped = F.transform(rows, lambda x: F.struct(x["m"].alias("0"), x["b"].alias("1"), x["g"].alias("2")))
-    none = F.array().cast(SPAN)
-    got = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def behind(acc: Column, part: Column) -> Column:
+        moved = F.transform(part["out"], lambda s: span(s["start"] + acc["at"], s["stop"] + acc["at"]))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    parts = F.get(F.transform(F.array(sizes), lambda xs: F.transform(chunks(xs), lambda c: F.aggregate(c, zero, step))), F.lit(0))
+    got = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), behind, lambda acc: F.flatten(acc["out"]))
     return F.when(F.rlike(text, rx), got).otherwise(none)
 
 
@@ -93,33 +114,55 @@ def named(found: Column) -> Column:
 
 
 def redacted(text: Column, found: Column) -> Column:
-    """text with every stretch that spans cover replaced by a mark with the kind of its first span."""
+    """text with every stretch that spans cover replaced by a mark with the kind of its first span. Texts with a span are cut
+    into characters once, so each is copied once."""
     kinds = F.array(*[F.lit(k) for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[secret:"), F.get(kinds, s["rank"]), F.lit("]"))
-        return F.struct(F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
+        piece = F.struct(acc["at"].alias("from"), s["start"].alias("to"), s["rank"].alias("rank"))
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
+        return F.struct(out.alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
 
-    tail = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(found) > 0, F.aggregate(found, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, tail)).otherwise(text)
+    def put(chars: Column, acc: Column) -> Column:
+        part = lambda a, n: F.array_join(F.slice(chars, a + 1, n), "")
+        mark = lambda p: F.concat(part(p["from"], p["to"] - p["from"]), F.lit("[secret:"), F.get(kinds, p["rank"]), F.lit("]"))
+        return F.concat(F.array_join(F.transform(acc["out"], mark), ""), part(acc["at"], F.size(chars)))
+
+    none = F.array().cast("array<struct<from:int,to:int,rank:int>>")
+    zero = F.struct(none.alias("out"), F.lit(0).alias("at"))
+    whole = F.get(F.transform(F.array(F.split(text, "")), lambda chars: F.aggregate(found, zero, step, lambda acc: put(chars, acc))), F.lit(0))
+    return F.when(F.size(found) > 0, whole).otherwise(text)
+
+
+def ledger_dir(spark: SparkSession) -> str:
+    """The ledger that LEDGER names, which later runs extend; where it is unset, a new one in the shared folder."""
+    return spark.conf.get(LEDGER, None) or f"{shared_dir(spark)}/loglens-ledger-{uuid.uuid4().hex}"
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan() of documents as paths of one version. NULL and empty texts hold nothing; repeated rows and rows of equal
+    doc_id each get a row by their own text; an empty table gives none; other columns are not read."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    found = scan(docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text"), f"{shared_dir(spark)}/loglens-ledger-{uuid.uuid4().hex}")
+    found = scan(docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text"), ledger_dir(spark))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
     count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
     counts = [count(k).alias(f"n_{kind}") for k, (kind, *_) in enumerate(BASE_RULES)]
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
 
 
+#: DuckDB knows neither lookbehind nor possessive quantifiers: what precedes is matched too, the span being the group.
+SQL_FORMS = {"jwt": ("(?:^|[^A-Za-z0-9_-])(" + _JWT % ("", "") + ")", 1), "private_key": (_PEM, 0)}
+
+
 def _spans_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    pattern, own = SQL_FORMS.get(kind, (pattern, 0))
     p = pattern.replace("'", "''")
-    return f"""SELECT rid, {rank} AS rank, '{kind}' AS kind, start, start + len(m) AS stop FROM (
-  SELECT rid, ms[i] AS m, gs[i] AS g, CAST(coalesce(list_sum(list_transform(ps[1:i], lambda z: len(z))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda z: len(z))), 0) AS BIGINT) AS start FROM (
+    ahead = "len(m) - len(g)" if own else "0"
+    before = "coalesce(list_sum(list_transform(ps[1:i], lambda z: len(z))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda z: len(z))), 0)"
+    return f"""SELECT rid, {rank} AS rank, '{kind}' AS kind, start + {ahead} AS start, start + len(m) AS stop FROM (
+  SELECT rid, ms[i] AS m, gs[i] AS g, CAST({before} AS BIGINT) AS start FROM (
     SELECT rid, ms, gs, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
-      SELECT rid, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {group}) AS gs, string_split_regex(t, '{p}') AS ps FROM d WHERE regexp_matches(t, '{p}')))) WHERE len(g) >= {least}"""
+      SELECT rid, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {own or group}) AS gs, string_split_regex(t, '{p}') AS ps FROM d WHERE regexp_matches(t, '{p}')))) WHERE len(g) >= {least}"""
 
 
 _ALL_SQL = " UNION ALL ".join(_spans_sql(KINDS.index(r[0]), *r) for rules in RULE_SETS.values() for r in rules)

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from loglens.llm import decontaminate, licenses, secrets
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -95,6 +97,32 @@ def test_wrapped_licenses_are_found(spark, monkeypatch):
             assert abs(got[k].score - score) < 1e-12, t
 
 
+def test_labels_do_not_depend_on_partitions(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = docs.unionByName(spark.createDataFrame([(-k, GPL if k % 2 else MIT) for k in range(1, 9)], "doc_id long, text string"))
+    texts.repartition(8).write.parquet(str(tmp_path / "d"))
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    got = []
+    try:
+        for n in (1, 7):
+            spark.conf.set("spark.sql.files.minPartitionNum", str(n))
+            got.append(sorted(tuple(r) for r in licenses.scan(spark.read.parquet(str(tmp_path / "d"))).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if before is None else spark.conf.set("spark.sql.files.minPartitionNum", before)
+    assert got[0] == got[1] and sum(r[-1] > 0 for r in got[0]) >= 8
+
+
+def test_filters_prune_what_cannot_meet_a_template(spark):
+    made = licenses.template_words(licenses.TEMPLATES)
+    common, rank = {"the", "of", "to", "and"}, {}
+    for w in sorted({w for *_, ws in made for w in ws}, key=lambda w: (w in common, w)):
+        rank[w] = len(rank)
+    rows = spark.createDataFrame([("a", "the of to and " * 50), ("b", "0"), ("c", MIT), ("d", "0 boost " + "x " * 50)], "key string, text string")
+    texts, pairs = licenses.candidates(rows, made, rank, licenses.THRESHOLD)
+    assert {r.key for r in texts.collect()} == {"c", "d"}  # common words pass no prefix, one word is too short
+    assert {r.key for r in pairs.collect()} == {"c"}  # too few ranks are left behind 0
+
+
 BASE = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
 
 
@@ -127,7 +155,9 @@ def slow_contamination(text, items):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-def test_contamination_matches_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_BYTES, -1])
+def test_contamination_matches_brute_force(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
     rnd = random.Random(9)
     vocabulary = ["the", "of", "a", "b", "c", "É", "x1", "zz"]
     items = [(k, " ".join(rnd.choices(vocabulary, k=n))) for k, n in enumerate([1, 2, 3, 9, 10, 11, 12, 25, 40, 40])] + [(10, "the the the the the the the the the the the the"), (11, None), (12, "!!"), (13, "only rare words stand in this one item of eleven here"), (13, "another text of the same item id, which has ten words")]
@@ -147,3 +177,20 @@ def test_contamination_matches_brute_force(spark, tmp_path):
     write(spark, tmp_path / "e", rows, "doc_id long, text string, words string, start int", "documents")
     write(spark, tmp_path / "e", [], "item_id long, text string", "benchmark")
     assert {r.contaminated for r in decontaminate.op10_decontaminate(spark, str(tmp_path / "e")).collect()} == {False}
+
+
+def test_secrets_in_texts_that_are_hard_to_match(spark, tmp_path):
+    n = 300_000
+    texts = ["a-" * n, "eyJ" * n, "-eyJ" * n, "://a" * n, "//a:" * n, "//a:b" * n, "-----BEGIN " * (n // 4), "token=" * n, "token " * n]
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(["QUJD" * 16] * 8000) + "\n-----END RSA PRIVATE KEY-----"
+    texts += [key, "ab12" * 6 + " ", ("ab12" * 6 + " ") * 20_000, "x eyJ" + "a" * 9 + ".b" + "b" * 8 + ".c" + "c" * 8 + " see https://me:pw@host/x"]
+    docs = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "path int, version int, text string").repartition(4)
+    got = {r.path: r.spans for r in secrets.scan(docs, str(tmp_path / "ledger")).collect()}
+    kinds = {k: [secrets.KINDS[s.rank] for s in v] for k, v in got.items()}
+    assert all(not kinds[k] for k in (0, 1, 2, 3, 6, 8))
+    assert kinds[9] == ["private_key"] and (got[9][0].start, got[9][0].stop) == (0, key.index("\n-----END"))
+    assert [(s.start, s.stop) for s in got[11]] == [(25 * k, 25 * k + 24) for k in range(20_000)]
+    assert kinds[12] == ["jwt", "url_login"] and texts[12][got[12][1].start : got[12][1].stop] == "//me:pw@"
+    text = texts[11]
+    (masked,) = spark.createDataFrame([(text, got[11])], f"t string, s {secrets.SPAN}").select(secrets.redacted(secrets.F.col("t"), secrets.F.col("s"))).first()
+    assert masked == "[secret:hex] " * 20_000
