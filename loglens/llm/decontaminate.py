@@ -1,23 +1,32 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The corpus is kept once as a forward index of normalized texts. For the terms that a query needs, postings are stored:
-one row per occurrence with its position and the occurrences of its neighbours (as many words to either side as a window
-can reach), which are the parts of the other terms' lists that can meet it. A query phrase is answered from its rarest
-terms: of every window of the phrase the rarest term by corpus frequency is an anchor, its postings give the alignments
-document position - phrase position, and the neighbours' offset-adjusted positions are intersected along each alignment.
-As every window holds its own anchor, no occurrence is lost.
+The corpus is kept once as a forward index of normalized texts. Posting lists are written from it, a row (term, row_id, pos)
+per occurrence, for the terms that a query starts from. A phrase is answered from its rarest terms:
+
+- Of every window of a phrase the rarest term by corpus frequency is an anchor. The anchors' lists are stored, and each
+  posting gives an alignment: document position - phrase position.
+- The lists of the other terms are stored as far as they concern rows with an alignment.
+- Each alignment says where the terms around its anchor must stand. These places are intersected with the lists by an
+  equi-join on row, position and term; runs of hits as long as a window are occurrences.
+
+As every window holds its own anchor, no occurrence is lost. Nothing carries texts or whole phrases along: the tables that
+are joined have a term and a few numbers a row. A side is broadcast only if its rows times their width are within
+BROADCAST_BYTES; beyond it the join is a shuffle whose keys are salted, so that a hot term or phrase is no single task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglens.llm.common import LOWER, UPPER, n_words, spaced, stored, table, words
 
 WINDOW = 10
-#: Query terms are broadcast up to this many rows (about 100 bytes each); beyond, they are joined by a shuffle.
-BROADCAST_TERMS = 200_000
+#: Sides of a join are broadcast up to this size, counted as rows times ROW_BYTES and the bytes of their terms.
+BROADCAST_BYTES, ROW_BYTES = 48 << 20, 64
+SALTS = 16
 
 
 def forward_index(docs: DataFrame) -> DataFrame:
@@ -26,75 +35,102 @@ def forward_index(docs: DataFrame) -> DataFrame:
     return stored(rows.select("row_id", "doc_id", "text_key", n_words(F.col("body")).alias("n_words"), "body"), "forward")
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast only if its counted rows are within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_TERMS else df
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """many joined with a stored few: broadcast if it is small enough, else with each of its rows in SALTS copies that the
+    rows of many are dealt to."""
+    text = reduce(lambda a, b: a + b, (F.octet_length(c) for c, t in few.dtypes if t == "string"), F.lit(0))
+    size = few.agg(F.sum(F.lit(ROW_BYTES) + F.coalesce(text, F.lit(0)))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return many.join(F.broadcast(few), keys, how)
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*[c for c in many.columns if c != "body"]), F.lit(SALTS)).cast("int")
+    return many.withColumn("_salt", salt).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
 def _tokens(index: DataFrame) -> DataFrame:
-    return index.where("n_words > 0").select("row_id", words(F.col("body")).alias("words")).select("row_id", "words", F.posexplode("words").alias("pos", "term"))
+    return index.where("n_words > 0").select("row_id", F.posexplode(words(F.col("body"))).alias("pos", "term"))
 
 
-def term_counts(index: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """Occurrences of each of the distinct terms (term) in the whole index; 0 for terms that don't occur."""
-    found = index.where("n_words > 0").select(F.explode(words(F.col("body"))).alias("term")).join(bounded(terms, n_terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """Occurrences of each of the distinct stored terms (term) in the whole index; 0 for terms that don't occur."""
+    found = spread_join(_tokens(index).select("term"), terms, ["term"]).groupBy("term").agg(F.count("*").alias("n"))
     return terms.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def postings(index: DataFrame, terms: DataFrame, n_terms: int, reach: int) -> DataFrame:
-    """(term, row_id, pos, near, at): near are the words within reach of pos, at is the index of pos in them."""
-    low = F.greatest(F.col("pos") - reach, F.lit(0))
-    found = _tokens(index).join(bounded(terms, n_terms), "term")
-    return found.select("term", "row_id", "pos", F.slice("words", low + 1, F.lit(2 * reach + 1)).alias("near"), (F.col("pos") - low).alias("at"))
+def postings(index: DataFrame, terms: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """The stored posting lists (term, row_id, pos) of the stored terms (term), of all rows or of the stored rows (row_id)."""
+    own = index if rows is None else spread_join(index, rows, ["row_id"], "left_semi")
+    return stored(spread_join(_tokens(own), terms, ["term"]).select("term", "row_id", "pos"), "postings")
 
 
 def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """items (item_id, text, ...) -> (item_id, words, size): size is the window's, all words of an item that has fewer."""
+    """items (item_id, text, ...) -> stored (phrase_id, item_id, ipos, last, size, term), a row per word of a distinct phrase;
+    last is the last ipos, size the window's: all words of an item that has fewer."""
     made = items.select("item_id", words(spaced(F.col("text"))).alias("words")).where(F.size("words") > 0).distinct()
-    return made.select("item_id", "words", F.least(F.size("words"), F.lit(window)).alias("size"))
-
-
-def anchors(made: DataFrame, counts: DataFrame) -> DataFrame:
-    """phrases -> (item_id, words, size, apos, term): the rarest term of each window, first position on ties."""
-    terms = made.select("item_id", "words", "size", F.posexplode("words").alias("pos", "term")).join(counts, "term")
-    ranked = terms.groupBy("item_id", "words", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda x: x["n"]).alias("ns"))
-    starts = F.sequence(F.lit(0), F.size("words") - F.col("size"))
-    rarest = F.transform(starts, lambda s: s + F.array_position(F.slice("ns", s + 1, F.col("size")), F.array_min(F.slice("ns", s + 1, F.col("size")))).cast("int") - 1)
-    return ranked.select("item_id", "words", "size", F.explode(F.array_distinct(rarest)).alias("apos")).withColumn("term", F.get("words", F.col("apos")))
+    made = stored(made.withColumn("phrase_id", F.monotonically_increasing_id()), "phrases")
+    n = F.size("words")
+    own = made.select("phrase_id", "item_id", (n - 1).alias("last"), F.least(n, F.lit(window)).alias("size"), F.posexplode("words").alias("ipos", "term"))
+    return stored(own, "phrase-terms")
 
 
-def _run(step: int) -> Column:
-    """Words that agree one after the other from the anchor in one direction, at most size - 1."""
-    agree = F.transform(F.sequence(F.lit(1), F.lit(WINDOW)), lambda k: F.coalesce((k < F.col("size")) & (F.get("near", F.col("at") + step * k) == F.get("words", F.col("apos") + step * k)), F.lit(False)))
-    return F.when(F.forall(agree, lambda x: x), F.size(agree)).otherwise(F.array_position(agree, F.lit(False)).cast("int") - 1)
+def anchors(made: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """phrases() -> (phrase_id, apos, term): the rarest term of each window, first position on ties. Windows with a term that
+    doesn't occur have none."""
+    known = made.join(counts, "term")
+    ahead = Window.partitionBy("phrase_id").orderBy("ipos").rowsBetween(0, window - 1)
+    rarest = known.withColumn("r", F.min(F.struct("n", "ipos", "term")).over(ahead)).where(F.col("ipos") + F.col("size") - 1 <= F.col("last"))
+    return rarest.where("r.n > 0").select("phrase_id", F.col("r.ipos").alias("apos"), F.col("r.term").alias("term"), "last", "size").distinct()
 
 
 def phrase_matches(index: DataFrame, items: DataFrame) -> DataFrame:
-    """(row_id, item_id, start, end): words start to end (inclusive) of the row are covered by windows of the item that
-    occur there around one anchor. All covered words of a row are the union of its ranges."""
-    made = stored(phrases(items), "phrases")
-    terms = stored(made.select(F.explode("words").alias("term")).distinct(), "terms")
-    counts = stored(term_counts(index, terms, terms.count()), "counts")
+    """(row_id, item_id, start, end): words start to end (inclusive) of the row are a run of words of the item that is at
+    least a window long. All covered words of a row are the union of its ranges."""
+    made = phrases(items)
+    terms = stored(made.select("term").distinct(), "terms")
+    counts = stored(term_counts(index, terms), "counts")
     anchored = stored(anchors(made, counts), "anchors")
-    rarest = anchored.join(counts, "term").where("n > 0").select("item_id", "words", "size", "apos", "term")
-    wanted = rarest.select("term").distinct()
-    found = postings(index, wanted, terms.count(), WINDOW - 1).join(bounded(rarest, anchored.count()), "term")
-    aligned = found.withColumn("back", _run(-1)).withColumn("ahead", _run(1)).where(F.col("back") + F.col("ahead") + 1 >= F.col("size"))
-    return aligned.select("row_id", "item_id", (F.col("pos") - F.col("back")).alias("start"), (F.col("pos") + F.col("ahead")).alias("end")).distinct()
+    listed = postings(index, stored(anchored.select("term").distinct(), "anchor-terms"))
+    met = spread_join(listed, anchored, ["term"])
+    low, high = F.greatest(F.col("apos") - F.col("size") + 1, F.lit(0)), F.least(F.col("apos") + F.col("size") - 1, F.col("last"))
+    aligned = met.select("row_id", "phrase_id", (F.col("pos") - F.col("apos")).alias("off"), low.alias("low"), high.alias("high"))
+    aligned = stored(aligned.distinct(), "alignments")
+    others = postings(index, terms, stored(aligned.select("row_id").distinct(), "aligned-rows"))
+    places = aligned.select("row_id", "phrase_id", "off", F.explode(F.sequence("low", "high")).alias("ipos")).distinct()
+    expected = spread_join(places, made.select("phrase_id", "ipos", "term", "size"), ["phrase_id", "ipos"])
+    expected = expected.withColumn("pos", F.col("off") + F.col("ipos"))
+    hits = expected.join(others, ["row_id", "pos", "term"])
+    run = F.col("ipos") - F.row_number().over(Window.partitionBy("row_id", "phrase_id", "off").orderBy("ipos"))
+    runs = hits.withColumn("run", run).groupBy("row_id", "phrase_id", "off", "size", "run").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
+    found = runs.where(F.col("end") - F.col("start") + 1 >= F.col("size")).select("row_id", "phrase_id", "start", "end")
+    names = stored(made.select("phrase_id", "item_id").distinct(), "phrase-items")
+    return spread_join(found, names, ["phrase_id"]).select("row_id", "item_id", "start", "end").distinct()
 
 
 def proximity_matches(index: DataFrame, queries: DataFrame, span: int) -> DataFrame:
     """queries (query_id, terms array<string>) -> (row_id, query_id, start): the first word of each run of at most span
     words that starts with a term of the query and holds all its terms, in any order. Terms count once."""
     asked = stored(queries.select("query_id", F.array_distinct("terms").alias("asked")).where(F.size("asked") > 0), "queries")
-    terms = stored(asked.select(F.explode("asked").alias("term")).distinct(), "terms")
-    counts = term_counts(index, terms, terms.count())
-    rarest = asked.select("query_id", "asked", F.explode("asked").alias("term")).join(counts, "term").groupBy("query_id", "asked").agg(F.min(F.struct("n", "term")).alias("r")).select("query_id", "asked", F.col("r.term").alias("term"))
-    rarest = stored(rarest, "rarest")
-    found = postings(index, rarest.select("term").distinct(), terms.count(), span - 1).join(bounded(rarest, rarest.count()), "term")
-    first = F.greatest(F.col("at") - (span - 1), F.lit(0))
-    starts = F.filter(F.sequence(first, F.col("at").cast("int")), lambda s: F.array_contains("asked", F.get("near", s)) & F.forall("asked", lambda t: F.array_contains(F.slice("near", s + 1, F.lit(span)), t)))
-    return found.select("row_id", "query_id", F.explode(F.transform(starts, lambda s: F.col("pos") - F.col("at") + s)).alias("start")).distinct()
+    wanted = stored(asked.select("query_id", F.size("asked").alias("n_terms"), F.explode("asked").alias("term")), "query-terms")
+    terms = stored(wanted.select("term").distinct(), "terms")
+    counts = term_counts(index, terms)
+    rarest = wanted.join(counts, "term").groupBy("query_id").agg(F.min(F.struct("n", "term")).alias("r"))
+    rarest = stored(rarest.select("query_id", F.col("r.term").alias("term")), "rarest")
+    listed = postings(index, stored(rarest.select("term").distinct(), "rarest-terms"))
+    met = stored(spread_join(listed, rarest, ["term"]).select("query_id", "row_id", F.col("pos").alias("apos")), "met")
+    others = postings(index, terms, stored(met.select("row_id").distinct(), "met-rows"))
+    # only postings less than span from an anchor can meet it: those of its own stretch of span words and the two beside it
+    stretch = F.floor(F.col("apos") / span)
+    asking = spread_join(met.select("*", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")), wanted, ["query_id"])
+    near = asking.join(others.withColumn("stretch", F.floor(F.col("pos") / span)), ["row_id", "term", "stretch"])
+    near = near.where(F.abs(F.col("pos") - F.col("apos")) < span)
+    held = near.groupBy("row_id", "query_id", "apos", "n_terms").agg(F.collect_list(F.struct("pos", "term")).alias("held"))
+
+    def whole(p: Column) -> Column:
+        inside = F.filter("held", lambda q: (q["pos"] >= p["pos"]) & (q["pos"] < p["pos"] + span))
+        return F.size(F.array_distinct(F.transform(inside, lambda q: q["term"]))) == F.col("n_terms")
+
+    starts = F.filter("held", lambda p: (p["pos"] <= F.col("apos")) & whole(p))
+    return held.select("row_id", "query_id", F.explode(F.transform(starts, lambda p: p["pos"])).alias("start")).distinct()
 
 
 def contamination(index: DataFrame, items: DataFrame) -> DataFrame:
@@ -115,6 +151,8 @@ def contamination(index: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contamination() of documents by benchmark. NULL and empty texts have no words; repeated rows and rows of equal doc_id
+    each get a row by their own text; an empty table gives none; other columns are not read."""
     index = forward_index(table(spark, sf_dir, "documents", "doc_id", "text"))
     return contamination(index, table(spark, sf_dir, "benchmark", "item_id", "text")).drop("row_id", "text_key")
 
