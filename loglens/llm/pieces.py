@@ -21,22 +21,23 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.llm.common import release, stored, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONG, BLOCK_CHARS, PART_CHARS, GROUP_BLOCKS, FLUSH = 60, 12_000_000, 4_000_000, 4096, 400_000
+LONG, BLOCK_CHARS, PART_CHARS, SET_BITS, GROUP_BLOCKS, FLUSH = 60, 12_000_000, 4_000_000, 60, 3840, 100_000
 MAX_ODD = 20
 HASH_KEYS, HASH_LIMIT = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 250_000
+PARTITIONS, COALESCE = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
 SPACE = "▁"
 LETTERS = "A-Za-zÀ-ɏ"
 NORMAL, CONTROL, UNKNOWN, BYTE, UNIGRAM, BPE = 1, 3, 2, 6, 1, 2
@@ -167,11 +168,13 @@ def segment(unit: str, model: Model, index: dict[str, tuple[int, float]]) -> lis
 def lattice(units: DataFrame, model: Model) -> DataFrame:
     """Rows (unit, ...) -> (unit, ..., edges): for a BPE model an array of packed edges, for a unigram model a map from
     start * (LONG + 1) + end to (score, id). Characters that are no piece have an edge with the id NO_PIECE. Of a unit over
-    LONG characters only the first one is looked up. Units are told apart by all their columns.
+    LONG characters only the first one is looked up. Units are told apart by all their columns but arrays.
 
     With rows partitioned by unit, neither the join (the piece table is broadcast, it has less than 2 ** ID_BITS rows) nor
     the grouping moves anything.
     """
+    carried = [c for c, t in units.dtypes if t.startswith("array")]
+    keys, own = [c for c in units.columns if c not in carried], [F.first(c).alias(c) for c in carried]
     ranks = {score: k for k, score in enumerate(sorted({s for *_, s in model.pieces}, reverse=True))}
     packed = [(p, float(s), k, (ranks[s] << RANK_AT) | (len(p) << SIZE_AT) | k) for p, k, s in model.pieces]
     pieces = F.broadcast(units.sparkSession.createDataFrame(packed, "piece string, score double, id int, packed bigint"))
@@ -184,10 +187,10 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
     if model.kind == BPE:
         base = F.coalesce("packed", F.lit((1 << SIZE_AT) | NO_PIECE).cast("long"))
         edge = base + F.shiftleft(F.col("s").cast("long"), START_AT)
-        return found.groupBy(*units.columns).agg(F.collect_list(edge).alias("edges"))
+        return found.groupBy(*keys).agg(*own, F.collect_list(edge).alias("edges"))
     at = (F.col("s") * (LONG + 1) + F.col("s") + F.col("l")).alias("at")
     value = F.struct("score", F.coalesce("id", F.lit(NO_PIECE)).alias("id")).alias("value")
-    grouped = found.groupBy(*units.columns).agg(F.collect_list(F.struct(at, value)).alias("edges"))
+    grouped = found.groupBy(*keys).agg(*own, F.collect_list(F.struct(at, value)).alias("edges"))
     return grouped.withColumn("edges", F.map_from_entries("edges"))
 
 
@@ -272,18 +275,29 @@ def lexicon(units: DataFrame, model: Model) -> DataFrame:
     return made.select(*units.columns, ids.alias("ids"))
 
 
-def _packed(schema: pa.Schema, *columns: pa.Array) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(pa.RecordBatch.from_arrays(list(columns), schema=schema))
-    return sink.getvalue().to_pybytes()
+def _bytes_of(units: pa.StringArray) -> tuple[np.ndarray, bytes]:
+    """The lengths in bytes of an array's strings, and all their bytes."""
+    ends = np.frombuffer(units.buffers()[1], np.int32)[units.offset : units.offset + len(units) + 1]
+    data = units.buffers()[2]
+    return np.diff(ends), b"" if data is None else data.to_pybytes()[ends[0] : ends[-1]]
 
 
-def _unpacked(packed: pa.Scalar) -> pa.Table:
-    return pa.ipc.open_stream(packed.as_buffer()).read_all()
+def _packed(units: pa.StringArray, counts: np.ndarray, values: np.ndarray) -> bytes:
+    """Strings, each with a list of 32-bit numbers, compressed: lengths and numbers apart, so that they compress well."""
+    lengths, data = _bytes_of(units)
+    parts = [lengths.astype("<i4").tobytes(), counts.astype("<i4").tobytes(), values.astype("<i4").tobytes(), data]
+    whole = b"".join(parts)
+    head = np.array([len(units), len(values), len(whole)], "<i8").tobytes()
+    return head + pa.compress(whole, codec="zstd", asbytes=True)
 
 
-UNIT_LISTS = pa.schema([("unit", pa.string()), ("values", pa.list_(pa.int32()))])
+def _unpacked(packed: bytes) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    n, m, size = np.frombuffer(packed[:24], "<i8").tolist()
+    whole = pa.decompress(packed[24:], decompressed_size=size, codec="zstd", asbytes=True)
+    numbers = np.frombuffer(whole[: 4 * (2 * n + m)], "<i4")
+    ends = np.concatenate([[0], np.cumsum(numbers[:n])]).astype(np.int32)
+    units = pa.StringArray.from_buffers(n, pa.py_buffer(ends.tobytes()), pa.py_buffer(whole[4 * (2 * n + m) :]))
+    return units, numbers[n : 2 * n], numbers[2 * n :]
 
 
 class _Units(dict):
@@ -291,10 +305,18 @@ class _Units(dict):
 
     def __init__(self, cut: str):
         super().__init__()
-        self.rx = re.compile(cut)
+        self.rx, self.letter = re.compile(cut), re.compile(f"[{LETTERS}]")
+        # a mark that is cut off the letter ahead of it, as nothing else in a chunk of letters and that mark can be cut
+        self.marks = frozenset(c for c in map(chr, range(33, 127)) if not c.isalnum() and len(self.rx.split("a" + c)) == 2)
 
     def __missing__(self, chunk: str) -> tuple[str, ...]:
-        got = self[chunk] = tuple(u for u in self.rx.split(SPACE + chunk) if u)
+        if chunk.isalpha():
+            got: tuple[str, ...] = (SPACE + chunk,)
+        elif chunk[-1:] in self.marks and chunk[:-1].isalpha() and self.letter.match(chunk[-2]):
+            got = (SPACE + chunk[:-1], chunk[-1])
+        else:
+            got = tuple(u for u in self.rx.split(SPACE + chunk) if u)
+        self[chunk] = got
         return got
 
 
@@ -303,110 +325,53 @@ def _plain(text: str) -> bool:
     return "  " not in text and text[0] != " " and SPACE not in text
 
 
-def _gather(cut: str, n_parts: int) -> Callable:
-    """(block, text) -> (part, blocks, packed): a task's distinct units, each with its blocks, dealt to parts by hash and to
-    groups of GROUP_BLOCKS blocks. A task lets go of what it holds every FLUSH chunks."""
-
-    def dealt(chunks: dict[int, set[str]], odd: dict[int, set[str]], units: _Units) -> Iterator[pa.RecordBatch]:
-        where: dict[tuple[int, str], list[int]] = {}
-        for block in chunks.keys() | odd.keys():
-            group, own = block // GROUP_BLOCKS, set(odd.get(block, ()))
-            for chunk in chunks.get(block, ()):
-                own.update(units[chunk])
-            for unit in own:
-                where.setdefault((group, unit), []).append(block)
-        parts: dict[tuple[int, int], list[str]] = {}
-        for group, unit in where:
-            parts.setdefault((zlib.crc32(unit.encode()) % n_parts, group), []).append(unit)
-        rows = []
-        for (part, group), own in parts.items():
-            own.sort()
-            lists = pa.array([where[group, u] for u in own], pa.list_(pa.int32()))
-            rows.append((part, group, _packed(UNIT_LISTS, pa.array(own, pa.string()), lists)))
-        if rows:
-            kinds = (pa.int32(), pa.int32(), pa.binary())
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "blocks", "packed"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: dict[int, set[str]] = {}
-        odd: dict[int, set[str]] = {}
-        units, held = _Units(cut), 0
-        for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                if not text:
-                    continue
-                if _plain(text):
-                    own = chunks.setdefault(block, set())
-                    held -= len(own)
-                    own.update(text.split(" "))
-                    held += len(own)
-                else:
-                    own = odd.setdefault(block, set())
-                    held -= len(own)
-                    own.update(u for u in units.rx.split(SPACE + text.replace(" ", SPACE)) if u)
-                    held += len(own)
-                if held >= FLUSH:
-                    yield from dealt(chunks, odd, units)
-                    chunks, odd, units, held = {}, {}, _Units(cut), 0
-        yield from dealt(chunks, odd, units)
-        del chunks, odd, units
-        release()
-
-    return run
-
-
-def _merged(part: pa.Table) -> pa.Table:
-    """The units of a part and a group of blocks, from all tasks, each once with all its blocks (32-bit little-endian)."""
-    where: dict[str, set[int]] = {}
-    for packed in part.column("packed"):
-        table = _unpacked(packed)
-        for unit, blocks in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
-            where.setdefault(unit, set()).update(blocks)
-    values = [np.array(sorted(b), "<i4").tobytes() for b in where.values()]
-    out = pa.table({"unit": pa.array(where.keys(), pa.string()), "blocks": pa.array(values, pa.binary())})
-    del where
-    release()
-    return out
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of the stretches that counts gives."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def _deal(model: Model) -> Callable:
-    """Lexicon rows (unit, blocks, ids) -> (block, packed): the part of the lexicon that each block needs."""
-
-    def packs(units: list[str], ids: list, blocks: list[bytes]) -> pa.RecordBatch:
-        sizes = np.fromiter((len(b) // 4 for b in blocks), np.int64, len(blocks))
-        flat = np.frombuffer(b"".join(blocks), "<i4")
-        rows = np.repeat(np.arange(len(units)), sizes)
+    """Lexicon rows (unit, first, bits, ids) -> (block, packed): the part of the lexicon that each block needs."""
+
+    def packs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        whole = whole.take(pc.sort_indices(whole.column(0))).combine_chunks()
+        units, lowest, bits, ids = (whole.column(k).chunk(0) for k in range(4))
+        if ids.null_count:
+            index, lists = {p: (k, s) for p, k, s in model.pieces}, ids.to_pylist()
+            for i, unit in enumerate(units.to_pylist()):
+                if lists[i] is None:
+                    lists[i] = segment(unit, model, index)
+            ids = pa.array(lists, pa.list_(pa.int32()))
+        sets = np.asarray(bits.flatten(), dtype=np.int64).reshape(len(units), -1)
+        lowest = np.asarray(lowest, dtype=np.int64)
+        rows_of, flat_of = [], []
+        for k in range(sets.shape[1] * SET_BITS):
+            at = np.flatnonzero(sets[:, k // SET_BITS] >> (k % SET_BITS) & 1)
+            rows_of.append(at)
+            flat_of.append(lowest[at] + k)
+        rows, flat = np.concatenate(rows_of), np.concatenate(flat_of)
         order = np.argsort(flat, kind="stable")
         names, first = np.unique(flat[order], return_index=True)
-        every, lists = pa.array(units, pa.string()), pa.array(ids, pa.list_(pa.int32()))
+        counts, values = np.diff(np.asarray(ids.offsets)), np.asarray(ids.flatten())
+        starts = np.cumsum(counts) - counts
         out = []
         for own in np.split(rows[order], first[1:]):
-            at = pa.array(own)
-            out.append(_packed(UNIT_LISTS, every.take(at), lists.take(at)))
+            at = np.repeat(starts[own], counts[own]) + _within(counts[own])
+            out.append(_packed(units.take(pa.array(own)), counts[own], values[at]))
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(out, pa.binary())], names=["block", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
-        units: list[str] = []
-        ids: list = []
-        blocks: list[bytes] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            own = batch.column(2).to_pylist()
-            for i, unit in enumerate(batch.column(0).to_pylist()):
-                if own[i] is None:
-                    index = index or {p: (k, s) for p, k, s in model.pieces}
-                    own[i] = segment(unit, model, index)
-                units.append(unit)
-            ids += own
-            blocks += batch.column(1).to_pylist()
-            if len(units) >= FLUSH // 4:
-                yield packs(units, ids, blocks)
-                units, ids, blocks = [], [], []
-        if units:
-            yield packs(units, ids, blocks)
-        del units, ids, blocks
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= FLUSH:
+                yield packs(held)
+                held = []
+        if held:
+            yield packs(held)
+        del held
         release()
 
     return run
@@ -415,6 +380,13 @@ def _deal(model: Model) -> Callable:
 TEXTS = pa.schema([("row_id", pa.int64()), ("text", pa.string())])
 
 
+def _stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, sub, row_id, text) -> (block, sub, packed): the rows of a block in a batch, compressed."""
     for batch in batches:
@@ -424,7 +396,7 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(key, kind="stable")
         names, first = np.unique(key[order], return_index=True)
         rows = [batch.take(pa.array(x)) for x in np.split(order, first[1:])]
-        packed = [_packed(TEXTS, x.column(2), x.column(3)) for x in rows]
+        packed = [_stream(pa.RecordBatch.from_arrays([x.column(2), x.column(3)], schema=TEXTS)) for x in rows]
         columns = [pa.array(names >> 32, pa.int32()), pa.array(names & 0xFFFFFFFF, pa.int32()), pa.array(packed, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["block", "sub", "packed"])
 
@@ -434,13 +406,14 @@ class _Ids(dict):
 
     def __init__(self, cut: str, known: dict[str, bytes]):
         super().__init__()
-        self.rx, self.known = re.compile(cut), known
+        self.units, self.known = _Units(cut), known
 
-    def of(self, marked_text: str) -> bytes:
-        return b"".join([self.known[u] for u in self.rx.split(marked_text) if u])
+    def of(self, units: Iterable[str]) -> bytes:
+        return b"".join([self.known[u] for u in units])
 
     def __missing__(self, chunk: str) -> bytes:
-        got = self[chunk] = self.of(SPACE + chunk)
+        got = self[chunk] = self.of(_Units.__missing__(self.units, chunk))
+        self.units.clear()
         return got
 
 
@@ -448,22 +421,19 @@ def _assembler(cut: str) -> Callable:
     def assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
         known: dict[str, bytes] = {}
         for packed in words.column("packed"):
-            table = _unpacked(packed).combine_chunks()
-            lists = table.column(1).chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int32()))
-            flat, ends = np.asarray(lists.flatten(), dtype="<i4").tobytes(), lists.offsets.to_pylist()
-            for unit, a, b in zip(table.column(0).to_pylist(), ends, ends[1:], strict=False):
-                known[unit] = flat[4 * a : 4 * b]
+            units, counts, values = _unpacked(packed.as_py())
+            flat, ends = values.tobytes(), np.concatenate([[0], np.cumsum(4 * counts.astype(np.int64))]).tolist()
+            known.update(zip(units.to_pylist(), [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
         chunks = _Ids(cut, known)
         rows, ids, ends = [], bytearray(), [0]
         for packed in texts.column("packed"):
-            batch = _unpacked(packed)
+            batch = pa.ipc.open_stream(packed.as_buffer()).read_all()
             rows += batch.column(0).chunks
-            for text in batch.column(1):
-                if text := text.as_py():
-                    if _plain(text):
-                        ids += b"".join(map(chunks.__getitem__, text.split(" ")))
-                    else:
-                        ids += chunks.of(SPACE + text.replace(" ", SPACE))
+            for text in batch.column(1).to_pylist():
+                if text and _plain(text):
+                    ids += b"".join(map(chunks.__getitem__, text.split(" ")))
+                elif text:
+                    ids += chunks.of(u for u in chunks.units.rx.split(SPACE + text.replace(" ", SPACE)) if u)
                 ends.append(len(ids) // 4)
         del known, chunks
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, "<i4")))
@@ -485,20 +455,30 @@ def encode(rows: DataFrame, model: Model) -> DataFrame:
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks, n_parts = -(-chars // BLOCK_CHARS) or 1, -(-chars // PART_CHARS) or 1
     block = F.pmod(F.xxhash64("row_id", "text"), F.lit(n_blocks)).cast("int").alias("block")
-    gathered = own.select(block, "text").mapInArrow(_gather(model.cut, n_parts), "part int, blocks int, packed binary")
-    distinct = gathered.groupBy("part", "blocks").applyInArrow(_merged, "unit string, blocks binary")
-    before = spark.conf.get(HASH_KEYS)
-    spark.conf.set(HASH_KEYS, str(HASH_LIMIT))  # a task groups its units in memory, without sorting their edges
+    # the blocks of a unit are bits, as many columns of them as the corpus needs, up to GROUP_BLOCKS blocks a row
+    width = min(n_blocks, GROUP_BLOCKS)
+    place = F.col("block") % GROUP_BLOCKS
+    units = own.select(block, F.explode(F.split(marked(F.col("text")), model.cut, -1)).alias("unit")).where("unit <> ''")
+    bit = lambda k: F.when(place.between(k, k + SET_BITS - 1), F.call_function("shiftleft", F.lit(1).cast("long"), place - k)).otherwise(0)
+    sets = [F.bit_or(bit(k)).alias(f"bits{k}") for k in range(0, width, SET_BITS)]
+    held = units.groupBy("unit", (F.col("block") - place).alias("first")).agg(*sets)
+    held = held.select("unit", "first", F.array(*[f"bits{k}" for k in range(0, width, SET_BITS)]).alias("bits"))
+    wanted = {PARTITIONS: str(n_parts), COALESCE: "false", HASH_KEYS: str(HASH_LIMIT)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    # each task groups the units of its part in memory, without sorting their edges
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
-        known = stored(lexicon(distinct.repartition(n_parts, "unit", "blocks"), model), "lexicon")
+        known = stored(lexicon(held, model), "lexicon")
     finally:
-        spark.conf.set(HASH_KEYS, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     sizes = own.select(block, F.length("text").alias("n")).groupBy("block").agg(F.sum("n").alias("n"))
     large = sizes.where(F.col("n") > 2 * BLOCK_CHARS).select("block", F.ceil(F.col("n") / BLOCK_CHARS).cast("int").alias("subs"))
     large = F.broadcast(stored(large, "large-blocks"))
     sub = F.when(F.col("subs").isNull(), F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("subs")))
     texts = own.select(block, "row_id", "text").join(large, "block", "left").select("block", sub.cast("int").alias("sub"), "row_id", "text")
-    words = known.select("unit", "blocks", "ids").mapInArrow(_deal(model), "block int, packed binary").join(large, "block", "left")
+    words = known.select("unit", "first", "bits", "ids").mapInArrow(_deal(model), "block int, packed binary").join(large, "block", "left")
     words = words.select("block", F.explode(F.sequence(F.lit(0), F.coalesce("subs", F.lit(1)) - 1)).alias("sub"), "packed")
     packed = texts.mapInArrow(_pack_texts, "block int, sub int, packed binary")
     both = packed.groupBy("block", "sub").cogroup(words.groupBy("block", "sub"))
@@ -509,7 +489,7 @@ def _decoder(model: Model) -> Callable[[np.ndarray], str]:
     shown = model.shown
 
     def decoded(ids: np.ndarray) -> str:
-        data = b"".join([shown[k] for k in ids.tolist()])
+        data = b"".join(map(shown.__getitem__, ids.tolist()))
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
     return decoded
