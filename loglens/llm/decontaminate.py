@@ -3,8 +3,8 @@
 The corpus is kept once as a forward index of normalized texts. Posting lists are written from it, a row (term, row_id, pos)
 per occurrence, for the terms that a query starts from. A phrase is answered from its rarest terms:
 
-- Of every window of a phrase the rarest term by corpus frequency is an anchor. The anchors' lists are stored, and each
-  posting gives an alignment: document position - phrase position.
+- Of every window of a phrase the rarest term by corpus frequency is an anchor. Each posting of its list gives an alignment,
+  document position - phrase position, which is kept if the list of the window's next rarest term has its place.
 - The lists of the other terms are stored as far as they concern rows with an alignment.
 - Each alignment says where the terms around its anchor must stand. These places are intersected with the lists by an
   equi-join on row, position and term; runs of hits as long as a window are occurrences.
@@ -74,12 +74,27 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def anchors(made: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """phrases() -> (phrase_id, apos, term): the rarest term of each window, first position on ties. Windows with a term that
-    doesn't occur have none."""
+    """phrases() -> (phrase_id, last, size, term, apos, second, bpos): the rarest term of each window and the next rarest, NULL
+    in windows of one word; first position on ties. Windows with a term that doesn't occur have none."""
     known = made.join(counts, "term")
     ahead = Window.partitionBy("phrase_id").orderBy("ipos").rowsBetween(0, window - 1)
-    rarest = known.withColumn("r", F.min(F.struct("n", "ipos", "term")).over(ahead)).where(F.col("ipos") + F.col("size") - 1 <= F.col("last"))
-    return rarest.where("r.n > 0").select("phrase_id", F.col("r.ipos").alias("apos"), F.col("r.term").alias("term"), "last", "size").distinct()
+    ranked = F.array_sort(F.collect_list(F.struct("n", "ipos", "term")).over(ahead))
+    rarest = known.withColumn("r", ranked).where(F.col("ipos") + F.col("size") - 1 <= F.col("last"))
+    first, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
+    out = rarest.where(first["n"] > 0).select("phrase_id", "last", "size", first["term"].alias("term"), first["ipos"].alias("apos"), second["term"].alias("second"), second["ipos"].alias("bpos"))
+    return out.distinct()
+
+
+def alignments(listed: DataFrame, anchored: DataFrame) -> DataFrame:
+    """The posting lists of the anchors' terms and next rarest terms, and anchors() -> stored (row_id, phrase_id, off, low,
+    high): where both stand in their places, the positions low to high of the phrase are to be looked at."""
+    met = spread_join(listed, anchored, ["term"]).withColumn("off", F.col("pos") - F.col("apos")).drop("pos", "term")
+    near, far = F.least("apos", "bpos"), F.greatest("apos", "bpos")
+    low, high = F.greatest(far - F.col("size") + 1, F.lit(0)).alias("low"), F.least(near + F.col("size") - 1, F.col("last")).alias("high")
+    places = met.where("second IS NOT NULL").withColumn("pos", F.col("off") + F.col("bpos")).withColumnRenamed("second", "term")
+    both = places.join(listed, ["row_id", "pos", "term"]).select("row_id", "phrase_id", "off", low, high)
+    alone = met.where("second IS NULL").select("row_id", "phrase_id", "off", low, high)
+    return stored(both.unionByName(alone).distinct(), "alignments")
 
 
 def phrase_matches(index: DataFrame, items: DataFrame) -> DataFrame:
@@ -89,11 +104,8 @@ def phrase_matches(index: DataFrame, items: DataFrame) -> DataFrame:
     terms = stored(made.select("term").distinct(), "terms")
     counts = stored(term_counts(index, terms), "counts")
     anchored = stored(anchors(made, counts), "anchors")
-    listed = postings(index, stored(anchored.select("term").distinct(), "anchor-terms"))
-    met = spread_join(listed, anchored, ["term"])
-    low, high = F.greatest(F.col("apos") - F.col("size") + 1, F.lit(0)), F.least(F.col("apos") + F.col("size") - 1, F.col("last"))
-    aligned = met.select("row_id", "phrase_id", (F.col("pos") - F.col("apos")).alias("off"), low.alias("low"), high.alias("high"))
-    aligned = stored(aligned.distinct(), "alignments")
+    wanted = anchored.select("term").union(anchored.where("second IS NOT NULL").select("second")).distinct()
+    aligned = alignments(postings(index, stored(wanted, "anchor-terms")), anchored)
     others = postings(index, terms, stored(aligned.select("row_id").distinct(), "aligned-rows"))
     places = aligned.select("row_id", "phrase_id", "off", F.explode(F.sequence("low", "high")).alias("ipos")).distinct()
     expected = spread_join(places, made.select("phrase_id", "ipos", "term", "size"), ["phrase_id", "ipos"])
