@@ -11,7 +11,7 @@ words. A text holds what its blocks hold, so texts are filtered before blocks ar
 - Positional filter: the words of the texts left are ranked, and from the place of the rarest word that a text shares with
   the template on, a ranks must be left in the text.
 
-Of what is left every line and every window is verified. Texts are known by the MD5 of their content, so copies are
+Of what is left, the texts that hold a words of the template are looked at line by line and window by window. Texts are known by the MD5 of their content, so copies are
 filtered and verified once, and nothing depends on how rows are dealt to tasks.
 """
 
@@ -66,10 +66,14 @@ def template_words(templates: list[tuple[str, str]]) -> list[tuple[int, str, lis
     return [x for x in out if x[2]]
 
 
-def _tokens(rows: DataFrame) -> DataFrame:
-    """(key, n, word) of rows (key, text): every word of a text, n being how many there are."""
-    split = rows.select("key", words(spaced(F.col("text"))).alias("words"))
-    return split.select("key", F.size("words").alias("n"), F.explode("words").alias("word"))
+def bodies_of(rows: DataFrame) -> DataFrame:
+    """rows (key, text, ...) -> (..., key, body): the words of each text, put together once for all passes over them."""
+    return rows.select(*[c for c in rows.columns if c != "text"], spaced(F.col("text")).alias("body"))
+
+
+def _tokens(bodies: DataFrame) -> DataFrame:
+    """(key, n, word) of bodies (key, body): every word of a text, n being how many there are."""
+    return bodies.select("key", n_words(F.col("body")).alias("n"), F.explode(words(F.col("body"))).alias("word"))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -77,9 +81,10 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST else df.hint("shuffle_hash")
 
 
-def candidates(rows: DataFrame, made: list, rank: dict[str, int], threshold: float) -> tuple[DataFrame, DataFrame]:
-    """rows (key, text) -> the texts (key, text) that pass the prefix and length filters, one a key, and the pairs
-    (key, template) that pass the positional filter too. rank: template words in their global order."""
+def candidates(rows: DataFrame, bodies: DataFrame, made: list, rank: dict[str, int], threshold: float) -> tuple[DataFrame, DataFrame]:
+    """rows (key, text) and their bodies (key, body) -> the texts (key, text) that pass the prefix and length filters, one a
+    key, and the pairs (key, template) that pass the positional filter too and whose text holds enough of the template's
+    words to be looked at block by block. rank: template words in their global order."""
     spark = rows.sparkSession
     prefixes = []
     for k, _, ws in made:
@@ -88,29 +93,32 @@ def candidates(rows: DataFrame, made: list, rank: dict[str, int], threshold: flo
             prefixes.append((w, k, tpos, rank[w], least))
     schema = "word string, template int, tpos int, rank int, least int"
     prefix = F.broadcast(spark.createDataFrame(prefixes, schema))
-    met = _tokens(rows).join(prefix, "word").where(F.col("n") >= F.col("least"))
+    met = _tokens(bodies).join(prefix, "word").where(F.col("n") >= F.col("least"))
     # the first word of the template that the text holds, by rank
     pairs = met.groupBy("key", "template", "least").agg(F.min("rank").alias("rank"))
     pairs = stored(pairs, "license-prefixes")
     keys = _few(stored(pairs.select("key").distinct(), "license-keys"))
     texts = stored(rows.join(keys, "key", "left_semi").dropDuplicates(["key"]), "license-texts")
     ranks = F.broadcast(spark.createDataFrame(list(rank.items()), "word string, r int"))
-    held = _tokens(texts).join(ranks, "word").groupBy("key").agg(F.sort_array(F.collect_set("r")).alias("held"))
+    held = _tokens(bodies_of(texts)).join(ranks, "word").groupBy("key").agg(F.sort_array(F.collect_set("r")).alias("held"))
     remaining = F.size("held") - F.array_position("held", F.col("rank")) + 1
-    left = pairs.join(held, "key").where(remaining >= F.col("least")).select("key", "template")
+    left = pairs.join(held, "key").where(remaining >= F.col("least"))
+    whole = F.broadcast(spark.createDataFrame([(k, [rank[w] for w in ws]) for k, _, ws in made], "template int, tranks array<int>"))
+    left = left.join(whole, "template").where(F.size(F.array_intersect("held", "tranks")) >= F.col("least")).select("key", "template")
     return texts, stored(left, "license-candidates")
 
 
-def similar_blocks(rows: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """rows (key, text), the key standing for the text -> (key, template, label, containment) for every pair with a block
-    that meets the threshold, a row each; containment is that of the best block. NULL texts and keys are left out."""
+def similar_blocks(rows: DataFrame, bodies: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """rows (key, text), the key standing for the text, and bodies_of() them, stored -> (key, template, label, containment)
+    for every pair with a block that meets the threshold, a row each; containment is that of the best block. NULL texts and
+    keys are left out."""
     spark, made = rows.sparkSession, template_words(templates)
     vocabulary = spark.createDataFrame([(w,) for w in sorted({w for *_, ws in made for w in ws})], "word string")
-    counted = _tokens(rows).join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+    counted = _tokens(bodies).join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
     counts = {r.word: r.n for r in counted.collect()}  # at most a row per template word
     order = sorted({w for *_, ws in made for w in ws}, key=lambda w: (counts.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
-    texts, left = candidates(rows, made, rank, threshold)
+    texts, left = candidates(rows, bodies, made, rank, threshold)
     listed = [
         (k, label, ws, math.ceil(threshold * len(ws) - 1e-9), math.ceil(len(WORD.findall(templates[k][1])) / threshold - 1e-9))
         for k, label, ws in made
@@ -156,10 +164,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select("doc_id", F.unhex(F.md5(text)).alias("key"), text.alias("text"))
-    body = own.select("doc_id", "key", spaced(F.col("text")).alias("body"))
+    bodies = stored(bodies_of(own), "license-bodies")
     places = [c.alias(k) for k, c in phrase_places(F.col("body")).items()]
-    base = stored(body.select("doc_id", "key", n_words(F.col("body")).alias("n_words"), *places), "licenses")
-    near = similar_blocks(own.select("key", "text"), templates, threshold)
+    base = bodies.select("doc_id", "key", n_words(F.col("body")).alias("n_words"), *places)
+    near = similar_blocks(own.select("key", "text"), bodies.select("key", "body"), templates, threshold)
     more = stored(near.groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("score")), "license-labels")
     out = base.join(_few(more), "key", "left")
     labels = F.array_sort(F.array_union("base_labels", F.coalesce("more", F.array().cast("array<string>"))))

@@ -118,7 +118,7 @@ def test_filters_prune_what_cannot_meet_a_template(spark):
     for w in sorted({w for *_, ws in made for w in ws}, key=lambda w: (w in common, w)):
         rank[w] = len(rank)
     rows = spark.createDataFrame([("a", "the of to and " * 50), ("b", "0"), ("c", MIT), ("d", "0 boost " + "x " * 50)], "key string, text string")
-    texts, pairs = licenses.candidates(rows, made, rank, licenses.THRESHOLD)
+    texts, pairs = licenses.candidates(rows, licenses.bodies_of(rows), made, rank, licenses.THRESHOLD)
     assert {r.key for r in texts.collect()} == {"c", "d"}  # common words pass no prefix, one word is too short
     assert {r.key for r in pairs.collect()} == {"c"}  # too few ranks are left behind 0
 
