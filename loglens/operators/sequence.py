@@ -193,23 +193,23 @@ def greedy_matches(left: DataFrame, right: DataFrame, keys: list[str], within: f
 def branch_paths(nodes: DataFrame) -> DataFrame:
     """nodes (conv_id, node, parent, ord) -> (conv_id, leaf, node, depth): every node on the way from each leaf to its root.
 
-    Each round doubles the distance walked, so a path of n nodes takes log2(n) joins, and a cycle shows as a distance that
-    no path can have. Conversations with a cycle or a parent that is missing are left out.
+    Every node keeps one pointer, to its 2**k-th ancestor; each round lengthens all paths from the leaves by that distance
+    and doubles the pointers. So a path of n nodes takes log2(n) rounds, and nothing is made that is not in the result but
+    a row per node. Conversations with a cycle or a parent that is missing are left out.
     """
     tree = settled(nodes.select("conv_id", "node", "parent"))
-    size = tree.groupBy("conv_id").agg(F.count("*").alias("n"))
+    most = tree.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     known = tree.select("conv_id", F.col("node").alias("parent"))
     dangling = tree.where(F.col("parent").isNotNull()).join(known, ["conv_id", "parent"], "left_anti").select("conv_id").distinct()
     tree = tree.join(dangling, "conv_id", "left_anti")
-    most = tree.join(size, "conv_id").agg(F.max("n")).first()[0] or 0
-    up = tree.where(F.col("parent").isNotNull()).select("conv_id", "node", F.col("parent").alias("above"), F.lit(1).alias("d"))
-    step, walked = up, 1
-    while walked < most:
-        hop = step.where(F.col("d") == walked).select("conv_id", F.col("node").alias("above"), F.col("above").alias("top"), F.col("d").alias("d2"))
-        far = up.join(hop, ["conv_id", "above"]).select("conv_id", "node", F.col("top").alias("above"), (F.col("d") + F.col("d2")).alias("d"))
-        up = settled(up.unionByName(far).distinct())
-        step, walked = up, walked * 2
-    cyclic = up.where(F.col("node") == F.col("above")).select("conv_id").distinct()
-    leaves = tree.select("conv_id", F.col("node").alias("leaf")).join(tree.select("conv_id", F.col("parent").alias("leaf")), ["conv_id", "leaf"], "left_anti").join(cyclic, "conv_id", "left_anti")
-    own = leaves.select("conv_id", "leaf", F.col("leaf").alias("node"), F.lit(0).alias("depth"))
-    return settled(own.unionByName(leaves.join(up.withColumnRenamed("node", "leaf"), ["conv_id", "leaf"]).select("conv_id", "leaf", F.col("above").alias("node"), F.col("d").alias("depth"))))
+    inner = tree.select("conv_id", F.col("parent").alias("leaf"))
+    leaves = tree.select("conv_id", F.col("node").alias("leaf")).join(inner, ["conv_id", "leaf"], "left_anti")
+    paths = settled(leaves.select("conv_id", "leaf", F.col("leaf").alias("node"), F.lit(0).alias("depth")))
+    pointer, walked = settled(tree.where(F.col("parent").isNotNull()).select("conv_id", "node", F.col("parent").alias("above"))), 1
+    while walked < most and not pointer.isEmpty():
+        further = paths.join(pointer, ["conv_id", "node"]).select("conv_id", "leaf", F.col("above").alias("node"), (F.col("depth") + walked).alias("depth"))
+        paths = settled(paths.unionByName(further))
+        hop = pointer.select("conv_id", F.col("node").alias("above"), F.col("above").alias("top"))
+        pointer, walked = settled(pointer.join(hop, ["conv_id", "above"]).select("conv_id", "node", F.col("top").alias("above"))), 2 * walked
+    # a pointer that is left is longer than any path, so it goes round a cycle
+    return settled(paths.join(pointer.select("conv_id").distinct(), "conv_id", "left_anti"))

@@ -40,6 +40,15 @@ def smooth_rate(rows: DataFrame, *keys: str) -> DataFrame:
     return judged(rows).groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("good").alias("good"), text.half_even(F.count_if("good") / F.count("*"), 3).alias("smooth_rate"))
 
 
+def overall(rows: DataFrame) -> DataFrame:
+    """One row (prompts, judged, good, smooth_rate, infra, infra_share); the rate is NULL where nothing was judged."""
+    good, judged_ = F.count_if(F.col("next_reaction").isin(text.GOOD)), F.count_if(F.col("next_reaction").isin(text.JUDGED))
+    infra, n = F.count_if(F.col("next_reaction") == "infra"), F.count("*")
+    rate = F.when(judged_ > 0, text.half_even(good / judged_, 3)).alias("smooth_rate")
+    share = text.half_even(infra / F.greatest(F.lit(1), n), 3).alias("infra_share")
+    return rows.agg(n.alias("prompts"), judged_.alias("judged"), good.alias("good"), rate, infra.alias("infra"), share)
+
+
 def feature_lift(rows: DataFrame) -> DataFrame:
     """(feature, with_*, without_*, lift, consistent, confidence, usage_share): one grouped pass over feature and agent."""
     flags = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.array_contains("features", n).alias("has")) for n in text.FEATURES])).alias("f")

@@ -118,6 +118,7 @@ def heat(value: dict, where: str) -> Iterator[str]:
 
 def components(profile: str, scrub: Callable[[str], str]) -> dict[str, Rule]:
     full = profile == "default-12"
+    # fixed value: how a colour may be written
     color = like(r"#[0-9a-fA-F]{3}(?:[0-9a-fA-F]{3})?|var\(--(?:" + "|".join(PALETTE) + r")\)")
     agent, quote = one_of(AGENTS), quotation(scrub)
     part = dict(value=number(), color_=color, agent_=agent)
@@ -212,7 +213,7 @@ def shares(values: list[float]) -> list[float]:
     return [100 * v / total for v in values]
 
 
-def opacity(n: float, most: float) -> int:
+def opacity(n: float, most: float) -> int:  # fixed value: the steps from 35 to 100 percent
     return round((0.35 + 0.65 * math.sqrt(n / most)) * 100) if n and most else 0
 
 

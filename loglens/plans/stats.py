@@ -72,6 +72,20 @@ def projects(prompts: DataFrame, usage: DataFrame, k: int = 10) -> DataFrame:
     return both.select("project", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tokens", "prompts", "sessions")])
 
 
+def prompt_totals(prompts: DataFrame) -> DataFrame:
+    """One row (prompts, sessions_driven): prompts that a person typed, and the sessions with one."""
+    return human(prompts).agg(F.count("*").alias("prompts"), F.count_distinct(F.struct("agent", "session")).alias("sessions_driven"))
+
+
+def projects_by_agent(prompts: DataFrame, usage: DataFrame, k: int = 10) -> DataFrame:
+    """projects() with by_agent, the tokens of each agent in a project as a map; empty without usage."""
+    top = projects(prompts, usage, k)
+    own = project_agents(usage).join(F.broadcast(top.select("project")), "project")  # at most k projects
+    own = own.groupBy("project").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("agent", "tokens")))).alias("by_agent"))
+    none = F.create_map().cast("map<string,bigint>")
+    return top.join(own, "project", "left").withColumn("by_agent", F.coalesce("by_agent", none))
+
+
 def project_agents(usage: DataFrame) -> DataFrame:
     return usage.groupBy("project", "agent").agg(_sum(tokens()).alias("tokens"))
 
@@ -95,7 +109,8 @@ def prompt_grid(prompts: DataFrame) -> DataFrame:
 
 
 def busiest_hour(prompts: DataFrame, usage: DataFrame) -> DataFrame:
-    top = output_grid(usage).agg(F.max_by(F.struct("hour", "output"), F.struct("output", -F.col("first"))).alias("t")).select("t.hour", "t.output")
+    """One row (hour, output, prompts): the hour with the most output, what was read first on ties; none without usage."""
+    top = output_grid(usage).orderBy(F.desc("output"), "first").limit(1).drop("first")
     return F.broadcast(top).join(prompt_grid(prompts), "hour", "left").groupBy("hour", "output").agg(_sum(F.col("n")).alias("prompts"))
 
 

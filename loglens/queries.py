@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglens import reader_queries
 from loglens.functions import redact, text
 from loglens.operators import sequence
 from loglens.plans import coaching, stats
@@ -63,6 +64,9 @@ add("tokens_by_model", on("usage")(stats.models), f"{_U} SELECT model, {_SUM(_TO
 add("projects_top10", on("prompts", "usage")(stats.projects), f"""{_PU}, u AS (SELECT project, sum({_TOK}) AS tokens, min(ord) AS first FROM usage GROUP BY project),
   q AS (SELECT project, count(*) AS prompts, count(DISTINCT (agent, session)) AS sessions FROM p GROUP BY project)
   SELECT project, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens, CAST(coalesce(prompts, 0) AS BIGINT) AS prompts, CAST(coalesce(sessions, 0) AS BIGINT) AS sessions FROM u FULL JOIN q USING (project) ORDER BY u.tokens DESC NULLS LAST, first NULLS LAST, project LIMIT 10""")
+add("prompt_totals", on("prompts")(stats.prompt_totals), f"{_P} SELECT count(*) AS prompts, count(DISTINCT (agent, session)) AS sessions_driven FROM p")
+add("projects_by_agent", on("prompts", "usage")(lambda p, u: stats.projects_by_agent(p, u).select("project", F.explode("by_agent").alias("agent", "tokens"))), f"""{_U}, top AS (SELECT project FROM usage GROUP BY project ORDER BY sum({_TOK}) DESC, min(ord) LIMIT 10)
+  SELECT project, agent, {_SUM(_TOK)} AS tokens FROM usage WHERE project IN (SELECT project FROM top) GROUP BY ALL""")
 add("project_agents", on("usage")(stats.project_agents), f"{_U} SELECT project, agent, {_SUM(_TOK)} AS tokens FROM usage GROUP BY ALL")
 add("side_share", on("usage")(stats.side_share), f"{_U} SELECT {_SUM(f'CASE WHEN side THEN {_TOK} END')} AS side, {_SUM(_TOK)} AS total, round_even(coalesce(sum(CASE WHEN side THEN {_TOK} END), 0) / greatest(1, sum({_TOK})), 4) AS share FROM usage")
 
@@ -121,6 +125,7 @@ add("cross_session_retry", on("prompts")(lambda p: coaching.reactions(p).select(
 add("reaction_counts", on("prompts")(lambda p: coaching.reaction_counts(coaching.reactions(p))), f"{_ROWS} SELECT next_reaction, count(*) AS n FROM r GROUP BY 1")
 add("smooth_rate", on("prompts")(lambda p: coaching.smooth_rate(coaching.reactions(p), "agent")), f"{_ROWS} SELECT agent, count(*) AS n, count(*) FILTER (good) AS good, round_even(count(*) FILTER (good) / count(*), 3) AS smooth_rate FROM j GROUP BY agent")
 add("infra_share", on("prompts")(lambda p: coaching.reactions(p).agg(F.count_if(F.col("next_reaction") == "infra").alias("infra"), F.count("*").alias("prompts"))), f"{_ROWS} SELECT count(*) FILTER (next_reaction = 'infra') AS infra, count(*) AS prompts FROM r")
+add("coaching_totals", on("prompts")(lambda p: coaching.overall(coaching.reactions(p))), f"{_ROWS} SELECT count(*) AS prompts, count(*) FILTER (next_reaction IN ('praise', 'proceed', 'correct')) AS judged, count(*) FILTER (next_reaction IN ('praise', 'proceed')) AS good, round_even(count(*) FILTER (next_reaction IN ('praise', 'proceed')) / count(*) FILTER (next_reaction IN ('praise', 'proceed', 'correct')), 3) AS smooth_rate, count(*) FILTER (next_reaction = 'infra') AS infra, round_even(count(*) FILTER (next_reaction = 'infra') / greatest(1, count(*)), 3) AS infra_share FROM r")
 add("feature_tags", on("prompts")(lambda p: coaching.classified(p).select("id", F.array_join("features", ",").alias("features"))), f"{_TAGGED} SELECT id, array_to_string(features, ',') AS features FROM t")
 add("feature_lift_by_agent", on("prompts")(lambda p: coaching.feature_lift_by_agent(coaching.reactions(p))), f"{_TAGGED} SELECT feature, agent, count(*) FILTER (has) AS with_n, count(*) FILTER (has AND g) AS with_successes, count(*) FILTER (NOT has) AS without_n, count(*) FILTER (NOT has AND g) AS without_successes FROM x WHERE jd GROUP BY ALL")
 add("feature_lift", on("prompts")(lambda p: coaching.feature_lift(coaching.reactions(p))), f"""{_TAGGED}, a AS (SELECT feature, agent, count(*) FILTER (jd AND has) AS wn, count(*) FILTER (jd AND has AND g) AS wg, count(*) FILTER (jd AND NOT has) AS xn, count(*) FILTER (jd AND NOT has AND g) AS xg FROM x GROUP BY ALL),
@@ -186,7 +191,7 @@ def _deltas(c: DataFrame) -> DataFrame:
 
 def native_else_counter(spark: SparkSession, d: str) -> DataFrame:
     """Sessions with native usage rows use those; only the others fall back to counter deltas."""
-    native = view(spark, d, "usage").where("ord % 3 = 0 AND CAST(session AS INT) % 2 = 0").groupBy("session").agg(F.sum(F.col("fresh_input") + F.col("output")).cast("long").alias("tokens")).withColumn("measurement", F.lit("response"))
+    native = view(spark, d, "usage").where("CAST(session AS INT) % 2 = 0").groupBy("session").agg(F.sum(F.col("fresh_input") + F.col("output")).cast("long").alias("tokens")).withColumn("measurement", F.lit("response"))
     deltas = _deltas(view(spark, d, "counters")).groupBy("session").agg(F.sum(F.col("d_input_tokens") + F.col("d_output_tokens")).cast("long").alias("tokens")).withColumn("measurement", F.lit("counter_delta"))
     return native.unionByName(deltas.join(native.select("session"), "session", "left_anti"))
 
@@ -200,7 +205,7 @@ def cross_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("counter_delta", on("counters")(lambda c: _deltas(c).select("session", "ord", "issue", F.col("d_input_tokens").cast("long").alias("d_input"), F.col("d_output_tokens").cast("long").alias("d_output"))), f"{_DELTAS} SELECT session, ord, issue, CAST(di AS BIGINT) AS d_input, CAST(dd AS BIGINT) AS d_output FROM v")
-add("native_else_counter", native_else_counter, f"""{_DELTAS}, {_U[5:]}, nat AS (SELECT session, CAST(sum(fresh_input + output) AS BIGINT) AS tokens FROM usage WHERE ord % 3 = 0 AND CAST(session AS INT) % 2 = 0 GROUP BY session)
+add("native_else_counter", native_else_counter, f"""{_DELTAS}, {_U[5:]}, nat AS (SELECT session, CAST(sum(fresh_input + output) AS BIGINT) AS tokens FROM usage WHERE CAST(session AS INT) % 2 = 0 GROUP BY session)
   SELECT session, tokens, 'response' AS measurement FROM nat UNION ALL SELECT session, CAST(sum(di + dd) AS BIGINT), 'counter_delta' FROM v WHERE session NOT IN (SELECT session FROM nat) GROUP BY session""")
 add("cross_check", cross_check, f"""{_DELTAS}, {_U[5:]}, m AS (SELECT session, CAST(sum(fresh_input + cache_read + output) AS BIGINT) AS measured FROM usage GROUP BY session), k AS (SELECT session, CAST(sum(di + dd) AS BIGINT) AS total, count(issue) AS issues FROM v GROUP BY session)
   SELECT session, measured, CASE WHEN issues = 0 THEN total END AS counter_window, coalesce(measured <> CASE WHEN issues = 0 THEN total END, false) AS mismatch FROM m JOIN k USING (session)""")
@@ -235,24 +240,23 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
 
 
-def _ascii(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.regexp_replace("text", "[^ -~\n]", "x").alias("text"))
-
-
 _RULES = {k: (p, n) for k, p, n in redact.RULES}
-_NO_LOOK = [k for k, p, _ in redact.RULES if not any(x in p for x in ("(?<", "(?!", "(?=")) and k != "card"]
+_NO_LOOK = [k for k, p, _ in redact.RULES if not any(x in p for x in ("(?<", "(?!", "(?=")) and k not in ("card", "email")]
+#: DuckDB's word characters and borders are ASCII only, so Unicode ones are spelled out. An address begins and ends with one.
+_WORDS = r"\p{L}\p{M}\p{N}_"
+_EMAIL = rf"[{_WORDS}][{_WORDS}.+-]*@[{_WORDS}-]+\.[{_WORDS}.-]*[{_WORDS}]"
 
 
 def _redact_sql(kinds: list[str]) -> str:
-    out = "regexp_replace(text, '[^ -~\n]', 'x', 'g')"
+    out = "text"
     for k in kinds:
         pattern, new = _RULES[k]
         out = f"regexp_replace({out}, '{_q(pattern)}', '{new.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2')}', 'g')"
     return f"SELECT doc_id, {out} AS text FROM documents"
 
 
-add("redact_emails", lambda s, d: _ascii(s, d).select("doc_id", redact.scrub(F.col("text"), kinds=["email"]).alias("text")), _redact_sql(["email"]))
-add("redact_credentials", lambda s, d: _ascii(s, d).select("doc_id", redact.scrub(F.col("text"), kinds=_NO_LOOK).alias("text")), _redact_sql(_NO_LOOK))
+add("redact_emails", lambda s, d: _docs(s, d).select("doc_id", redact.scrub(F.col("text"), kinds=["email"]).alias("text")), f"SELECT doc_id, regexp_replace(text, '{_EMAIL}', '[email]', 'g') AS text FROM documents")
+add("redact_credentials", lambda s, d: _docs(s, d).select("doc_id", redact.scrub(F.col("text"), kinds=_NO_LOOK).alias("text")), _redact_sql(_NO_LOOK))
 add("redact_full", lambda s, d: _docs(s, d).select("doc_id", redact.scrub(F.col("text")).alias("text")))
 add("redact_cards", lambda s, d: _docs(s, d).select("doc_id", redact.counts(F.col("text"))["card"].cast("long").alias("cards")).where("cards > 0"))
 add("redaction_counts", on("prompts")(stats.redactions))
@@ -261,7 +265,13 @@ _LINE = f"'[' || id || '] ' || strftime({_TS}, '%a %m-%d %H:%M') || ' | ' || age
 ORACLES["digest"] = f"{_P} SELECT id, {_LINE} AS line FROM p"
 
 # scans
-add("tag_strip", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", text.without_injected(F.concat(F.lit("<system-reminder>"), F.col("html"), F.lit("</system-reminder> kept <command-name>x</command-name>"), F.col("page_id").cast("string"))).alias("text")), "SELECT page_id, 'kept ' || page_id AS text FROM pages")
+def tag_strip(spark: SparkSession, d: str) -> DataFrame:
+    """Whole pages, once inside an injected tag, which goes, and once behind it, which stays."""
+    around = [F.lit("<system-reminder>"), F.col("html"), F.lit("</system-reminder>"), F.col("html"), F.lit("<command-name>x</command-name> page "), F.col("page_id").cast("string")]
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", text.without_injected(F.concat(*around)).alias("text"))
+
+
+add("tag_strip", tag_strip, "SELECT page_id, html || ' page ' || page_id AS text FROM pages")
 add("json_props", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k")), "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events")
 
 
@@ -271,3 +281,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("reactions_by_agent", flagship, f"{_ROWS} SELECT agent, next_reaction, count(*) AS n FROM r GROUP BY ALL")
+
+QUERIES.update(reader_queries.QUERIES)
+ORACLES.update(reader_queries.ORACLES)

@@ -133,7 +133,8 @@ def codex(parts: Parts, cfg: Config) -> None:
         h = typed.withColumn("ts", J.seconds("$.ts")).withColumn("session", J.string("$.session_id")).withColumn("text", J.string("$.text"))
         ok = F.col("ts").isNotNull() & F.col("session").isNotNull() & F.col("text").isNotNull()
         bad(h.where(~ok))
-        history = h.where(ok & inside).select("session", "ts", "text", F.monotonically_increasing_id().alias("id"))
+        # the numbers are read by two plans below, so they are fixed here
+        history = settled(h.where(ok & inside).select("session", "ts", "text", F.monotonically_increasing_id().alias("id")))
     raw = J.lines(spark, f"{base}/sessions")
     if raw is None:
         raw = spark.createDataFrame([], "path string, ord struct<block:bigint,line:bigint>, line string").withColumn("j", F.expr("try_parse_json(line)"))

@@ -167,5 +167,5 @@ def test_tag_strip_reads_whole_pages(spark, tmp_path):
     pages = ["short", "", "x" * 500 + "</system-reminder> seen <system-reminder>" + "y" * 500, "é\n" * 400 + "</system-reminder> a <command-name>b</command-name> c", "<system-reminder>in <system-reminder>" + "z" * 300 + "</system-reminder> out"]
     spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r.page_id: r.text for r in QUERIES["tag_strip"](spark, str(tmp_path)).collect()}
-    assert got == {k: tag.sub("", f"<system-reminder>{h}</system-reminder> kept <command-name>x</command-name>{k}").strip() for k, h in enumerate(pages)}
+    assert got == {k: tag.sub("", f"<system-reminder>{h}</system-reminder>{h}<command-name>x</command-name> page {k}").strip() for k, h in enumerate(pages)}
     assert "seen" in got[2] and "out" in got[4]
