@@ -72,8 +72,10 @@ def bodies_of(rows: DataFrame) -> DataFrame:
 
 
 def _tokens(bodies: DataFrame) -> DataFrame:
-    """(key, n, word) of bodies (key, body): every word of a text, n being how many there are."""
-    return bodies.select("key", n_words(F.col("body")).alias("n"), F.explode(words(F.col("body"))).alias("word"))
+    """(key, n, word) of bodies (key, body): every word of a text, n being how many there are. n stands in a projection of its
+    own, or it would be counted anew for every word."""
+    split = bodies.select("key", n_words(F.col("body")).alias("n"), words(F.col("body")).alias("words"))
+    return split.select("key", "n", F.explode("words").alias("word"))
 
 
 def _few(df: DataFrame) -> DataFrame:
