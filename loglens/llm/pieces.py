@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from loglens.llm.common import release, stored, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONG, BLOCK_CHARS, PART_CHARS, SET_BITS, GROUP_BLOCKS, FLUSH = 60, 12_000_000, 4_000_000, 60, 3840, 100_000
+LONG, BLOCK_CHARS, PART_CHARS, SET_BITS, GROUP_BLOCKS, FLUSH = 60, 10_000_000, 4_000_000, 60, 3840, 100_000
 MAX_ODD = 20
 HASH_KEYS, HASH_LIMIT = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 250_000
 PARTITIONS, COALESCE = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
@@ -458,7 +458,9 @@ def encode(rows: DataFrame, model: Model) -> DataFrame:
     # the blocks of a unit are bits, as many columns of them as the corpus needs, up to GROUP_BLOCKS blocks a row
     width = min(n_blocks, GROUP_BLOCKS)
     place = F.col("block") % GROUP_BLOCKS
-    units = own.select(block, F.explode(F.split(marked(F.col("text")), model.cut, -1)).alias("unit")).where("unit <> ''")
+    # in projections of their own: beside explode, the block would be hashed from the whole text for every unit
+    split = own.select(block, F.split(marked(F.col("text")), model.cut, -1).alias("units"))
+    units = split.select("block", F.explode("units").alias("unit")).where("unit <> ''")
     bit = lambda k: F.when(place.between(k, k + SET_BITS - 1), F.call_function("shiftleft", F.lit(1).cast("long"), place - k)).otherwise(0)
     sets = [F.bit_or(bit(k)).alias(f"bits{k}") for k in range(0, width, SET_BITS)]
     held = units.groupBy("unit", (F.col("block") - place).alias("first")).agg(*sets)
