@@ -34,6 +34,16 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lookup(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with side, which has a row per key at most; rows should be stored, as they are read twice.
+    Keys of more than a thousandth of all rows, of which there are under a thousand, are broadcast; the others are shuffled."""
+    n = rows.count()
+    heavy = stored(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(1000, n // 1000)).select(key), "heavy-keys")
+    few = F.broadcast(heavy.join(side, key, how))
+    rest = rows.join(F.broadcast(heavy), key, "left_anti").join(side, key, how)
+    return rows.join(few, key).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Only the named columns reach the scan, so extra ones can't clash."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loglens.llm import chat, decontaminate, langid, licenses, pieces, pii, quality, secrets, simhash, warc
+from loglens.llm import chat, decontaminate, langid, licenses, pieces, pii, quality, secrets, shards, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": secrets.op8_secrets,
         "op9_chat": chat.op9_chat,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op12_shards": shards.op12_shards,
         "pipeline": corpus_pipeline.run,
     }
 
