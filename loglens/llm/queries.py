@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loglens.llm import chat, decontaminate, langid, licenses, pieces, pii, quality, secrets, shards, simhash, warc
+from loglens.llm import chat, decontaminate, langid, licenses, negatives, pieces, pii, quality, secrets, shards, simhash, trie, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,7 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": secrets.op8_secrets,
         "op9_chat": chat.op9_chat,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_trie": trie.op11_trie,
         "op12_shards": shards.op12_shards,
+        "op13_negatives": negatives.op13_negatives,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -34,4 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_secrets": secrets.OP8_SQL,
         "op9_chat": chat.OP9_SQL,
         "op10_decontaminate": decontaminate.OP10_SQL,
+        "op11_trie": trie.OP11_SQL,
+        "op13_negatives": negatives.OP13_SQL,
     }
