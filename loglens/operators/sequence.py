@@ -7,6 +7,11 @@ edges of the buckets are put together afterwards.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,58 +163,122 @@ def longest_streak(rows: DataFrame, bucket: int = 3600) -> DataFrame:
     return best.groupBy(F.coalesce("top.n", F.lit(0)).cast("long").alias("prompts")).agg(F.min_by("agent", "start").alias("agent"))
 
 
+class _Walk:
+    """Rows of one key in time order: right rows that are free, and left rows that are not decided yet. A left row is decided
+    once a row comes that lies more than `within` after it; right rows that lie more than that before it are forgotten. So
+    only rows of about twice that time are held."""
+
+    def __init__(self, within: float) -> None:
+        self.within, self.waiting = within, deque()
+        self.times, self.ids, self.start = [], [], 0
+
+    def add(self, ts: float, left: bool, row: object) -> Iterator[tuple]:
+        yield from self.decide(ts)
+        if left:
+            self.waiting.append((ts, row))
+        else:
+            self.times.append(ts)
+            self.ids.append(row)
+
+    def decide(self, upto: float) -> Iterator[tuple]:
+        """(left, right) of the waiting rows that no row from `upto` on can match."""
+        while self.waiting and upto - self.waiting[0][0] > self.within:
+            ts, row = self.waiting.popleft()
+            found = self.nearest(ts)
+            if found is not None:
+                yield row, self.take(found)
+
+    def nearest(self, ts: float) -> int | None:
+        times = self.times
+        while self.start < len(times) and ts - times[self.start] > self.within:
+            self.start += 1
+        after, best = bisect_left(times, ts, self.start), None
+        if after < len(times) and times[after] - ts <= self.within:
+            best = after
+        if after > self.start:
+            before = bisect_left(times, times[after - 1], self.start)  # the first of equal times
+            if best is None or ts - times[before] <= times[best] - ts:
+                best = before
+        return best
+
+    def take(self, k: int) -> object:
+        row = self.ids[k]
+        if k == self.start:
+            self.start += 1
+        else:
+            del self.times[k], self.ids[k]
+        if self.start > 1024 and 2 * self.start > len(self.times):
+            del self.times[: self.start], self.ids[: self.start]
+            self.start = 0
+        return row
+
+
 def greedy_matches(left: DataFrame, right: DataFrame, keys: list[str], within: float) -> DataFrame:
-    """left (keys, id, ts), right (keys, id, ts) -> (keys, left_id, right_id): each left row in time order takes the nearest
-    right row of its keys that is still free, if within the time; the first of equally near ones.
+    """left (keys, id, ts), right (keys, id, ts) -> (keys, left_id, right_id): each left row in the order of (ts, id) takes the
+    nearest right row of its keys that is still free, if within the time; the first by (ts, id) of equally near ones.
 
-    Rows further than `within` from their neighbour start a new cluster, so each key is cut into small independent groups.
-    A cluster of one row of each side is a match as it stands; only clusters where rows compete are decided one by one.
+    Both sides are dealt by their keys, sorted by Spark and merged in one pass, which holds rows of a short time only, however
+    many rows a key has. Rows without a time match nothing.
     """
-    import pandas as pd
-
-    both = left.select(*keys, "id", "ts", F.lit(0).alias("side")).unionByName(right.select(*keys, "id", "ts", F.lit(1).alias("side")))
-    w = Window.partitionBy(*keys).orderBy("ts", "side", "id")
-    both = both.withColumn("_gap", F.col("ts") - F.lag("ts").over(w)).withColumn("cluster", F.sum(F.when(F.col("_gap") <= within, 0).otherwise(1)).over(w)).drop("_gap")
+    both = left.select(*keys, "id", "ts", F.lit(True).alias("left")).unionByName(right.select(*keys, "id", "ts", F.lit(False).alias("left"))).where("ts IS NOT NULL")
     kinds = dict(both.dtypes)
 
-    def pair(group: pd.DataFrame) -> pd.DataFrame:
-        free = group[group["side"] == 1].sort_values(["ts", "id"]).to_dict("records")
-        rows = []
-        for h in group[group["side"] == 0].sort_values(["ts", "id"]).to_dict("records"):
-            near = [c for c in free if abs(c["ts"] - h["ts"]) <= within]
-            if near:
-                best = min(near, key=lambda c: abs(c["ts"] - h["ts"]))
-                free.remove(best)
-                rows.append([*(h[k] for k in keys), h["id"], best["id"]])
-        return pd.DataFrame(rows, columns=[*keys, "left_id", "right_id"])
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", left_id {kinds['id']}, right_id {kinds['id']}"
-    c = Window.partitionBy(*keys, "cluster")
-    sized = both.withColumn("_l", F.count_if(F.col("side") == 0).over(c)).withColumn("_r", F.count_if(F.col("side") == 1).over(c)).where("_l > 0 AND _r > 0")
-    plain = sized.where("_l = 1 AND _r = 1").groupBy(*keys, "cluster").agg(F.max(F.when(F.col("side") == 0, F.col("id"))).alias("left_id"), F.max(F.when(F.col("side") == 1, F.col("id"))).alias("right_id")).drop("cluster")
-    return plain.unionByName(sized.where("_l > 1 OR _r > 1").drop("_l", "_r").groupBy(*keys, "cluster").applyInPandas(pair, schema))
-
-
-def branch_paths(nodes: DataFrame) -> DataFrame:
-    """nodes (conv_id, node, parent, ord) -> (conv_id, leaf, node, depth): every node on the way from each leaf to its root.
-
-    Every node keeps one pointer, to its 2**k-th ancestor; each round lengthens all paths from the leaves by that distance
-    and doubles the pointers. So a path of n nodes takes log2(n) rounds, and nothing is made that is not in the result but
-    a row per node. Conversations with a cycle or a parent that is missing are left out.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, walk, schema = None, None, None
+        for batch in batches:
+            schema = schema or pa.schema([*(batch.schema.field(k) for k in keys), *(pa.field(n, batch.schema.field("id").type) for n in ("left_id", "right_id"))])
+            found = []
+            for *key, row, ts, is_left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if walk is None or key != now:
+                    if walk is not None:
+                        found += [(*now, *m) for m in walk.decide(float("inf"))]
+                    now, walk = key, _Walk(within)
+                found += [(*now, *m) for m in walk.add(ts, is_left, row)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+        if walk is not None and (found := [(*now, *m) for m in walk.decide(float("inf"))]):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+    ordered = both.repartition(*keys).sortWithinPartitions(*keys, "ts", "id").select(*keys, "id", F.col("ts").cast("double").alias("ts"), "left")
+    return ordered.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", left_id {kinds['id']}, right_id {kinds['id']}")
+
+
+def walks(nodes: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes (conv_id, node, parent), starts (conv_id, leaf) -> paths (conv_id, leaf, node, depth): every node on the way from
+    each start to its root; the starts (conv_id, leaf) whose way meets a parent that is missing, or runs into a cycle; and all
+    nodes (conv_id, node) that lead into a cycle.
+
+    Every node keeps one pointer, to its 2**k-th ancestor; each round lengthens all paths by that distance and doubles the
+    pointers. So a path of n nodes takes log2(n) rounds, and nothing is made that is not in the result but a row per node.
     """
     tree = settled(nodes.select("conv_id", "node", "parent"))
     most = tree.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    known = tree.select("conv_id", F.col("node").alias("parent"))
-    dangling = tree.where(F.col("parent").isNotNull()).join(known, ["conv_id", "parent"], "left_anti").select("conv_id").distinct()
-    tree = tree.join(dangling, "conv_id", "left_anti")
-    inner = tree.select("conv_id", F.col("parent").alias("leaf"))
-    leaves = tree.select("conv_id", F.col("node").alias("leaf")).join(inner, ["conv_id", "leaf"], "left_anti")
-    paths = settled(leaves.select("conv_id", "leaf", F.col("leaf").alias("node"), F.lit(0).alias("depth")))
-    pointer, walked = settled(tree.where(F.col("parent").isNotNull()).select("conv_id", "node", F.col("parent").alias("above"))), 1
+    inner = tree.where(F.col("parent").isNotNull())
+    dangling = settled(inner.join(tree.select("conv_id", F.col("node").alias("parent")), ["conv_id", "parent"], "left_anti").select("conv_id", "node"))
+    starts = settled(starts.select("conv_id", "leaf").distinct())
+    paths = starts.select("conv_id", "leaf", F.col("leaf").alias("node"), F.lit(0).alias("depth"))
+    pointer, walked = settled(inner.join(dangling, ["conv_id", "node"], "left_anti").select("conv_id", "node", F.col("parent").alias("above"))), 1
     while walked < most and not pointer.isEmpty():
         further = paths.join(pointer, ["conv_id", "node"]).select("conv_id", "leaf", F.col("above").alias("node"), (F.col("depth") + walked).alias("depth"))
         paths = settled(paths.unionByName(further))
         hop = pointer.select("conv_id", F.col("node").alias("above"), F.col("above").alias("top"))
         pointer, walked = settled(pointer.join(hop, ["conv_id", "above"]).select("conv_id", "node", F.col("top").alias("above"))), 2 * walked
-    # a pointer that is left is longer than any path, so it goes round a cycle
-    return settled(paths.join(pointer.select("conv_id").distinct(), "conv_id", "left_anti"))
+    # a pointer that is left is longer than any path, so it goes round a cycle; one of a single node was never doubled
+    looping = pointer if walked >= most else pointer.limit(0)
+    looping = settled(looping.select("conv_id", "node"))
+    broken = paths.join(dangling, ["conv_id", "node"]).select("conv_id", "leaf").unionByName(starts.join(looping.withColumnRenamed("node", "leaf"), ["conv_id", "leaf"]))
+    return paths, settled(broken.distinct()), looping
+
+
+def leaves(nodes: DataFrame) -> DataFrame:
+    """nodes (conv_id, node, parent) -> (conv_id, leaf): those that are nobody's parent."""
+    inner = nodes.select("conv_id", F.col("parent").alias("leaf"))
+    return nodes.select("conv_id", F.col("node").alias("leaf")).join(inner, ["conv_id", "leaf"], "left_anti")
+
+
+def branch_paths(nodes: DataFrame) -> DataFrame:
+    """nodes (conv_id, node, parent, ...) -> (conv_id, leaf, node, depth): every node on the way from each leaf to its root.
+    Conversations with a cycle or a parent that is missing are left out."""
+    paths, broken, looping = walks(nodes, leaves(nodes))
+    bad = broken.select("conv_id").unionByName(looping.select("conv_id")).distinct()
+    return settled(paths.join(bad, "conv_id", "left_anti"))

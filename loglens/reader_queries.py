@@ -3,15 +3,14 @@ back, so tolerant parsing, the window, tag stripping, usage normal forms and fir
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loglens.sources import jsonl as J
 from loglens.sources import readers
 from loglens.sources.config import config
+from loglens.sources.shared import written
 from loglens.views import CUT, DAYS, NOW, START
 
 _ISO = "date_format(timestamp_seconds({}), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
@@ -38,21 +37,12 @@ FROM (SELECT conv_id, turn, text, {START} + (conv_id * 97777) % {DAYS * 86400} +
 """
 
 
-def _home(spark: SparkSession, lines: DataFrame) -> str:
-    """A home folder whose transcripts are the lines, in the folder that the cluster shares if it names one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    home = f"{shared.removeprefix('file://').removeprefix('file:')}/loglens-home-{uuid.uuid4().hex}"
-    folder = f"{home}/.claude/projects/p"
-    lines.write.text(f"file://{folder}")
-    for name in os.listdir(folder):
-        if name.endswith(".txt"):
-            os.rename(f"{folder}/{name}", f"{folder}/{name[:-4]}.jsonl")
-    return home
+_CLAUDE = config(None, NOW, (NOW - CUT) // 86400, "claude-code")
 
 
 def _read(spark: SparkSession, lines: DataFrame) -> readers.Parts:
     parts = readers.Parts(spark)
-    readers.claude_code(parts, config(_home(spark, lines), NOW, (NOW - CUT) // 86400, "claude-code"))
+    readers.claude_code(parts, _CLAUDE, J.scan(spark, written(lines, "transcripts")))
     return parts
 
 

@@ -10,20 +10,26 @@ from pyspark.sql import functions as F
 NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$"
 
 
-def lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame | None:
+def scan(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """(path, ord, line, j): every line of the files below root, blank ones too, with its place and its JSON object; j is NULL
-    if the line is not one. Large files are split; ord is the order of lines within a file. None if there is no file."""
-    if os.path.isdir(root) and not any(f.endswith(pattern.lstrip("*")) for _, _, fs in os.walk(root) for f in fs):
-        return None
-    if not os.path.isdir(root) and "://" not in root and not os.path.exists(root):
-        return None
+    if the line is not one. Large files are split; ord is the order of lines within a file. root may be in any store that
+    Spark reads."""
     reader = spark.read.option("recursiveFileLookup", "true")
-    raw = (reader.option("pathGlobFilter", pattern) if os.path.isdir(root) else reader).text(root)
+    raw = (reader.option("pathGlobFilter", pattern) if pattern else reader).text(root)
     raw = raw.select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("ord"), F.col("value").alias("line"))
     parsed = F.expr("try_parse_json(line)")
     return raw.withColumn("j", F.when(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), parsed))
 
 
+def lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame | None:
+    """scan() of a file, or of the files below a folder that match the pattern; None if there is no file."""
+    if os.path.isdir(root) and not any(f.endswith(pattern.lstrip("*")) for _, _, fs in os.walk(root) for f in fs):
+        return None
+    if not os.path.isdir(root) and "://" not in root and not os.path.exists(root):
+        return None
+    return scan(spark, root, pattern if os.path.isdir(root) else None)
+
+
 def at(path: str, j: str = "j") -> Column:
     return F.expr(f"try_variant_get({j}, '{path}', 'variant')")
 

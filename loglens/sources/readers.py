@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import os
-import zipfile
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -18,8 +17,10 @@ from pyspark.sql import functions as F
 
 from loglens.functions import text as T
 from loglens.operators import sequence, settled
+from loglens.sources import exports as exporting
+from loglens.sources import folders
 from loglens.sources import jsonl as J
-from loglens.sources.config import EXPORT_PROJECTS, Config, locate
+from loglens.sources.config import EXPORT_PROJECTS, Config
 
 USAGE_FIELDS = ["input_tokens", "cached_input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens"]
 COUNTER_FIELDS = ["input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens"]
@@ -28,7 +29,6 @@ AUTOMATED = ["<", "Base directory for this skill", "Caveat:", "Another Claude se
 INJECTED = ["<", "# AGENTS.md", "The following is the Codex agent history"]
 ORIGINS = ["task-notification", "coordinator", "peer"]
 SURFACES = {"codex-tui": "cli", "Codex Desktop": "desktop", "codex_exec": "exec"}
-MAX_EXPORT, MAX_COVERAGE = 256 << 20, 1 << 20
 
 PROMPT = "ts double, agent string, session string, text string, cwd string, surface string, is_automation boolean, ord struct<path:string,block:bigint,line:bigint>"
 USAGE = "ts double, agent string, session string, cwd string, model string, effort string, side boolean, branch string, estimated boolean, measurement string, fresh_input double, cache_read double, cache_write double, output double, reasoning double, ord struct<path:string,block:bigint,line:bigint>"
@@ -72,11 +72,13 @@ def usage_columns(codex: bool, base: str, j: str = "j") -> list[Column]:
     return [(a("input_tokens") - (read if codex else F.lit(0.0))).alias("fresh_input"), read.alias("cache_read"), (a("cache_creation_input_tokens") + a("cache_write_input_tokens")).alias("cache_write"), a("output_tokens").alias("output")]
 
 
-def claude_code(parts: Parts, cfg: Config) -> None:
-    agent = "claude-code"
-    raw = J.lines(parts.spark, f"{cfg.home}/.claude/projects")
-    if not os.path.isdir(f"{cfg.home}/.claude/projects"):
-        return
+def claude_code(parts: Parts, cfg: Config, raw: DataFrame | None = None) -> None:
+    """raw: the lines of the transcripts, as J.scan() gives them; those below home unless given."""
+    agent, folder = "claude-code", f"{cfg.home}/.claude/projects"
+    if raw is None:
+        if not os.path.isdir(folder):
+            return
+        raw = J.lines(parts.spark, folder)
     parts.notes["sources"][agent] = "local Claude Code transcripts"
     if raw is None:
         return
@@ -117,9 +119,11 @@ def claude_code(parts: Parts, cfg: Config) -> None:
     parts.add("prompts", said.select("ts", "agent", "session", "text", "cwd", "surface", auto.alias("is_automation"), "ord"))
 
 
-def codex(parts: Parts, cfg: Config) -> None:
+def codex(parts: Parts, cfg: Config, raw: DataFrame | None = None, typed: DataFrame | None = None) -> None:
+    """raw, typed: the lines of the rollouts and of the typed history, as J.scan() gives them; those below home unless given."""
     agent, base = "codex", f"{cfg.home}/.codex"
-    if not os.path.isdir(base):
+    given = raw is not None or typed is not None
+    if not given and not os.path.isdir(base):
         return
     spark, inside = parts.spark, F.col("ts").between(cfg.cut, cfg.now)
     parts.notes["sources"][agent] = "local Codex transcripts and typed history"
@@ -127,7 +131,7 @@ def codex(parts: Parts, cfg: Config) -> None:
     told = lambda df, code: parts.add("issues", df.select(F.lit(agent).alias("agent"), F.lit(code).alias("code")))
     files = 0
     history = spark.createDataFrame([], "session string, ts double, text string, id bigint")
-    typed = J.lines(spark, f"{base}/history.jsonl", "history.jsonl")
+    typed = typed if given else J.lines(spark, f"{base}/history.jsonl", "history.jsonl")
     if typed is not None:
         files += 1
         h = typed.withColumn("ts", J.seconds("$.ts")).withColumn("session", J.string("$.session_id")).withColumn("text", J.string("$.text"))
@@ -135,7 +139,7 @@ def codex(parts: Parts, cfg: Config) -> None:
         bad(h.where(~ok))
         # the numbers are read by two plans below, so they are fixed here
         history = settled(h.where(ok & inside).select("session", "ts", "text", F.monotonically_increasing_id().alias("id")))
-    raw = J.lines(spark, f"{base}/sessions")
+    raw = raw if given else J.lines(spark, f"{base}/sessions")
     if raw is None:
         raw = spark.createDataFrame([], "path string, ord struct<block:bigint,line:bigint>, line string").withColumn("j", F.expr("try_parse_json(line)"))
     found = raw.select("path").distinct().count()
@@ -228,61 +232,42 @@ def codex(parts: Parts, cfg: Config) -> None:
     told(check.where("n IS NULL AND (typed OR cand)"), "usage_unavailable")
 
 
-def _export_files(cfg: Config) -> list[str]:
+def _candidates(spark: SparkSession, cfg: Config) -> DataFrame:
+    """(path, modified) of the files that may be exports: those that the settings name, else those lying in Downloads. A named
+    file that isn't there is a candidate too, of no age."""
     down = f"{cfg.home}/Downloads"
-    named = [os.path.expanduser(p) for p in cfg.exports] or [os.path.join(down, f) for f in (os.listdir(down) if os.path.isdir(down) else []) if f.lower().endswith((".zip", ".json"))]
-    newest = sorted(named, key=lambda p: os.stat(p).st_mtime if os.path.exists(p) else 0, reverse=True)
-    return [p for p in newest if os.path.basename(p) != "chatgpt-self-report.json"]
-
-
-def read_export(path: str) -> tuple[list, object]:
-    """(conversations, coverage) of a zip or JSON export; ValueError if it is too large or not JSON."""
-    if not path.lower().endswith(".zip"):
-        if os.stat(path).st_size > MAX_EXPORT:
-            raise ValueError("export too large")
-        with open(path, encoding="utf-8") as f:
-            return json.load(f), None
-    with zipfile.ZipFile(path) as z:
-        sizes = {i.filename: i.file_size for i in z.infolist()}
-        name = next((n for n in sizes if n.split("/")[-1] == "conversations.json"), None)
-        if name is None:
-            return [], None
-        beside = name[: -len("conversations.json")] + "coverage.json"
-        if sizes[name] > MAX_EXPORT or sizes.get(beside, 0) > MAX_COVERAGE:
-            raise ValueError("export too large")
-        return json.loads(z.read(name)), json.loads(z.read(beside)) if beside in sizes else None
-
-
-def format_of(data: object) -> str | None:
-    first = data[0] if isinstance(data, list) and data else None
-    if not isinstance(first, dict):
-        return None
-    return "chatgpt" if "mapping" in first else "claude-ai" if "chat_messages" in first else None
+    named = [os.path.abspath(os.path.expanduser(p)) for p in cfg.exports]
+    there = [p for p in named if os.path.isfile(p)] if named else [down] if os.path.isdir(down) else []
+    empty = spark.createDataFrame([(p,) for p in named if p not in there], "path string").select("path", F.lit(None).cast("timestamp").alias("modified"))
+    if not there:
+        return empty
+    found = exporting.candidates(spark, there, "*" if named else "*.{zip,json,ZIP,JSON}")
+    found = found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "modified")
+    return found.where(F.substring_index("path", "/", -1) != "chatgpt-self-report.json").unionByName(empty)
 
 
 def exports(parts: Parts, cfg: Config) -> None:
+    """The newest readable export of each app. The driver sees the candidates' paths and the rows about the two chosen."""
     wanted = sorted(cfg.sources & set(EXPORT_PROJECTS))
     if not wanted:
         return
-    files = parts.notes["files"]
-    for a in wanted:
-        files.setdefault(a, [0, 0])
-    for path in _export_files(cfg):
-        for a in wanted:
-            files[a][0] += 1
-        try:
-            data, coverage = read_export(path)
-        except (OSError, ValueError, RuntimeError, zipfile.BadZipFile):
-            for a in wanted:
-                parts.issue(a, "unreadable_export_candidate")
-            continue
-        agent = format_of(data)
-        if agent not in wanted or agent in parts.notes["sources"]:
-            continue
-        files[agent][1] += 1
-        parts.notes["sources"][agent] = os.path.basename(path)
+    found = settled(_candidates(parts.spark, cfg))
+    paths = [r.path for r in found.collect()]
+    for agent in wanted:
+        parts.notes["files"][agent] = [len(paths), 0]
+    if not paths:
+        return
+    about = settled(exporting.inspected(parts.spark, paths).join(found, "path"))
+    for_each = F.explode(F.array(*[F.lit(a) for a in wanted])).alias("agent")
+    parts.add("issues", about.where("NOT readable").select(for_each, F.lit("unreadable_export_candidate").alias("code")))
+    newest = sequence.first_by(about.where(F.col("agent").isin(wanted)), ["agent"], [F.desc_nulls_last("modified"), "path"])
+    chosen = {r.agent: r for r in newest.collect()}
+    for agent, r in sorted(chosen.items()):
+        parts.notes["files"][agent][1] = 1
+        parts.notes["sources"][agent] = os.path.basename(r.path)
+        coverage = None if r.coverage is None else json.loads(r.coverage)
         parts.notes["provenance"][agent] = {"coverage": coverage, "label": "export; completeness unverified" if coverage is None else "app history, may be incomplete", "branch_policy": "active path; separate leaf paths when current_node is unavailable"}
-        lines = parts.spark.createDataFrame([(k, json.dumps(c, sort_keys=True)) for k, c in enumerate(data)], "k long, line string")
+        lines = settled(exporting.conversations(parts.spark, [(r.path, r.size)])).select("k", "line")
         (chatgpt if agent == "chatgpt" else claude_ai)(parts, cfg, lines.withColumn("j", F.expr("try_parse_json(line)")))
 
 
@@ -322,19 +307,19 @@ def chatgpt(parts: Parts, cfg: Config, convs: DataFrame) -> None:
     nodes = nodes.withColumn("parent", J.shown("$.parent", "v")).withColumn("linked", J.kind("$.parent", "v").isNotNull() | J.kind("$.children", "v").isNotNull())
     shape = nodes.groupBy("k").agg(F.bool_or("linked").alias("tree"), F.bool_or(F.coalesce(F.col("node") == F.col("current"), F.lit(False))).alias("known"))
     nodes = settled(nodes.join(shape, "k"))
-    paths = sequence.branch_paths(nodes.where("tree OR known").select(F.col("k").alias("conv_id"), "node", "parent", "i")).withColumnRenamed("conv_id", "k")
-    walked = nodes.where("tree OR known").select("k", "current", "known").distinct()
-    ups = paths.join(walked, "k")
-    ends = ups.where("NOT known").select("k", "leaf", "node", "depth")
-    active = ups.where("known AND node = current").groupBy("k", "current").agg(F.min(F.struct("leaf", "depth")).alias("f"))
-    active = active.select("k", "current", F.col("f.leaf").alias("leaf"), F.col("f.depth").alias("from"))
-    way = paths.join(active, ["k", "leaf"]).where(F.col("depth") >= F.col("from")).select("k", F.col("current").alias("leaf"), "node", "depth")
-    good = settled(ends.unionByName(way))
-    told(walked.select("k").join(good.select("k").distinct(), "k", "left_anti"), "malformed")
-    told(good.join(walked.where("NOT known"), "k").select("k").distinct(), "active_branch_unknown")
-    order = nodes.select("k", F.col("node").alias("leaf"), F.col("i").alias("leaf_i"))
-    many = good.groupBy("k").agg(F.count_distinct("leaf").alias("leaves"))
-    first = sequence.first_by(good.join(order, ["k", "leaf"]).join(many, "k"), ["k", "node"], ["leaf_i"]).select("k", "node", "leaf", "leaves")
+    linked = nodes.where("tree OR known").select(F.col("k").alias("conv_id"), "node", "parent", "i", "current", "known")
+    active = linked.where("known AND node = current").select("conv_id", F.col("node").alias("leaf"))
+    starts = settled(active.unionByName(sequence.leaves(linked.where("NOT known"))))
+    paths, broken, _ = sequence.walks(linked, starts)
+    order = nodes.select(F.col("k").alias("conv_id"), F.col("node").alias("leaf"), F.col("i").alias("leaf_i"))
+    # the leaves are walked in their order up to the first that is broken
+    bad = settled(broken.join(order, ["conv_id", "leaf"]).groupBy("conv_id").agg(F.min("leaf_i").alias("bad_i")))
+    unknown = linked.where("NOT known").select("conv_id").distinct()
+    told(bad.select("conv_id").unionByName(unknown.join(starts, "conv_id", "left_anti")), "malformed")
+    told(unknown.join(starts, "conv_id", "left_semi"), "active_branch_unknown")
+    many = starts.groupBy("conv_id").agg(F.count("*").alias("leaves"))
+    good = starts.join(order, ["conv_id", "leaf"]).join(many, "conv_id").join(bad, "conv_id", "left").where("bad_i IS NULL OR leaf_i < bad_i")
+    first = sequence.first_by(paths.join(good, ["conv_id", "leaf"]), ["conv_id", "node"], ["leaf_i"]).select(F.col("conv_id").alias("k"), "node", "leaf", "leaves")
     own = nodes.join(first, ["k", "node"]).withColumn("session", F.when(F.col("leaves") == 1, F.col("cid")).otherwise(F.concat_ws("/", "cid", F.lit("branch"), "leaf")))
     flat = nodes.where("NOT tree AND NOT known").withColumn("session", F.col("cid"))
     every = own.select("k", "i", "session", "conv_ts", "v").unionByName(flat.select("k", "i", "session", "conv_ts", "v"))
@@ -372,13 +357,13 @@ def extract(spark: SparkSession, cfg: Config) -> dict:
     prompts = prompts.withColumn("text", T.strip(F.col("text"))).where((F.col("text") != "") & F.col("ts").between(cfg.cut, cfg.now))
     prompts = sequence.first_by(prompts.withColumn("id", T.prompt_id(F.col("agent"), F.col("session"), F.col("ts"), F.col("text"))), ["id"], ["is_automation", "ord"]).persist()
     usage = usage.persist()
-    # the file system is read on the driver, once per distinct folder
-    folders = [r.cwd for r in prompts.select("cwd").union(usage.select("cwd")).union(seen.select("cwd")).distinct().collect()]
-    places = spark.createDataFrame([(c or "", *locate(c, cfg.home)) for c in {*folders, None}], "folder string, project string, workspace string").dropDuplicates(["folder"])
+    cwds = prompts.select("cwd").union(usage.select("cwd")).union(seen.select("cwd")).union(spark.createDataFrame([("",)], "cwd string"))
+    places = settled(folders.places(cwds.select(F.coalesce("cwd", F.lit("")).alias("folder")).distinct(), cfg.home))
+    few = places.count() <= 50_000
 
     def placed(df: DataFrame) -> DataFrame:
         own = F.create_map(*[F.lit(x) for kv in EXPORT_PROJECTS.items() for x in kv])
-        out = df.withColumn("folder", F.coalesce("cwd", F.lit(""))).join(F.broadcast(places) if len(folders) <= 50_000 else places, "folder")
+        out = df.withColumn("folder", F.coalesce("cwd", F.lit(""))).join(F.broadcast(places) if few else places, "folder")
         app = F.try_element_at(own, F.col("agent"))
         return out.withColumn("workspace", F.when(app.isNull(), F.col("workspace"))).withColumn("project", F.coalesce(app, "project")).drop("folder")
 

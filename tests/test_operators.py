@@ -169,3 +169,30 @@ def test_tag_strip_reads_whole_pages(spark, tmp_path):
     got = {r.page_id: r.text for r in QUERIES["tag_strip"](spark, str(tmp_path)).collect()}
     assert got == {k: tag.sub("", f"<system-reminder>{h}</system-reminder>{h}<command-name>x</command-name> page {k}").strip() for k, h in enumerate(pages)}
     assert "seen" in got[2] and "out" in got[4]
+
+
+def slow_matches(left, right, within):
+    free, out = sorted(right, key=lambda r: (r[2], r[1])), set()
+    for k, i, ts in sorted(left, key=lambda r: (r[2], r[1])):
+        near = [r for r in free if r[0] == k and abs(r[2] - ts) <= within]
+        if near:
+            best = min(near, key=lambda r: abs(r[2] - ts))
+            free.remove(best)
+            out.add((i, best[1]))
+    return out
+
+
+def test_greedy_matching_in_crowds(spark):
+    """Many equal times and distances, keys of one side only, times without a value, and 20,000 rows in one cluster."""
+    rnd = random.Random(12)
+    frame = lambda rows: spark.createDataFrame(rows, "k string, id long, ts double")
+    matches = lambda a, b, w: {(r.left_id, r.right_id) for r in sequence.greedy_matches(frame(a), frame(b), ["k"], w).collect()}
+    for spread, within in ((20, 5.0), (60, 2.5), (8, 0.0)):
+        left = [(rnd.choice("abc"), k, rnd.randint(0, spread * 2) / 2) for k in range(150)]
+        right = [(rnd.choice("abd"), 1000 + k, rnd.randint(0, spread * 2) / 2) for k in range(120)]
+        assert matches([*left, ("a", 9999, None)], right, within) == slow_matches(left, right, within)
+    many = matches([("k", k, k / 4000) for k in range(10_000)], [("k", 10**6 + k, k / 4000) for k in range(10_000)], 5.0)
+    assert many == {(k, 10**6 + k) for k in range(10_000)}
+    one_time = matches([("k", k, 1.0) for k in range(10_000)], [("k", 10**6 + k, 1.0) for k in range(10_000)], 5.0)
+    assert one_time == {(k, 10**6 + k) for k in range(10_000)}
+    assert matches([], [("k", 1, 1.0)], 5.0) == set()

@@ -5,8 +5,8 @@ from datetime import datetime, timezone
 
 import pytest
 
-from loglens.sources import readers
-from loglens.sources.config import config, locate
+from loglens.sources import folders, readers
+from loglens.sources.config import config
 
 NOW = 1_800_000_000.0
 
@@ -164,9 +164,72 @@ def test_nothing_there(spark, tmp_path):
     assert got["prompts"].count() == 0 and {r.status for r in got["diagnostics"].collect()} == {"absent"}
 
 
-def test_settings_and_places(tmp_path):
+def test_settings(tmp_path):
     for bad in ({"days": 0}, {"days": "x"}, {"sources": "other"}, {"sources": ""}, {"now": float("nan")}):
         with pytest.raises(ValueError):
             config(str(tmp_path), **({"now": NOW} | bad))
-    home = str(tmp_path)
-    assert locate(None, home) == ("unknown", None) and locate(home + "/", home)[0] == "No-folder sessions" and locate("/tmp/q", home)[0] == "Background automations"
+
+
+def places(spark, home, *paths, directories=None):
+    rows = spark.createDataFrame([(p,) for p in paths], "folder string")
+    return {r.folder: (r.project, r.workspace) for r in folders.places(rows, home, directories).collect()}
+
+
+def test_folders(spark, tmp_path):
+    """Made by hand: a repository, a linked work tree of it, a submodule, a folder whose .git is broken, and plain folders."""
+    home = str(tmp_path / "me")
+    repo, tree, sub, odd, plain = (tmp_path / "me" / x for x in ("code/shop", "trees/feature", "code/shop/lib", "odd", "plain/deep"))
+    for folder in (repo / ".git/worktrees/feature", repo / ".git/modules/lib", repo / "src/app", tree / "src", sub, odd / ".git", plain):
+        folder.mkdir(parents=True)
+    (repo / ".git/HEAD").write_text("ref: refs/heads/main")
+    (repo / ".git/worktrees/feature/commondir").write_text("../..\n")
+    (tree / ".git").write_text(f"gitdir: {repo}/.git/worktrees/feature\n")
+    (sub / ".git").write_text("gitdir: ../.git/modules/lib\n")
+    background = lambda p: ("Background automations", None) if str(p).startswith(("/tmp/", "/var/folders/")) else None
+    want = {
+        "": ("unknown", None), home: ("No-folder sessions", None), home + "/": ("No-folder sessions", None), f"{home}/Documents/Codex/x": ("No-folder sessions", None),
+        "/x/scratch-workspaces/y": ("No-folder sessions", None), "/tmp/q": ("Background automations", None), "/gone/shop/web": ("gone", "gone"), "file:///gone/a": ("gone", "gone"), "rel/part": ("rel", "rel"),
+        str(repo): ("shop", "shop"), f"{repo}/src/app/": ("shop", "shop"), f"{repo}/src/gone/deep": ("shop", "shop"), f"file://{repo}//src/./app": ("shop", "shop"),
+        f"{tree}/src": ("shop", "feature"), f"{tree}/not/there": ("shop", "feature"), f"{sub}/x": ("lib", "lib"),
+        f"{odd}/new/er": ("new", "new"), str(plain): ("deep", "deep"), f"{plain}/a/b": ("a", "a"), f"{home}/lost/b": ("lost", "lost"),
+    }
+    got = places(spark, home, *want)
+    for p, expected in want.items():
+        under = str(p).removeprefix("file://")
+        assert got[p] == (background(under) if background(under) and not under.startswith(f"{home}/Documents") and under.rstrip("/") != home and "scratch" not in under else expected), p
+
+
+def test_folders_by_table(spark):
+    known = spark.createDataFrame([("/", None), ("/r", None), ("/r/code", "shop"), ("/r/code/lib", None), ("/r/code/lib/tree", "shop"), ("/r/codex", None)], folders.KNOWN)
+    paths = ["/r/code/lib/a", "/r/code/lib/tree/x/y", "/r/codex/new/a", "/r/code", "/r/cod", "/r", "/"]
+    assert places(spark, "/home/me", *paths, directories=known) == {
+        "/r/code/lib/a": ("shop", "code"), "/r/code/lib/tree/x/y": ("shop", "tree"), "/r/codex/new/a": ("new", "new"), "/r/code": ("shop", "code"), "/r/cod": ("cod", "cod"), "/r": ("r", "r"), "/": ("unknown", None),
+    }
+
+
+def test_broken_branches(spark, tmp_path):
+    """A gap beside the active path does no harm; of several leaves those ahead of the first broken one count."""
+    convs = [
+        {"id": "beside", "current_node": "c", "mapping": {"a": node(None, "a"), "b": node("gone", "b"), "c": node("a", "c")}},
+        {"id": "on", "current_node": "c", "mapping": {"a": node("gone", "a"), "c": node("a", "c")}},
+        {"id": "late", "mapping": {"a": node(None, "first"), "b": node("gone", "b"), "c": node(None, "third")}},
+        {"id": "loop", "mapping": {"a": node("b", "1"), "b": node("a", "2"), "c": node("a", "3"), "o": node(None, "4")}},
+        {"id": "apart", "mapping": {"a": node("b", "1"), "b": node("a", "2"), "o": node(None, "own")}},
+        {"id": "self", "mapping": {"a": node("a", "1")}},
+    ]
+    put(tmp_path / "Downloads/chat.json", [json.dumps(convs)])
+    got = extract(spark, tmp_path, sources="chatgpt")
+    assert sorted((r.session, r.text) for r in got["prompts"].collect()) == [("apart", "own"), ("beside", "a"), ("beside", "c"), ("late/branch/a", "first")]
+    d = diag(got, "chatgpt")
+    assert d.malformed_records == 4 and d.issues == {"active_branch_unknown": 3}
+
+
+def test_newest_export_wins(spark, tmp_path):
+    chat = lambda text: json.dumps([{"id": "x", "current_node": "a", "mapping": {"a": node(None, text)}}])
+    for k, name in enumerate(["old.json", "new.json", "broken.json"]):
+        put(tmp_path / "Downloads" / name, [chat(name) if name != "broken.json" else "[{"])
+        os.utime(tmp_path / "Downloads" / name, (NOW + k * 100, NOW + k * 100))
+    got = extract(spark, tmp_path, sources="chatgpt")
+    assert [r.text for r in got["prompts"].collect()] == ["new.json"] and diag(got, "chatgpt").files_discovered == 3 and diag(got, "chatgpt").files_read == 1
+    named = extract(spark, tmp_path, sources="chatgpt", exports=(str(tmp_path / "Downloads/old.json"), str(tmp_path / "gone.zip")))
+    assert [r.text for r in named["prompts"].collect()] == ["old.json"] and diag(named, "chatgpt").issues == {"unreadable_export_candidate": 1}
