@@ -11,14 +11,16 @@ words. A text holds what its blocks hold, so texts are filtered before blocks ar
 - Positional filter: the words of the texts left are ranked, and from the place of the rarest word that a text shares with
   the template on, a ranks must be left in the text.
 
-Of what is left, the texts that hold a words of the template are looked at line by line and window by window. Texts are known by the MD5 of their content, so copies are
-filtered and verified once, and nothing depends on how rows are dealt to tasks.
+Of what is left, the texts that hold a words of the template are looked at line by line and window by window, which takes time
+in proportion to the text. Texts are known by the SHA-256 of their content, so copies are filtered and verified once, and
+nothing depends on how rows are dealt to tasks.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,21 +129,30 @@ def similar_blocks(rows: DataFrame, bodies: DataFrame, templates: list[tuple[str
     ]
     whole = F.broadcast(spark.createDataFrame(listed, "template int, label string, twords array<string>, least int, reach int"))
     lines = F.transform(F.split("text", "\n"), lambda line: words(spaced(line)))
-    pairs = texts.join(_few(left), "key").select("key", "template", lines.alias("lines")).join(whole, "template")
-    numbered = F.transform(F.flatten("lines"), lambda w, i: F.struct(i.alias("i"), w.alias("w")))
-    pairs = pairs.withColumn("places", F.filter(numbered, lambda x: F.array_contains("twords", x["w"])))
-
-    def window(x: Column, k: Column) -> Column:
-        """The template's words in the window that begins with one of them; others hold no more."""
-        return F.filter(F.slice("places", k + 1, F.col("reach")), lambda y: y["i"] < x["i"] + F.col("reach"))
-
-    distinct = lambda xs: F.size(F.array_distinct(F.transform(xs, lambda y: y["w"])))
-    by_window = F.array_max(F.transform("places", lambda x, k: distinct(window(x, k))))
-    by_line = F.array_max(F.transform("lines", lambda own: F.size(F.array_intersect(own, F.col("twords")))))
-    best = pairs.select("key", "template", "label", "least", F.size("twords").alias("n"), F.greatest(by_window, by_line).alias("best"))
+    pairs = texts.join(_few(left), "key").join(whole, "template")
+
+    def most(lines: Column) -> Column:
+        """The most distinct words of the template that a block of the text holds."""
+        numbered = F.transform(F.flatten(lines), lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+        by_line = F.array_max(F.transform(lines, lambda own: F.size(F.array_intersect(own, F.col("twords")))))
+        by_window = _bound(F.filter(numbered, lambda x: F.array_contains("twords", x["w"])), lambda places: F.array_max(F.transform(places, lambda x, k: _window(places, x, k))))
+        return F.greatest(by_window, by_line)
+
+    best = pairs.select("key", "template", "label", "least", F.size("twords").alias("n"), _bound(lines, most).alias("best"))
     return best.where("best >= least").select("key", "template", "label", (F.col("best") / F.col("n")).alias("containment"))
 
 
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), value being made once. Expressions that lambdas refer to are put in their place, and made for each element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _window(places: Column, x: Column, k: Column) -> Column:
+    """Distinct words of the template in the window that begins with x, the k-th of the text's places of such words."""
+    inside = F.filter(F.slice(places, k + 1, F.col("reach")), lambda y: y["i"] < x["i"] + F.col("reach"))
+    return F.size(F.array_distinct(F.transform(inside, lambda y: y["w"])))
+
+
 def phrase_places(body: Column) -> dict[str, Column]:
     """n_base, first_word, last_word and base_labels (sorted array) of what spaced() gives."""
     padded = F.concat(F.lit(" "), body, F.lit(" "))
@@ -165,7 +176,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     containment among the pairs that meet the threshold. The two label columns are distinct, sorted and comma-joined.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select("doc_id", F.unhex(F.md5(text)).alias("key"), text.alias("text"))
+    own = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text"))
     bodies = stored(bodies_of(own), "license-bodies")
     places = [c.alias(k) for k, c in phrase_places(F.col("body")).items()]
     base = bodies.select("doc_id", "key", n_words(F.col("body")).alias("n_words"), *places)

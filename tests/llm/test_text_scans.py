@@ -194,3 +194,10 @@ def test_secrets_in_texts_that_are_hard_to_match(spark, tmp_path):
     text = texts[11]
     (masked,) = spark.createDataFrame([(text, got[11])], f"t string, s {secrets.SPAN}").select(secrets.redacted(secrets.F.col("t"), secrets.F.col("s"))).first()
     assert masked == "[secret:hex] " * 20_000
+
+
+def test_long_texts_of_template_words(spark):
+    """A statement among 100,000 words of its template: time in proportion to the text, or this test takes hours."""
+    text = "x " * 50 + GPL + " the of and" * 33_000
+    got = licenses.scan(spark.createDataFrame([(1, text), (2, "the of and " * 33_000)], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.labels, r.score, r.n_base) for r in got} == {1: ("gpl", 1.0, 1), 2: ("", 0.0, 0)}
