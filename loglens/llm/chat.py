@@ -73,17 +73,26 @@ def fold(events: DataFrame) -> DataFrame:
     """events (conv_id, seq, kind, message, role, text) -> (conv_id, message, role, text), a row per message that is left.
 
     Events of a message count in the order of seq, then kind and text. NULL texts are empty; the role is that of the last
-    event that has one. A message without an event but delta is opened by it; unknown kinds change nothing.
+    event that has one. A message without an event but delta is opened by it; unknown kinds change nothing. The text is that
+    of the last start, edit or regeneration and of the deltas behind it, put together once, in time linear in the log.
     """
     log = events.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"), "role"))).alias("log"))
 
-    def step(acc: Column, e: Column) -> Column:
-        text = F.when(e["kind"] == "delta", F.concat(acc["text"], F.array(e["text"]))).when(e["kind"] == "edit", F.array(e["text"])).when(e["kind"].isin("start", "regenerate"), F.array().cast("array<string>")).otherwise(acc["text"])
-        gone = F.when(e["kind"] == "delete", F.lit(True)).when(e["kind"].isin("start", "regenerate", "edit", "delta"), F.lit(False)).otherwise(acc["gone"])
-        return F.struct(text.alias("text"), F.coalesce(e["role"], acc["role"]).alias("role"), gone.alias("gone"))
-
-    zero = F.struct(F.array().cast("array<string>").alias("text"), F.lit("").alias("role"), F.lit(False).alias("gone"))
-    return log.select("conv_id", "message", F.aggregate("log", zero, step).alias("s")).where(~F.col("s.gone")).select("conv_id", "message", F.col("s.role").alias("role"), F.array_join("s.text", "").alias("text"))
+    def last(log: Column, *kinds: str) -> Column:
+        """The place of the last event of these kinds, from 1; 0 if there is none."""
+        return F.coalesce(F.array_max(F.transform(log, lambda e, i: F.when(e["kind"].isin(*kinds), i + 1))), F.lit(0))
+
+    def state(log: Column) -> Column:
+        reset = last(log, "start", "edit", "regenerate")
+        head = F.when(F.get(log, reset - 1)["kind"] == "edit", F.get(log, reset - 1)["text"]).otherwise("")
+        deltas = F.filter(F.slice(log, reset + 1, F.size(log)), lambda e: e["kind"] == "delta")
+        text = F.concat(head, F.array_join(F.transform(deltas, lambda e: e["text"]), ""))
+        roles = F.filter(F.transform(log, lambda e: e["role"]), lambda r: r.isNotNull())
+        gone = last(log, "delete") > last(log, "start", "edit", "regenerate", "delta")
+        return F.struct(text.alias("text"), F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"), gone.alias("gone"))
+
+    folded = log.select("conv_id", "message", F.get(F.transform(F.array("log"), state), F.lit(0)).alias("s"))
+    return folded.where(~F.col("s.gone")).select("conv_id", "message", F.col("s.role").alias("role"), F.col("s.text").alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loglens.llm import chat, quality, warc
 
@@ -138,3 +139,18 @@ def test_control_strings_are_broken_up(spark):
     for step in (1, 3, 1000):
         reader = chat.Reader()
         assert [x for i in range(0, len(out), step) for x in reader.feed(out[i : i + step])] == [("assistant", t) for t in texts] and not reader.rest
+
+
+def test_fold_of_very_long_and_odd_logs(spark):
+    """One message of 8 MB in deltas; resets, deletions and revivals, NULLs, and kinds that are not known."""
+    text = F.repeat(F.lit("abcdefgh"), 1 << 20)
+    rows = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), text.alias("text"))
+    got = chat.fold(chat.message_events(rows)).select(F.length("text").alias("n"), "role").collect()
+    assert [tuple(r) for r in got] == [(8 << 20, "assistant")]
+    logs = {
+        1: [("delta", "a", None), ("delta", "b", "user")], 2: [("start", "", "x"), ("delta", "a", None), ("edit", "new", "y"), ("delta", "!", None)], 3: [("delta", "a", None), ("regenerate", None, None), ("delta", "c", None), ("delta", None, None)],
+        4: [("delta", "a", None), ("delete", None, None)], 5: [("start", "", "u"), ("delete", None, None), ("odd", "z", "w")], 6: [("edit", "a", None), ("delete", None, None), ("delta", "b", None)], 7: [("odd", "z", None)], 8: [("edit", None, "u")],
+    }
+    events = [(9, k, kind, m, role, said) for m, log in logs.items() for k, (kind, said, role) in enumerate(log)]
+    got = chat.fold(spark.createDataFrame(events, "conv_id long, seq long, kind string, message long, role string, text string")).collect()
+    assert {r.message: (r.role, r.text) for r in got} == {1: ("user", "ab"), 2: ("y", "new!"), 3: ("", "c"), 6: ("", "ab"), 7: ("", ""), 8: ("u", "")}
