@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens import export_queries, matching_queries, reader_queries, rollout_queries
+from loglens import export_queries, matching_queries, reader_queries, redaction_queries, rollout_queries
 from loglens.functions import redact, text
 from loglens.operators import sequence
 from loglens.plans import coaching, stats
@@ -282,6 +282,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 add("reactions_by_agent", flagship, f"{_ROWS} SELECT agent, next_reaction, count(*) AS n FROM r GROUP BY ALL")
 
-for more in (reader_queries, rollout_queries, export_queries, matching_queries):
+ORACLES["redaction_counts"] = redaction_queries.counts_oracle(_P)
+for more in (reader_queries, rollout_queries, export_queries, matching_queries, redaction_queries):
     QUERIES.update(more.QUERIES)
     ORACLES.update(more.ORACLES)
