@@ -49,12 +49,33 @@ def overall(rows: DataFrame) -> DataFrame:
     return rows.agg(n.alias("prompts"), judged_.alias("judged"), good.alias("good"), rate, infra.alias("infra"), share)
 
 
-def feature_lift(rows: DataFrame) -> DataFrame:
-    """(feature, with_*, without_*, lift, consistent, confidence, usage_share): one grouped pass over feature and agent."""
-    flags = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.array_contains("features", n).alias("has")) for n in text.FEATURES])).alias("f")
-    base = rows.select("agent", "session", "next_reaction", flags).select("agent", "session", "f.feature", "f.has", F.col("next_reaction").isin(text.JUDGED).alias("j"), F.col("next_reaction").isin(text.GOOD).alias("g"))
-    w, wo = F.col("j") & F.col("has"), F.col("j") & ~F.col("has")
-    own = base.groupBy("feature", "agent").agg(F.count_if(w).alias("wn"), F.count_if(w & F.col("g")).alias("wg"), F.count_if(wo).alias("on"), F.count_if(wo & F.col("g")).alias("og"), F.count("*").alias("n"), F.count_if("has").alias("has"), F.count_distinct(F.when(w, F.col("session"))).alias("ws"), F.count_distinct(F.when(wo, F.col("session"))).alias("os"))
+#: Counts of a feature: judged and good prompts with and without it, all with it; and the sessions of the judged ones.
+_COUNTS, _SESSIONS = ("wn", "wg", "on", "og", "has"), ("ws", "os")
+
+
+def lift_counts(rows: DataFrame) -> DataFrame:
+    """(feature, agent, wn, wg, on, og, has, n, ws, os), which both lift reports are made from.
+
+    A prompt stays one row: every feature has its own columns, summed per session, then per agent, where a session counts
+    once. So nothing is multiplied by the number of features, and only sums are shuffled.
+    """
+    judged_, good = F.col("next_reaction").isin(text.JUDGED), F.col("next_reaction").isin(text.GOOD)
+
+    def flags(name: str) -> dict:
+        has = F.array_contains("features", name)
+        return {"wn": judged_ & has, "wg": judged_ & has & good, "on": judged_ & ~has, "og": judged_ & ~has & good, "has": has}
+
+    per_session = rows.groupBy("agent", "session").agg(F.count("*").alias("n"), *[F.count_if(c).alias(f"{k}_{name}") for name in text.FEATURES for k, c in flags(name).items()])
+    sums = [F.sum(f"{k}_{name}").alias(f"{k}_{name}") for name in text.FEATURES for k in _COUNTS]
+    sums += [F.count_if(F.col(f"{side}_{name}") > 0).alias(f"{k}_{name}") for name in text.FEATURES for k, side in zip(_SESSIONS, ("wn", "on"), strict=True)]
+    per_agent = per_session.groupBy("agent").agg(F.sum("n").alias("n"), *sums)
+    each = F.array(*[F.struct(F.lit(name).alias("feature"), *[F.col(f"{k}_{name}").alias(k) for k in (*_COUNTS, *_SESSIONS)]) for name in text.FEATURES])
+    return per_agent.select("agent", "n", F.inline(each))
+
+
+def feature_lift(rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(feature, with_*, without_*, lift, consistent, confidence, usage_share) from lift_counts(rows)."""
+    own = lift_counts(rows) if counts is None else counts
     rate = lambda g, n: F.when(n > 0, text.half_even(g / n, 3))
     own = own.withColumn("lift", text.half_even(rate(F.col("wg"), F.col("wn")) - rate(F.col("og"), F.col("on")), 3))
     every = own.groupBy("feature").agg(*[F.sum(c).cast("long").alias(c) for c in ("wn", "wg", "on", "og", "n", "has", "ws", "os")], F.collect_list(F.when(F.least("wn", "on") >= EARLY_N, F.col("lift"))).alias("strata"))
@@ -65,10 +86,10 @@ def feature_lift(rows: DataFrame) -> DataFrame:
     return every.select("feature", F.col("wn").alias("with_n"), F.col("wg").alias("with_successes"), "with_rate", F.col("on").alias("without_n"), F.col("og").alias("without_successes"), "without_rate", "lift", label.alias("confidence"), F.col("ws").alias("with_sessions"), F.col("os").alias("without_sessions"), text.half_even(F.col("has") / F.greatest(F.lit(1), F.col("n")), 3).alias("usage_share"))
 
 
-def feature_lift_by_agent(rows: DataFrame) -> DataFrame:
-    r = judged(rows).select("agent", "good", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.array_contains("features", n).alias("has")) for n in text.FEATURES])).alias("f"))
-    w, wo = F.col("f.has"), ~F.col("f.has")
-    return r.groupBy("f.feature", "agent").agg(F.count_if(w).alias("with_n"), F.count_if(w & F.col("good")).alias("with_successes"), F.count_if(wo).alias("without_n"), F.count_if(wo & F.col("good")).alias("without_successes"))
+def feature_lift_by_agent(rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(feature, agent, with_*, without_*) from lift_counts(rows), where anything was judged."""
+    own = lift_counts(rows) if counts is None else counts
+    return own.where(F.col("wn") + F.col("on") > 0).select("feature", "agent", F.col("wn").alias("with_n"), F.col("wg").alias("with_successes"), F.col("on").alias("without_n"), F.col("og").alias("without_successes"))
 
 
 def resent(rows: DataFrame) -> DataFrame:
