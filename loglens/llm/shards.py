@@ -56,7 +56,7 @@ def _hashed(value: Column) -> Column:
 
 def places(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang, source, ...) -> a stored row per row: rid (unique), doc_id, size, text_crc32, text_key and
-    the three dimensions. Repeated rows stay apart by rid. A NULL text counts as no bytes."""
+    the three dimensions, and the root as its node. Repeated rows stay apart by rid. A NULL text counts as no bytes."""
     text = F.col("text").cast("string")
     own = docs.select(
         F.monotonically_increasing_id().alias("rid"), "doc_id",
@@ -72,7 +72,7 @@ def places(docs: DataFrame) -> DataFrame:
     joined = lookup(own, mixed, "text_key", "left")
     own_or = lambda c: _hashed(F.when(F.col("of").isNull(), F.col(c)).otherwise(F.col(f"of.{c}")))
     size_at = F.floor(F.log2(F.col("size").cast("double")) * ((1 << 24) / 40.0)).cast("long")
-    return stored(joined.select("rid", "doc_id", "size", "text_crc32", "text_key", own_or("lang").alias("lang_at"), own_or("source").alias("source_at"), size_at.alias("size_at")), "shard-places")
+    return stored(joined.select("rid", "doc_id", "size", "text_crc32", "text_key", own_or("lang").alias("lang_at"), own_or("source").alias("source_at"), size_at.alias("size_at"), F.lit(1).cast("long").alias("node")), "shard-places")
 
 
 def _value(dim: Column) -> Column:
@@ -132,7 +132,6 @@ def build(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tuple[l
     if not 1 <= shards <= MAX_SHARDS:
         raise ValueError(f"shards must be 1 to {MAX_SHARDS}")
     levels, nodes, leaves, whole, slack = [], [Node(1, 0, shards)], [], None, 0.0
-    rows = rows.withColumn("node", F.lit(1).cast("long"))
     while nodes:
         leaves += [n for n in nodes if n.shards == 1]
         nodes = [n for n in nodes if n.shards > 1]
@@ -168,7 +167,7 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     shards = shards or max(1, -(-seen.bytes // (target_bytes or 1)))
     levels, leaves = build(rows, shards, tolerance)
-    at = rows.withColumn("node", F.lit(1).cast("long"))
+    at = rows
     for cuts in levels:
         at = descend(at, cuts)
     numbers = F.broadcast(spark.createDataFrame([(n.number, n.first) for n in leaves], "node long, shard int"))
