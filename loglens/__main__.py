@@ -1,4 +1,4 @@
-"""python -m loglens prepare|finalize|extract|cleanup, with LOGLENS_DAYS, LOGLENS_SOURCES and LOGLENS_HOME as defaults."""
+"""python -m loglens prepare|finalize|extract|stats|coaching|render|cleanup, with LOGLENS_DAYS, LOGLENS_SOURCES and LOGLENS_HOME as defaults."""
 
 from __future__ import annotations
 
@@ -8,11 +8,24 @@ import os
 
 from pyspark.sql import SparkSession
 
-from loglens.plans import deck
-from loglens.sources import readers, sinks
+from loglens.plans import coaching, deck
+from loglens.sources import bundle, readers, sinks
 from loglens.sources.config import config
 
 
+def rendered(spark: SparkSession, folder: str) -> None:
+    """index.html of a folder from its reports and slides.json; a deck of counts where there are no slides."""
+    reports = {}
+    for name in ("stats", "coaching"):
+        with open(f"{folder}/{name}.json", encoding="utf-8") as f:
+            reports[name] = json.load(f)
+    slides = deck.limited(reports["stats"])
+    if os.path.exists(f"{folder}/slides.json"):
+        with open(f"{folder}/slides.json", encoding="utf-8") as f:
+            slides = json.load(f)
+    sinks.write_text(f"{folder}/index.html", deck.render(deck.validated(slides, reports, sinks.scrubber(spark))))
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="loglens")
     sub = p.add_subparsers(dest="command", required=True)
@@ -27,6 +40,12 @@ def main(argv: list[str] | None = None) -> int:
     s = sub.add_parser("finalize")
     s.add_argument("folder")
     s.add_argument("--history", required=True)
+    for name in ("stats", "coaching"):
+        s = sub.add_parser(name, help=f"the {name} report of a normalized bundle")
+        s.add_argument("bundle")
+        s.add_argument("--out", required=True)
+    s = sub.add_parser("render")
+    s.add_argument("folder")
     s = sub.add_parser("cleanup")
     s.add_argument("folder")
     a = p.parse_args(argv)
@@ -34,15 +53,19 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(sinks.cleanup(a.folder)))
         return 0
     spark = SparkSession.builder.appName("loglens").config("spark.sql.session.timeZone", os.environ.get("TZ", "UTC")).getOrCreate()
-    if a.command == "finalize":
-        reports = {}
-        for name in ("stats", "coaching"):
-            with open(f"{a.folder}/{name}.json", encoding="utf-8") as f:
-                reports[name] = json.load(f)
-        path = f"{a.folder}/slides.json"
-        slides = json.load(open(path, encoding="utf-8")) if os.path.exists(path) else deck.limited(reports["stats"])
-        sinks.write_text(f"{a.folder}/index.html", deck.render(deck.validated(slides, reports, sinks.scrubber(spark))))
-        print("new" if sinks.finalize(a.folder, a.history) else "known")
+    if a.command in ("finalize", "render"):
+        rendered(spark, a.folder)
+        if a.command == "finalize":
+            print("new" if sinks.finalize(a.folder, a.history) else "known")
+        return 0
+    if a.command in ("stats", "coaching"):
+        data = bundle.read(spark, a.bundle)
+        sinks.private_dir(a.out)
+        if a.command == "stats":
+            sinks.write_stats(spark, data | {"sources": {}, "provenance": {}}, a.out)
+        else:
+            sinks.write_coaching(spark, coaching.rows(data["prompts"]), a.out)
+        print(a.out)
         return 0
     cfg = config(a.home, a.now, a.days, a.sources, tuple(a.export))
     if a.command == "extract":

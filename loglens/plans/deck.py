@@ -217,6 +217,17 @@ def opacity(n: float, most: float) -> int:  # fixed value: the steps from 35 to
     return round((0.35 + 0.65 * math.sqrt(n / most)) * 100) if n and most else 0
 
 
+#: Colours of agents in a heat map; others are grey.
+COLOURS = {"claude-code": "#c8643c", "codex": "#2f7f6b", "chatgpt": "#4b6fb5", "claude-ai": "#b58a2f"}
+
+
+def cell_style(counts: dict, most: float) -> str:
+    """A cell's colour by the agent that counts most there, cut across into those of the first two where there are more."""
+    top = [COLOURS.get(a, "#888") for a in sorted(counts, key=lambda a: -counts[a])[:2]]
+    fill = f"linear-gradient(135deg,{top[0]} 50%,{top[1]} 50%)" if len(top) > 1 else "".join(top)
+    return f"background:{fill or 'none'};opacity:{opacity(sum(counts.values()), most)}%"
+
+
 def themes(slides: list[dict], seed: int) -> list[str]:
     """A theme for each slide: the wanted one unless the slide before has it, else a seeded choice of another."""
     rng, out = random.Random(seed), []
@@ -257,7 +268,9 @@ def _body(s: dict) -> str:
         totals = {k: sum(v.values()) for k, v in s["cells"].items()}
         most = max(totals.values(), default=0)
         hours = s.get("hours", range(8, 23))
-        cells = "".join("<tr>" + f"<th>{e(d['label'])}</th>" + "".join(f'<td style="opacity:{opacity(totals.get(f"{d["key"]}|{h}", 0), most)}%">{totals.get(f"{d["key"]}|{h}", "")}</td>' for h in hours) + "</tr>" for d in s["days"])
+        at = lambda d, h: f"{d['key']}|{h}"
+        cell = lambda k: f'<td style="{cell_style(s["cells"].get(k, {}), most)}">{totals.get(k, "")}</td>'
+        cells = "".join(f"<tr><th>{e(d['label'])}</th>" + "".join(cell(at(d, h)) for h in hours) + "</tr>" for d in s["days"])
         parts.append(f'<table aria-label="{e(s["alt"])}">{cells}</table>')
     if s["type"] == "coach":
         stat = s["stat"]

@@ -59,3 +59,10 @@ def test_figures():
     assert deck.shares([1, 3]) == [25, 75] and deck.shares([0]) == [0] and deck.opacity(4, 4) == 100 and deck.opacity(0, 4) == 0
     looks = deck.themes([{"type": "cold", "bg": "blue"}, {"type": "quote", "bg": "blue"}, {"type": "ranking"}], 1)
     assert looks[0] == "blue" != looks[1] and looks[2] in ("ink", "paper")
+
+
+def test_heat_map_splits_a_cell_between_two_agents():
+    slide = parts()["heatmap"] | {"type": "heatmap", "cells": {"2026-10-05|10": {"codex": 1, "chatgpt": 3, "claude-ai": 2}}}
+    page = deck.render({"title": "t", "seed": 7, "slides": [slide]})
+    assert f"linear-gradient(135deg,{deck.COLOURS['chatgpt']} 50%,{deck.COLOURS['claude-ai']} 50%);opacity:100%" in page and ">6</td>" in page
+    assert deck.cell_style({"codex": 1}, 4) == f"background:{deck.COLOURS['codex']};opacity:68%" and deck.cell_style({}, 4) == "background:none;opacity:0%"
