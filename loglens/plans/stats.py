@@ -36,11 +36,22 @@ def _sum(c: Column) -> Column:
 
 
 def ranked(df: DataFrame, key: Column | str, k: int | None, name: str = "name") -> DataFrame:
-    """(name, n): how often each non-NULL key occurs, most often first, ties by the first occurrence; at most k."""
-    out = df.select("ord", (F.col(key) if isinstance(key, str) else key).alias(name)).where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"), F.min("ord").alias("_first")).orderBy(F.desc("n"), "_first")
+    """(name, n): how often each non-NULL key occurs, most often first, ties by the first occurrence; at most k. Rows that
+    stand for several (`rows`) count as many times."""
+    weight = F.col("rows") if "rows" in df.columns else F.lit(1).cast("long")
+    keyed = df.select("ord", (F.col(key) if isinstance(key, str) else key).alias(name), weight.alias("_rows")).where(F.col(name).isNotNull())
+    out = keyed.groupBy(name).agg(F.sum("_rows").alias("n"), F.min("ord").alias("_first")).orderBy(F.desc("n"), "_first")
     return (out.limit(k) if k else out).drop("_first")
 
 
+def usage_hours(usage: DataFrame) -> DataFrame:
+    """usage with the rows of one agent, project, model, branch and local hour put together: counts are sums, ts and ord the
+    first, `rows` says how many there were. Every figure here is the same over it, so a report reads usage once."""
+    hour = F.date_trunc("hour", local(F.col("ts"))).alias("hour")
+    firsts = [F.min(c).alias(c) for c in ("ts", "ord")]
+    return usage.groupBy("agent", "project", "model", "side", "branch", "estimated", hour).agg(*firsts, *[F.sum(k).alias(k) for k in KINDS], F.count("*").alias("rows")).drop("hour")
+
+
 def token_types(usage: DataFrame) -> DataFrame:
     return usage.agg(_sum(tokens()).alias("total"), *[_sum(F.col(k)).alias(k) for k in KINDS])
 

@@ -196,3 +196,19 @@ def test_greedy_matching_in_crowds(spark):
     one_time = matches([("k", k, 1.0) for k in range(10_000)], [("k", 10**6 + k, 1.0) for k in range(10_000)], 5.0)
     assert one_time == {(k, 10**6 + k) for k in range(10_000)}
     assert matches([], [("k", 1, 1.0)], 5.0) == set()
+
+
+def test_figures_over_hourly_usage(spark):
+    """Every figure that a report takes from usage is the same over usage_hours(), which has a row per hour and kind."""
+    rnd = random.Random(2)
+    pick = lambda *xs: rnd.choice(xs)
+    rows = [(1_800_000_000.0 + rnd.randrange(0, 40 * 3600), pick("codex", "chatgpt"), pick("s", "t"), pick("p", "q", None), pick("m", "n", None, "<synthetic>"), pick(True, False), pick("main", "x", "y", None), pick(True, False), *(float(rnd.randrange(100)) for _ in range(5)), k) for k in range(1500)]
+    schema = "ts double, agent string, session string, project string, model string, side boolean, branch string, estimated boolean, fresh_input double, cache_read double, cache_write double, output double, reasoning double, ord long"
+    u = spark.createDataFrame(rows, schema)
+    p = prompts(spark, [(1_800_000_000.0 + 600 * k, "codex", "s", "hello again") for k in range(50)]).withColumn("project", F.lit("p")).withColumn("surface", F.lit("cli"))
+    hours = stats.usage_hours(u).persist()
+    assert hours.count() < 1500
+    for figure in (stats.token_types, stats.cache_share, stats.models, stats.output_grid, stats.side_share, stats.branches, stats.project_agents):
+        assert sorted(map(repr, figure(hours).collect())) == sorted(map(repr, figure(u).collect())), figure.__name__
+    for figure in (stats.agents, stats.projects, stats.busiest_hour, stats.words):
+        assert sorted(map(repr, figure(p, hours).collect())) == sorted(map(repr, figure(p, u).collect())), figure.__name__
