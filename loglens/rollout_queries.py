@@ -45,6 +45,9 @@ FROM ({_EVENTS}) AS x WHERE e % 6 = 3 AND (e % 5 > 0 OR e % 500 = 3)
 """
 
 
+_CODEX = config(None, NOW, (NOW - CUT) // 86400, "codex")
+
+
 def rollouts(spark: SparkSession, d: str) -> readers.Parts:
     """The reader's parts over events, written as rollouts and history."""
     events = spark.read.parquet(f"{d}/events.parquet")
@@ -54,8 +57,7 @@ def rollouts(spark: SparkSession, d: str) -> readers.Parts:
     files = copies.sortWithinPartitions("file", F.col("e") >= 0, F.xxhash64("e")).select("file", "value")
     history = spark.sql(_HISTORY, events=events)
     parts = readers.Parts(spark)
-    cfg = config(None, NOW, (NOW - CUT) // 86400, "codex")
-    readers.codex(parts, cfg, J.scan(spark, written(files, "rollouts", "file")), J.scan(spark, written(history, "history")))
+    readers.codex(parts, _CODEX, J.scan(spark, written(files, "rollouts", "file")), J.scan(spark, written(history, "history")))
     return parts
 
 
@@ -76,6 +78,14 @@ def read_rollout_issues(spark: SparkSession, d: str) -> DataFrame:
     return rollouts(spark, d).take("issues", readers.ISSUE).groupBy("code").agg(F.count("*").alias("n"))
 
 
+def read_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """What the rollout reader says about itself, with an agent beside it that has no source."""
+    parts, both = rollouts(spark, d), config(None, NOW, (NOW - CUT) // 86400, "codex,chatgpt")
+    found = readers.diagnosed(parts, both, readers.distinct_prompts(parts, both), parts.take("usage", readers.USAGE))
+    issues = F.aggregate(F.map_values("issues"), F.lit(0).cast("long"), lambda acc, n: acc + n)
+    return found.select("agent", "malformed_records", "usable_prompts", "usage_rows", F.size("issues").cast("long").alias("codes"), issues.alias("issues"), "status")
+
+
 _E = f"""WITH x AS (SELECT event_id AS e, user_id AS u, {START} + (event_id * 2593) % {DAYS * 86400} AS ts FROM events),
 t AS (SELECT *, coalesce(last_value(CASE WHEN e % 6 = 0 AND e % 5 > 0 THEN '/gone/p' || e % 3 END IGNORE NULLS) OVER w, '/gone/first') AS cwd,
   last_value(CASE WHEN e % 6 = 0 THEN {{'model': CASE WHEN e % 4 > 0 THEN 'g' || e % 5 END, 'effort': CASE WHEN e % 9 > 0 THEN 'high' END}} END IGNORE NULLS) OVER w AS c
@@ -93,7 +103,7 @@ rest AS (SELECT hi.e, hi.session, hi.ts, hi.text, CASE WHEN hi.session LIKE 'x%'
 _MALFORMED = "(SELECT count(*) FROM x WHERE e % 6 = 3 AND (e % 5 > 0 OR e % 500 = 3) AND e % 500 <> 3 AND e % 77 = 3)"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "read_rollout_usage": read_rollout_usage, "read_rollout_prompts": read_rollout_prompts, "read_rollout_tools": read_rollout_tools, "read_rollout_issues": read_rollout_issues,
+    "read_rollout_usage": read_rollout_usage, "read_rollout_prompts": read_rollout_prompts, "read_rollout_tools": read_rollout_tools, "read_rollout_issues": read_rollout_issues, "read_diagnostics": read_diagnostics,
 }
 ORACLES = {
     "read_rollout_usage": f"""{_E} SELECT CAST(u AS VARCHAR) AS session, CAST(ts AS DOUBLE) AS ts, cwd, c.model AS model, c.effort AS effort, 'response' AS measurement,
@@ -107,3 +117,6 @@ ORACLES = {
   UNION ALL SELECT 'usage_unavailable', (SELECT count(*) FROM (SELECT session FROM hi UNION SELECT CAST(u AS VARCHAR) FROM c) WHERE session NOT IN (SELECT session FROM used)))
   SELECT code, n FROM q WHERE n > 0""",
 }
+ORACLES["read_diagnostics"] = f"""WITH i AS ({ORACLES['read_rollout_issues']}), p AS ({ORACLES['read_rollout_prompts']}), u AS ({ORACLES['read_rollout_usage']})
+SELECT 'codex' AS agent, CAST(coalesce((SELECT sum(n) FROM i WHERE code = 'malformed'), 0) AS BIGINT) AS malformed_records, (SELECT count(*) FROM p) AS usable_prompts, (SELECT count(*) FROM u) AS usage_rows,
+  (SELECT count(*) FROM i WHERE code <> 'malformed') AS codes, CAST(coalesce((SELECT sum(n) FROM i WHERE code <> 'malformed'), 0) AS BIGINT) AS issues, 'partial' AS status UNION ALL SELECT 'chatgpt', 0, 0, 0, 0, 0, 'absent'"""

@@ -342,6 +342,30 @@ def self_report(cfg: Config) -> tuple[dict | None, str | None]:
         return None, "invalid_self_report"
 
 
+def distinct_prompts(parts: Parts, cfg: Config) -> DataFrame:
+    """The prompts inside the window with their ids, the first of equal ones."""
+    prompts = parts.take("prompts", PROMPT).withColumn("text", T.strip(F.col("text"))).where((F.col("text") != "") & F.col("ts").between(cfg.cut, cfg.now))
+    return sequence.first_by(prompts.withColumn("id", T.prompt_id(F.col("agent"), F.col("session"), F.col("ts"), F.col("text"))), ["id"], ["is_automation", "ord"])
+
+
+def diagnosed(parts: Parts, cfg: Config, prompts: DataFrame, usage: DataFrame) -> DataFrame:
+    """A row per requested agent: files, malformed records, usable prompts, usage rows, issues by code and the status: partial
+    with any issue or malformed record, else ok with anything read, empty with a source, absent without."""
+    notes, issues = parts.notes, parts.take("issues", ISSUE)
+    files = [(a, *(notes["files"].get(a) or [0, 0]), a in notes["sources"]) for a in sorted(cfg.sources)]
+    asked = parts.spark.createDataFrame(files, "agent string, files_discovered long, files_read long, seen boolean")
+    per_code = issues.groupBy("agent", "code").agg(F.count("*").alias("n"))
+    by_code = F.map_from_entries(F.collect_list(F.when(F.col("code") != "malformed", F.struct("code", "n"))))
+    coded = per_code.groupBy("agent").agg(by_code.alias("issues"), F.sum(F.when(F.col("code") == "malformed", F.col("n")).otherwise(0)).alias("malformed_records"))
+    count = lambda df, name: df.groupBy("agent").agg(F.count("*").alias(name))
+    d = asked.join(coded, "agent", "left").join(count(prompts.where("NOT is_automation"), "usable_prompts"), "agent", "left").join(count(usage, "usage_rows"), "agent", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("malformed_records", "usable_prompts", "usage_rows")]
+    d = d.select("agent", "files_discovered", "files_read", *counts, F.coalesce("issues", F.create_map().cast("map<string,bigint>")).alias("issues"), "seen")
+    read = (F.col("usable_prompts") > 0) | (F.col("usage_rows") > 0)
+    status = F.when((F.size("issues") > 0) | (F.col("malformed_records") > 0), "partial").when(read, "ok").when(F.col("seen"), "empty").otherwise("absent")
+    return d.withColumn("status", status).drop("seen")
+
+
 def extract(spark: SparkSession, cfg: Config) -> dict:
     """All requested sources as DataFrames prompts, usage, tools, sessions, diagnostics, checks, with notes on the sources."""
     parts = Parts(spark)
@@ -353,9 +377,8 @@ def extract(spark: SparkSession, cfg: Config) -> dict:
     report, problem = self_report(cfg) if "chatgpt" in cfg.sources else (None, None)
     if problem:
         parts.issue("chatgpt", problem)
-    prompts, usage, tools, seen, issues, checks = (parts.take(n, s) for n, s in (("prompts", PROMPT), ("usage", USAGE), ("tools", TOOL), ("seen", SEEN), ("issues", ISSUE), ("checks", CHECK)))
-    prompts = prompts.withColumn("text", T.strip(F.col("text"))).where((F.col("text") != "") & F.col("ts").between(cfg.cut, cfg.now))
-    prompts = sequence.first_by(prompts.withColumn("id", T.prompt_id(F.col("agent"), F.col("session"), F.col("ts"), F.col("text"))), ["id"], ["is_automation", "ord"]).persist()
+    usage, tools, seen, checks = (parts.take(n, s) for n, s in (("usage", USAGE), ("tools", TOOL), ("seen", SEEN), ("checks", CHECK)))
+    prompts = distinct_prompts(parts, cfg).persist()
     usage = usage.persist()
     cwds = prompts.select("cwd").union(usage.select("cwd")).union(seen.select("cwd")).union(spark.createDataFrame([("",)], "cwd string"))
     places = settled(folders.places(cwds.select(F.coalesce("cwd", F.lit("")).alias("folder")).distinct(), cfg.home))
@@ -373,14 +396,7 @@ def extract(spark: SparkSession, cfg: Config) -> dict:
     rolled = stays.groupBy("agent", "session").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), first("cwd").alias("cwd"), first("surface").alias("surface"), first("auto").alias("auto"))
     counts = prompts.where("NOT is_automation").groupBy("agent", "session").agg(F.count("*").alias("prompts"))
     sessions = placed(rolled.join(counts, ["agent", "session"], "left").withColumn("prompts", F.coalesce("prompts", F.lit(0))))
-    notes = parts.notes
-    asked = spark.createDataFrame([(a, *(notes["files"].get(a) or [0, 0]), a in notes["sources"]) for a in sorted(cfg.sources)], "agent string, files_discovered long, files_read long, seen boolean")
-    per_code = issues.groupBy("agent", "code").agg(F.count("*").alias("n"))
-    coded = per_code.groupBy("agent").agg(F.map_from_entries(F.collect_list(F.when(F.col("code") != "malformed", F.struct("code", "n")))).alias("issues"), F.sum(F.when(F.col("code") == "malformed", F.col("n")).otherwise(0)).alias("malformed_records"))
-    count = lambda df, name: df.groupBy("agent").agg(F.count("*").alias(name))
-    d = asked.join(coded, "agent", "left").join(count(prompts.where("NOT is_automation"), "usable_prompts"), "agent", "left").join(count(usage, "usage_rows"), "agent", "left")
-    d = d.select("agent", "files_discovered", "files_read", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("malformed_records", "usable_prompts", "usage_rows")], F.coalesce("issues", F.create_map().cast("map<string,bigint>")).alias("issues"), "seen")
-    status = F.when((F.size("issues") > 0) | (F.col("malformed_records") > 0), "partial").when((F.col("usable_prompts") > 0) | (F.col("usage_rows") > 0), "ok").when(F.col("seen"), "empty").otherwise("absent")
-    return {"prompts": prompts, "usage": usage, "tools": tools, "sessions": sessions, "diagnostics": d.withColumn("status", status).drop("seen"), "checks": checks, "sources": notes["sources"], "provenance": notes["provenance"], "self_report": report}
+    notes, d = parts.notes, diagnosed(parts, cfg, prompts, usage)
+    return {"prompts": prompts, "usage": usage, "tools": tools, "sessions": sessions, "diagnostics": d, "checks": checks, "sources": notes["sources"], "provenance": notes["provenance"], "self_report": report}
 
 
