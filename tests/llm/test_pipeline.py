@@ -1,7 +1,9 @@
 import hashlib
+import random
 
 import corpus_pipeline
 import sentencepiece
+from test_wide import edited
 
 from loglens.llm import decontaminate, pieces, secrets
 
@@ -31,6 +33,26 @@ def test_stages_keep_clean_documents_and_take_effect(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 7
 
 
+def test_near_copies_of_every_similarity_go(spark):
+    rnd = random.Random(21)
+    rows = []
+    for k in range(120):
+        words = [f"v{rnd.randrange(2000)}" for _ in range(250)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, edited(words, rnd, *[(0.8, 0.85), (0.85, 0.9), (0.9, 0.95)][k % 3]))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert {2 * k for k in range(120)} <= kept
+    assert all(sum(2 * k + 1 in kept for k in range(n, 120, 3)) <= 4 for n in range(3))
+
+
+def test_stage_with_odd_rows(spark):
+    text = " ".join(f"w{k}" for k in range(100))
+    rows = [(None, text), (4, text), (4, text), (4, "other words here"), (5, None), (3, ""), (None, "x y"), (6, "long " * 200_000)]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(4, text), (4, "other words here"), (3, ""), (None, "x y"), (6, "long " * 200_000)], key=str)
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
