@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm import decontaminate, langid, pieces, secrets, simhash
+from loglens.llm import decontaminate, langid, pieces, secrets, wide
 from loglens.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,8 +32,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one with the smallest doc_id, by content where doc_ids repeat."""
-    found = simhash.near_duplicates(docs)
+    """Keeps one document of each group of near copies (five words, similarity 0.8 or more): the one with the smallest
+    doc_id, by content where doc_ids repeat; NULL doc_ids come last. Of repeated rows one stays. NULL, empty and wordless
+    texts are one group."""
+    found = wide.near_copies(docs)
     rows = found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("x")).select("x.doc_id", "x.text_key", "x.n")
     keyed = _keyed(docs)
