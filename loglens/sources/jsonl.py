@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$"
 
 
-def scan(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row. A generator lies between them and what reads them; without it the optimizer
+    puts their expressions into each filter and column above, where a JSON line was parsed again for every use."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def scan(spark: SparkSession, root: str, pattern: str | None = None, packed: bool = False) -> DataFrame:
     """(path, ord, line, j): every line of the files below root, blank ones too, with its place and its JSON object; j is NULL
     if the line is not one. Large files are split; ord is the order of lines within a file. root may be in any store that
-    Spark reads."""
+    Spark reads. packed: files hold the lines of many small ones, each behind the path of its own and a tab."""
     reader = spark.read.option("recursiveFileLookup", "true")
     raw = (reader.option("pathGlobFilter", pattern) if pattern else reader).text(root)
-    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("ord"), F.col("value").alias("line"))
-    parsed = F.expr("try_parse_json(line)")
-    return raw.withColumn("j", F.when(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), parsed))
+    path, line = F.col("_metadata.file_path"), F.col("value")
+    if packed:
+        path, line = F.substring_index("value", "\t", 1), F.expr("substr(value, instr(value, '\t') + 1)")
+    raw = raw.select(path.alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("ord"), line.alias("line"))
+    return once(raw, j=F.when(F.rlike("line", F.lit(r"^[ \t\r\n]*\{")), F.expr("try_parse_json(line)")))
 
 
 def lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame | None:

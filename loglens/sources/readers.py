@@ -82,16 +82,15 @@ def claude_code(parts: Parts, cfg: Config, raw: DataFrame | None = None) -> None
     parts.notes["sources"][agent] = "local Claude Code transcripts"
     if raw is None:
         return
-    files = raw.select("path").distinct().count()
-    parts.notes["files"][agent] = [files, files]
+    parts.notes["files"][agent] = lambda: [raw.select("path").distinct().count()] * 2
     bad = lambda df: parts.add("issues", df.select(F.lit(agent).alias("agent"), F.lit("malformed").alias("code")))
-    bad(raw.where("j IS NULL"))
-    typed = raw.where("j IS NOT NULL").withColumn("type", J.string("$.type")).where(F.col("type").isin("user", "assistant")).withColumn("ts", J.seconds("$.timestamp"))
-    bad(typed.where("ts IS NULL"))
-    inside = typed.where(F.col("ts").between(cfg.cut, cfg.now)).withColumn("session", J.shown("$.sessionId")).withColumn("ok", F.col("session").isNotNull() & J.is_object("$.message"))
-    bad(inside.where("NOT ok"))
-    rows = inside.where("ok").select("type", "ts", "session", "j", "line", _ord(), J.shown("$.cwd").alias("cwd"), J.shown("$.entrypoint").alias("surface"), F.lit(agent).alias("agent"))
-    rows = settled(rows)
+    read = J.once(raw, type=J.string("$.type"), ts=J.seconds("$.timestamp"), session=J.shown("$.sessionId"))
+    whole = F.col("session").isNotNull() & J.is_object("$.message")
+    read = J.once(read, good=F.when(F.col("j").isNull(), False).when(F.col("type").isin("user", "assistant"), F.when(F.col("ts").isNull(), False).when(F.col("ts").between(cfg.cut, cfg.now), whole)))
+    # one pass keeps what counts and the lines that can't be used
+    found = settled(read.where("good IS NOT NULL").select("good", "type", "ts", "session", F.when(F.col("good"), F.col("j")).alias("j"), _ord(), J.shown("$.cwd").alias("cwd"), J.shown("$.entrypoint").alias("surface"), F.lit(agent).alias("agent")))
+    bad(found.where("NOT good"))
+    rows = found.where("good")
     parts.add("seen", rows.select("agent", "session", "ts", "cwd", "surface", F.lit(False).alias("auto"), "ord"))
 
     replies = rows.where("type = 'assistant'").withColumn("mid", F.coalesce(J.shown("$.message.id"), J.shown("$.uuid"), F.to_json("j")))
@@ -103,7 +102,7 @@ def claude_code(parts: Parts, cfg: Config, raw: DataFrame | None = None) -> None
     first = sequence.first_by(replies, ["session", "mid"], ["ord"])
     fields = [f for f in USAGE_FIELDS if f != "reasoning_output_tokens"]
     ok = (J.kind("$.message.usage").isNull() | (J.kind("$.message.usage") == "VOID") | J.is_object("$.message.usage")) & J.valid_numbers("$.message.usage", fields) & J.valid_numbers("$.message.usage.output_tokens_details", ["thinking_tokens"])
-    first = first.withColumn("ok", ok)
+    first = J.once(first, ok=ok)
     parts.add("issues", first.where("NOT ok").select("agent", F.lit("invalid_usage").alias("code")))
     parts.add("usage", first.where("ok").select("ts", "agent", "session", "cwd", J.shown("$.message.model").alias("model"), J.shown("$.effort").alias("effort"), J.truthy("$.isSidechain").alias("side"), J.shown("$.gitBranch").alias("branch"), F.lit(False).alias("estimated"), F.lit("response").alias("measurement"), *usage_columns(False, "$.message.usage"), J.amount("$.message.usage.output_tokens_details", "thinking_tokens").alias("reasoning"), "ord"))
 
@@ -134,7 +133,7 @@ def codex(parts: Parts, cfg: Config, raw: DataFrame | None = None, typed: DataFr
     typed = typed if given else J.lines(spark, f"{base}/history.jsonl", "history.jsonl")
     if typed is not None:
         files += 1
-        h = typed.withColumn("ts", J.seconds("$.ts")).withColumn("session", J.string("$.session_id")).withColumn("text", J.string("$.text"))
+        h = J.once(typed, ts=J.seconds("$.ts"), session=J.string("$.session_id"), text=J.string("$.text"))
         ok = F.col("ts").isNotNull() & F.col("session").isNotNull() & F.col("text").isNotNull()
         bad(h.where(~ok))
         # the numbers are read by two plans below, so they are fixed here
@@ -142,13 +141,13 @@ def codex(parts: Parts, cfg: Config, raw: DataFrame | None = None, typed: DataFr
     raw = raw if given else J.lines(spark, f"{base}/sessions")
     if raw is None:
         raw = spark.createDataFrame([], "path string, ord struct<block:bigint,line:bigint>, line string").withColumn("j", F.expr("try_parse_json(line)"))
-    found = raw.select("path").distinct().count()
-    parts.notes["files"][agent] = [files + found, files + found]
-    bad(raw.where("j IS NULL"))
-    rows = raw.where("j IS NOT NULL").withColumn("type", J.string("$.type"))
-    metas = sequence.first_by(rows.where("type = 'session_meta'"), ["path"], ["ord"]).withColumn("session", F.coalesce(J.shown("$.payload.id"), J.shown("$.payload.session_id"))).where("session IS NOT NULL")
+    parts.notes["files"][agent] = lambda: [files + raw.select("path").distinct().count()] * 2
+    rows = J.once(raw, type=J.string("$.type"))
+    metas = sequence.first_by(rows.where("type = 'session_meta'"), ["path"], ["ord"]).select("path", "j", F.coalesce(J.shown("$.payload.id"), J.shown("$.payload.session_id")).alias("session"))
+    metas = settled(metas.where("session IS NOT NULL"))
     told(raw.select("path").distinct().join(metas.select("path"), "path", "left_anti"), "missing_session_metadata")
-    kept = rows.join(F.broadcast(metas.select("path", "session")) if found <= 10_000 else metas.select("path", "session"), "path")
+    of = metas.select("path", "session")
+    kept = rows.join(F.broadcast(of) if metas.count() <= 10_000 else of, "path", "left").where("j IS NULL OR session IS NOT NULL")
     meta = metas.groupBy("session").agg(F.max_by("j", "path").alias("m"))
     meta = meta.select("session", J.shown("$.payload.cwd", "m").alias("meta_cwd"), J.shown("$.payload.originator", "m").alias("originator"), J.shown("$.payload.thread_source", "m").alias("thread"), J.string("$.payload.source", "m").alias("src"), J.is_object("$.payload.source", "m").alias("nested"))
     typed_in = history.select("session").distinct().withColumn("typed", F.lit(True))
@@ -159,10 +158,13 @@ def codex(parts: Parts, cfg: Config, raw: DataFrame | None = None, typed: DataFr
     info = info.select("session", "meta_cwd", "typed", F.when((F.col("src") == "vscode") & (surface == "cli"), "vscode").otherwise(surface).alias("surface"), auto.alias("auto"))
     told(history.select("session").distinct().join(metas.select("session"), "session", "left_anti"), "history_without_rollout")
 
-    events = kept.withColumn("ts", J.seconds("$.timestamp")).withColumn("ok", F.col("ts").isNotNull() & (J.kind("$.payload").isNull() | J.is_object("$.payload")))
-    bad(events.where("NOT ok"))
-    events = events.where("ok").withColumn("canon", F.to_json("j")).withColumn("o", _ord())
-    events = sequence.first_by(events, ["session", "canon"], ["o"]).withColumn("pt", J.string("$.payload.type"))
+    kept = J.once(kept, ts=J.seconds("$.timestamp"), shaped=J.kind("$.payload").isNull() | J.is_object("$.payload"))
+    good = F.col("j").isNotNull() & F.col("ts").isNotNull() & F.col("shaped")
+    bad(kept.where(~good))
+    # contexts and counters count from before the window on
+    events = kept.where(good & (inside | F.col("type").isin("turn_context", "event_msg")))
+    events = J.once(events.select("session", "ts", "type", "j", _ord().alias("o")), canon=F.to_json("j"))
+    events = J.once(sequence.first_by(events, ["session", "canon"], ["o"]), pt=J.string("$.payload.type"))
     order = ["ts", "o"]
     context = F.when(F.col("type") == "turn_context", F.struct(J.shown("$.payload.model").alias("model"), J.shown("$.payload.effort").alias("effort")))
     turn_cwd = F.when(F.col("type") == "turn_context", J.shown("$.payload.cwd"))
@@ -184,7 +186,7 @@ def codex(parts: Parts, cfg: Config, raw: DataFrame | None = None, typed: DataFr
     left = history.withColumn("key", T.strip(F.col("text"))).withColumn("id", F.concat(F.lit("h"), F.col("id").cast("string")))
     right = cands.select("session", F.col("text").alias("key"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("id"), "ts", "cwd", "ord")
     pairs = sequence.greedy_matches(left.select("session", "key", "id", "ts"), right.select("session", "key", "id", "ts"), ["session", "key"], 5.0)
-    pairs = settled(pairs)
+    pairs = pairs.persist()
     contexts = events.where("type = 'turn_context'").select("session", "ts", F.struct("cwd").alias("at"), F.row_number().over(Window.partitionBy("session").orderBy(*order[:1], "ord")).alias("ord"))
     placed = sequence.asof(left.select("session", "ts", "id", "key"), contexts, ["session"], "ts", "at")
     placed = placed.join(pairs.select("session", F.col("left_id").alias("id"), "right_id"), ["session", "id"], "left").join(right.select("session", F.col("id").alias("right_id"), F.struct("cwd").alias("own")), ["session", "right_id"], "left").join(info, "session")
@@ -197,7 +199,7 @@ def codex(parts: Parts, cfg: Config, raw: DataFrame | None = None, typed: DataFr
     records = events.where(inside & (F.col("type") == "token_usage_record")).withColumn("rid", F.coalesce(J.shown("$.payload.response_id"), F.col("canon")))
     records = sequence.first_by(records, ["session", "rid"], ["ts", "ord"])
     fresh = J.amount("$.payload.usage", "input_tokens") - J.amount("$.payload.usage", "cached_input_tokens")
-    records = records.withColumn("ok", J.valid_numbers("$.payload.usage", USAGE_FIELDS) & (fresh >= 0)).persist()
+    records = J.once(records, ok=J.valid_numbers("$.payload.usage", USAGE_FIELDS) & (fresh >= 0)).persist()
     told(records.where("NOT ok"), "invalid_usage")
     native = records.where("ok").select("ts", "agent", "session", "cwd", "model", "effort", (F.col("auto") | F.coalesce(F.col("model") == "codex-auto-review", F.lit(False))).alias("side"), none.alias("branch"), F.lit(False).alias("estimated"), F.lit("response").alias("measurement"), *usage_columns(True, "$.payload.usage"), J.amount("$.payload.usage", "reasoning_output_tokens").alias("reasoning"), "ord")
 
@@ -352,7 +354,8 @@ def diagnosed(parts: Parts, cfg: Config, prompts: DataFrame, usage: DataFrame) -
     """A row per requested agent: files, malformed records, usable prompts, usage rows, issues by code and the status: partial
     with any issue or malformed record, else ok with anything read, empty with a source, absent without."""
     notes, issues = parts.notes, parts.take("issues", ISSUE)
-    files = [(a, *(notes["files"].get(a) or [0, 0]), a in notes["sources"]) for a in sorted(cfg.sources)]
+    counted = {a: n() if callable(n) else n for a, n in notes["files"].items()}
+    files = [(a, *counted.get(a, [0, 0]), a in notes["sources"]) for a in sorted(cfg.sources)]
     asked = parts.spark.createDataFrame(files, "agent string, files_discovered long, files_read long, seen boolean")
     per_code = issues.groupBy("agent", "code").agg(F.count("*").alias("n"))
     by_code = F.map_from_entries(F.collect_list(F.when(F.col("code") != "malformed", F.struct("code", "n"))))
