@@ -1,7 +1,7 @@
 """Queries through the rollout reader: events become the rollouts and the typed history of a session per user and are read back.
 
-A session lies in two files that overlap, each begins with the session's record and holds its other rows in no order.
-Small files are packed into large ones. Rows are contexts, usage records (some repeated, some invalid), tool calls and messages; the history repeats messages a few seconds
+A session lies in two files that overlap, each begins with the session's record and holds its other rows in no order but that
+rows of the same time stand in the order of events. Small files are packed into large ones. Rows are contexts, usage records (some repeated, some invalid), tool calls and messages; the history repeats messages a few seconds
 off, and knows sessions without a rollout.
 """
 
@@ -22,7 +22,7 @@ _ISO = "date_format(timestamp_seconds({}), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
 _EVENTS = f"SELECT event_id AS e, user_id AS u, {START} + (event_id * 2593) % {DAYS * 86400} AS ts FROM {{events}}"
 #: A row that many records share: its fields are NULL, hence left out, where its kind has none.
 _ROLLOUT = f"""
-SELECT u, e, e % 7 AS left_out, to_json(named_struct('timestamp', {_ISO.format("ts")},
+SELECT u, e, e % {DAYS * 86400} % 7 AS left_out, to_json(named_struct('timestamp', {_ISO.format("ts")},
   'type', CASE e % 6 WHEN 0 THEN 'turn_context' WHEN 1 THEN 'token_usage_record' ELSE 'response_item' END,
   'payload', named_struct(
     'type', CASE WHEN e % 6 = 2 THEN 'function_call' WHEN e % 6 > 2 THEN 'message' END, 'role', CASE WHEN e % 6 > 2 THEN 'user' END,
@@ -54,7 +54,7 @@ def rollouts(spark: SparkSession, d: str) -> readers.Parts:
     rows = spark.sql(_ROLLOUT, events=events).unionByName(spark.sql(_META, events=events))
     copies = rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).where(F.col("left_out") != F.col("copy"))
     copies = copies.select(F.concat_ws("-", "u", "copy").alias("file"), "value", "e").repartition("file")
-    files = copies.sortWithinPartitions("file", F.col("e") >= 0, F.xxhash64("e")).select(F.concat_ws("\t", "file", "value"))
+    files = copies.sortWithinPartitions("file", F.col("e") >= 0, F.xxhash64(F.col("e") % (DAYS * 86400)), "e").select(F.concat_ws("\t", "file", "value"))
     history = spark.sql(_HISTORY, events=events)
     parts = readers.Parts(spark)
     readers.codex(parts, _CODEX, J.scan(spark, written(files, "rollouts"), packed=True), J.scan(spark, written(history, "history")))

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from loglens import rollout_queries
 from loglens.sources import jsonl as J
 
 
@@ -16,3 +17,12 @@ def test_packed_files_keep_their_paths_and_order(spark, tmp_path):
     (tmp_path / "pack").write_text('u/1\t{"a":"x\\ty"}\nu/1\t\nu/2\tno json\n')
     rows = J.scan(spark, str(tmp_path), packed=True).orderBy("ord").select("path", "line", F.col("j").isNotNull().alias("read")).collect()
     assert [tuple(r) for r in rows] == [("u/1", '{"a":"x\\ty"}', True), ("u/1", "", False), ("u/2", "no json", False)]
+
+
+def test_of_usage_records_of_one_time_the_first_event_counts(spark, tmp_path):
+    first, again = 499, 499 + 30 * 86400  # the time starts anew after so many events
+    events = [(e + 54 * k, u) for u in range(12) for k in range(4) for e in (first, again)]
+    spark.createDataFrame(events, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.session, r.ts, r.output) for r in rollout_queries.read_rollout_usage(spark, str(tmp_path)).collect()}
+    want = {(str(u), 1704067200.0 + (e * 2593) % (30 * 86400), e % 13) for u in range(12) for e in (first, first + 54, first + 108, first + 162)}
+    assert got == want
