@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm.common import table
+from loglens.llm.common import release, table
 
 HIDDEN, SEGMENT, BLOCK = 16, 128, 1024
 SAMPLE, EXCERPT, STEPS, BATCH, RATE, SEED = 1600, 480, 320, 128, 0.02, 11
@@ -215,22 +215,27 @@ def predict(docs: DataFrame, net: Network, carry: tuple[str, ...] = ("doc_id",))
     own = [] if "text" in carry else [F.col("text").cast("string").alias("_text")]
     made = docs.select(*carry, *own, F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)).alias("_letter"))
 
+    def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, keep = batch.column(at), batch.column(batch.num_columns - 1).to_pylist()
+        names, scores = [UNKNOWN] * len(keep), [0.0] * len(keep)
+        group: list[tuple[int, bytes]] = []
+        held = 0
+        for i in range(len(keep) + 1):
+            if i < len(keep) and keep[i] and net.langs:
+                group.append((i, texts[i].as_py().encode("utf-8", "replace")))
+                held += len(group[-1][1])
+            if group and (held >= GROUP_BYTES or i == len(keep)):
+                p = net.probabilities([t for _, t in group])
+                for (j, _), row in zip(group, p, strict=True):
+                    names[j], scores[j] = net.langs[row.argmax()], float(min(1.0, row.max()))
+                group, held = [], 0
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*carry, "lang_pred", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = batch.column(at), batch.column(batch.num_columns - 1).to_pylist()
-            names, scores = [UNKNOWN] * len(keep), [0.0] * len(keep)
-            group: list[tuple[int, bytes]] = []
-            held = 0
-            for i in range(len(keep) + 1):
-                if i < len(keep) and keep[i] and net.langs:
-                    group.append((i, texts[i].as_py().encode("utf-8", "replace")))
-                    held += len(group[-1][1])
-                if group and (held >= GROUP_BYTES or i == len(keep)):
-                    p = net.probabilities([t for _, t in group])
-                    for (j, _), row in zip(group, p, strict=True):
-                        names[j], scores[j] = net.langs[row.argmax()], float(min(1.0, row.max()))
-                    group, held = [], 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*carry, "lang_pred", "score"])
+            yield judged(batch)
+            del batch
+            release()
 
     kinds = dict(made.dtypes)
     return made.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", lang_pred string, score double")

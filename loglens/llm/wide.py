@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import stored
+from loglens.llm.common import release, stored
 from loglens.llm.components import components
 
 BITS, BOXES, CHAIN = 512, 32, 4
@@ -121,21 +121,26 @@ def _fingerprints(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     tables = np.arange(len(places), dtype=np.int64) << spec.width
     weights = np.int64(1) << np.arange(spec.width, dtype=np.int64)
 
+    def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps, keys = [], []
+        for text in batch.column(1):
+            hashes = shingles(text.as_py(), spec.shingle)
+            margin = 2 * votes(hashes) - len(hashes)
+            bits = margin > 0
+            fps.append(np.packbits(bits, bitorder="little").tobytes())
+            own = (bits[places] @ weights) | tables
+            weak = np.argsort(np.abs(margin)[places], axis=1, kind="stable")[:, :WEAK]
+            keys.append(np.concatenate([own, (own[:, None] ^ weights[weak]).ravel()]))
+        n = len(places) * (WEAK + 1)
+        flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * n), flat)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.binary()), lists], names=["doc_id", "text_key", "fp", "keys"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys = [], []
-            for text in batch.column(1):
-                hashes = shingles(text.as_py(), spec.shingle)
-                margin = 2 * votes(hashes) - len(hashes)
-                bits = margin > 0
-                fps.append(np.packbits(bits, bitorder="little").tobytes())
-                own = (bits[places] @ weights) | tables
-                weak = np.argsort(np.abs(margin)[places], axis=1, kind="stable")[:, :WEAK]
-                keys.append(np.concatenate([own, (own[:, None] ^ weights[weak]).ravel()]))
-            n = len(places) * (WEAK + 1)
-            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * n), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.binary()), lists], names=["doc_id", "text_key", "fp", "keys"])
+            yield made(batch)
+            del batch
+            release()
 
     return run
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from loglens.llm import wide
 
@@ -108,3 +109,10 @@ def test_odd_rows(spark):
         by.setdefault(r.root, []).append(r.doc_id)
     assert sorted((sorted(v, key=str) for v in by.values()), key=str) == [[1, 2, 8], [3, 5, 9, 9, None], [4], [6, 7]]
     assert wide.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_workers_give_memory_back_after_each_batch(monkeypatch):
+    given = []
+    monkeypatch.setattr(wide, "release", lambda: given.append(1))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b c"], "text_key": [2]})
+    assert sum(b.num_rows for b in wide._fingerprints(wide.Spec())(iter([batch, batch]))) == 2 and len(given) == 2
