@@ -10,7 +10,8 @@ of its two least certain bits (those with the closest majority) turned. The numb
 meets goes through the pigeonring: some chain of consecutive boxes keeps every prefix within floor(length * tau / BOXES),
 which loses no pair within `tau`; only then the full distance is taken.
 
-Keys grow with the number of texts beyond 2 ** 24 of them, so that chance meetings stay in proportion to the input.
+Keys grow by a bit with each doubling of the texts beyond 2 ** 16 of them, so that the share of entries that meet by chance,
+under (WEAK + 1) / 256, stays what it is; more bits need more tables.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ from loglens.llm.components import components
 BITS, BOXES, CHAIN = 512, 32, 4
 #: Keys of a text in a table: its own, and one for each of its least certain bits.
 WEAK = 2
-MIN_WIDTH = 24
+MIN_WIDTH, SPARE = 24, 8
+#: Tables whose buckets are first compared with their smallest node.
+SEEDS = 4
 COLD, BLOCK, CHUNK = 32, 1024, 4096
 
 _LANES = (np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(1, -1)
@@ -43,6 +46,11 @@ def difference(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def width_for(texts: int) -> int:
+    """Bits of a key: 2 ** SPARE keys a text or more."""
+    return max(MIN_WIDTH, texts.bit_length() + SPARE)
+
+
 @cache
 def tables_for(similarity: float, recall: float, width: int) -> int:
     """Tables that bring pairs of a similarity together with the given recall; the chance of one is drawn, with a fixed seed."""
@@ -174,8 +182,8 @@ def forest(fps: np.ndarray, tau: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(fps: DataFrame, postings: DataFrame, spec: Spec) -> DataFrame:
-    """fps (node, fp), postings (node, key) -> links (a, b) between nodes that connect all that met within tau bits."""
+def links(fps: DataFrame, pairs: DataFrame, spec: Spec) -> DataFrame:
+    """fps (node, fp), pairs (a, b) -> the pairs within tau bits."""
     tau = spec.tau
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,22 +191,57 @@ def links(fps: DataFrame, postings: DataFrame, spec: Spec) -> DataFrame:
             at = pa.array(within(_matrix(batch.column("fp_a")) ^ _matrix(batch.column("fp_b")), tau))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
+    one, two = fps.select(F.col("node").alias("a"), F.col("fp").alias("fp_a")), fps.select(F.col("node").alias("b"), F.col("fp").alias("fp_b"))
+    return pairs.distinct().join(one, "a").join(two, "b").mapInArrow(far, "a long, b long")
+
+
+def mixed_links(fps: DataFrame, met: DataFrame, spec: Spec) -> DataFrame:
+    """fps (node, fp), met (key, node, root) -> links (a, b) that connect, with the roots, all that met within tau bits.
+
+    Rows of one root are connected already. In a bucket only pairs of different roots are taken, so one that a single root fills
+    costs nothing. In a large bucket the rows of its most frequent root are compared in blocks with the others, and these
+    among themselves.
+    """
+    tau = spec.tau
+
     def block(group: pa.Table) -> pa.Table:
         nodes = group.column("node").to_numpy()
         pairs = np.array(forest(_matrix(group.column("fp")), tau), np.int64).reshape(-1, 2)
         return pa.table({"a": nodes[pairs[:, 0]], "b": nodes[pairs[:, 1]]})
 
-    sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(postings.join(sizes, "key"), "wide-postings")
-    cold = met.where(F.col("n") <= COLD).select("key", "node")
-    pairs = cold.withColumnRenamed("node", "a").join(cold.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b").distinct()
-    one, two = fps.select(F.col("node").alias("a"), F.col("fp").alias("fp_a")), fps.select(F.col("node").alias("b"), F.col("fp").alias("fp_b"))
-    near = pairs.join(one, "a").join(two, "b").mapInArrow(far, "a long, b long")
-    chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-    hot = met.where(F.col("n") > COLD).join(fps, "node").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    with_ = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("chunk")))
-    spread = hot.select("key", "node", "fp", "chunk", F.explode(with_).alias("with")).select("key", "node", "fp", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"))
-    return near.unionByName(spread.groupBy("key", "i", "j").applyInArrow(block, "a long, b long"))
+    shares = met.groupBy("key", "root").agg(F.count("*").alias("n"))
+    shares = shares.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main")).where("main.n < n")
+    shares = stored(shares.select("key", "n", F.col("main.root").alias("main"), F.col("main.n").alias("n_main")), "wide-mixed")
+    mixed = stored(met.join(shares, "key"), "wide-met")
+    cold = mixed.where(F.col("n") <= COLD).select("key", "node", "root")
+    other = cold.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    pairs = cold.withColumnRenamed("node", "a").join(other, "key").where("a < b AND root <> root_b").select("a", "b")
+    hot = mixed.where(F.col("n") > COLD).join(fps, "node")
+    main, place = F.col("root") == F.col("main"), F.xxhash64("node")
+    hot = hot.withColumn("few", F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int")).withColumn("many", F.ceil(F.col("n_main") / BLOCK).cast("int"))
+    hot = hot.withColumn("own", F.when(main, F.col("few") + F.pmod(place, F.col("many"))).otherwise(F.pmod(place, F.col("few"))).cast("int"))
+    with_ = F.when(main, F.sequence(F.lit(0), F.col("few") - 1)).otherwise(F.filter(F.sequence(F.lit(0), F.col("few") + F.col("many") - 1), lambda x: x != F.col("own")))
+    spread = hot.select("key", "node", "fp", "own", F.explode(with_).alias("with")).select("key", "node", "fp", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+    return links(fps, pairs, spec).unionByName(spread.groupBy("key", "i", "j").applyInArrow(block, "a long, b long"))
+
+
+def groups(fps: DataFrame, postings: DataFrame, spec: Spec) -> DataFrame:
+    """fps (node, fp), postings (node, key) -> (node, root), a row per node: what is linked, directly or through others, has
+    one root.
+
+    First the rows of each bucket of SEEDS tables are compared with its smallest node, which brings large groups together
+    at the cost of a pair per row; then all buckets with what is still apart in them, between roots.
+    """
+    sizes = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+    met = stored(postings.join(sizes, "key").select("key", "node", "first"), "wide-postings")
+    seeds = met.where((F.shiftright("key", spec.width) < SEEDS) & (F.col("node") != F.col("first")))
+    found = stored(components(links(fps, seeds.select(F.col("first").alias("a"), F.col("node").alias("b")), spec)), "wide-seeds")
+    of = stored(fps.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "wide-roots")
+    between = mixed_links(fps, met.select("key", "node").join(of, "node"), spec)
+    one, two = of.select(F.col("node").alias("a"), F.col("root").alias("root_a")), of.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    between = between.join(one, "a").join(two, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    last = stored(components(between), "wide-joined").select(F.col("node").alias("root"), F.col("root").alias("last"))
+    return of.join(last, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, recall: float = 0.95, shingle: int = 5) -> DataFrame:
@@ -208,13 +251,11 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, recall: float = 0.95,
     is a hash of the text. NULL, empty and wordless texts have the same fingerprint, all zero, and are one group. Texts with
     the same words in the same order are one group whatever their length. An empty table gives no rows; other columns are ignored.
     """
-    width = max(MIN_WIDTH, docs.count().bit_length())
-    spec = Spec(shingle, similarity, recall, width)
+    spec = Spec(shingle, similarity, recall, width_for(docs.count()))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key"))
     made = rows.mapInArrow(_fingerprints(spec), "doc_id long, text_key long, fp binary, keys array<long>")
     made = stored(made.withColumn("row", F.monotonically_increasing_id()), "wide-fingerprints")
     fps = stored(made.groupBy("fp").agg(F.min("row").alias("node")), "wide-distinct")
     postings = made.join(fps.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), F.explode(F.array_distinct("keys")).alias("key"))
-    roots = components(links(fps, postings, spec))
-    of = fps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    of = fps.join(groups(fps, postings, spec), "node").select("fp", "root")
     return made.select("doc_id", "text_key", "fp").join(of, "fp").select("doc_id", "text_key", "root")

@@ -116,3 +116,37 @@ def test_workers_give_memory_back_after_each_batch(monkeypatch):
     monkeypatch.setattr(wide, "release", lambda: given.append(1))
     batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b c"], "text_key": [2]})
     assert sum(b.num_rows for b in wide._fingerprints(wide.Spec())(iter([batch, batch]))) == 2 and len(given) == 2
+
+
+def test_keys_grow_with_the_texts_so_that_chance_meetings_do_not():
+    for texts in (1, 51_282, 256_410, 15_000_000, 3_000_000_000):
+        assert (wide.WEAK + 1) * texts / 2 ** wide.width_for(texts) <= (wide.WEAK + 1) / 256
+    assert wide.Spec(width=26).places().shape[0] > wide.Spec(width=24).places().shape[0]
+
+
+def test_a_large_group_needs_few_links(spark, monkeypatch):
+    rnd, real, seen = random.Random(13), wide.components, []
+    words = [f"v{rnd.randrange(3000)}" for _ in range(200)]
+    rows = [(k, edited(words, rnd, 0.9, 1.01)) for k in range(200)] + [(1000 + k, " ".join(f"z{k}y{i}" for i in range(50))) for k in range(50)]
+
+    def counted(edges):
+        seen.append(edges.where("a <> b").distinct().count())
+        return real(edges)
+
+    monkeypatch.setattr(wide, "components", counted)
+    got = {r.doc_id: r.root for r in wide.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({got[k] for k in range(200)}) == 1 and len(set(got.values())) == 51
+    assert sum(seen) < 200 * wide.SEEDS * (wide.WEAK + 1)
+
+
+def test_what_the_first_tables_leave_apart_is_found_in_the_others(spark):
+    rnd = random.Random(14)
+    nodes = np.sort(rnd.sample(range(10_000), 90)).astype(np.int64)
+    fps = [bytes([0xFF] * (k % 3 * 20) + [0] * (64 - k % 3 * 20)) for k in range(90)]
+    spec = wide.Spec()
+    keys = [(int(n), (wide.SEEDS + 1 << spec.width) + key) for k, n in enumerate(nodes) for key in (7, 8 + k % 5)]
+    keys += [(int(n), key) for k, n in enumerate(nodes) if k % 3 == 0 for key in (1, 2)]
+    got = wide.groups(spark.createDataFrame([(int(n), f) for n, f in zip(nodes, fps)], "node long, fp binary"), spark.createDataFrame(keys, "node long, key long"), spec)
+    got = {r.node: r.root for r in got.collect()}
+    assert len(got) == 90 and {got[int(n)] for n in nodes} == {int(nodes[k]) for k in range(3)}
+    assert all(got[int(n)] == nodes[k % 3] for k, n in enumerate(nodes))
