@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
@@ -36,6 +36,8 @@ from loglens.llm.common import release, stored, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG, BLOCK_CHARS, PART_CHARS, SET_BITS, GROUP_BLOCKS, FLUSH = 60, 10_000_000, 4_000_000, 60, 3840, 100_000
 MAX_ODD = 20
+#: What is cut, told apart, or decoded at a time; the character that marks where a text is cut.
+SLICE_BYTES, SLICE_UNITS, SLICE_IDS, MARK = 2_000_000, 800_000, 250_000, "\x01"
 HASH_KEYS, HASH_LIMIT = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 250_000
 PARTITIONS, COALESCE = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
 SPACE = "▁"
@@ -300,29 +302,78 @@ def _unpacked(packed: bytes) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
     return units, numbers[n : 2 * n], numbers[2 * n :]
 
 
-class _Units(dict):
-    """Chunk between spaces -> its units. A chunk stands for itself with a space mark ahead."""
-
-    def __init__(self, cut: str):
-        super().__init__()
-        self.rx, self.letter = re.compile(cut), re.compile(f"[{LETTERS}]")
-        # a mark that is cut off the letter ahead of it, as nothing else in a chunk of letters and that mark can be cut
-        self.marks = frozenset(c for c in map(chr, range(33, 127)) if not c.isalnum() and len(self.rx.split("a" + c)) == 2)
-
-    def __missing__(self, chunk: str) -> tuple[str, ...]:
-        if chunk.isalpha():
-            got: tuple[str, ...] = (SPACE + chunk,)
-        elif chunk[-1:] in self.marks and chunk[:-1].isalpha() and self.letter.match(chunk[-2]):
-            got = (SPACE + chunk[:-1], chunk[-1])
-        else:
-            got = tuple(u for u in self.rx.split(SPACE + chunk) if u)
-        self[chunk] = got
-        return got
+def _cutter(cut: str) -> Callable[[pa.Array], Iterator[tuple[int, pa.Array, np.ndarray]]]:
+    """Texts -> (row, units, ends) for stretches of about SLICE_BYTES of them: the first text's row, the units of all texts in
+    order, and where each text's units end. It cuts where the expression does, by putting a MARK there: texts with a MARK of
+    their own are cut by the expression itself."""
+    rx = re.compile(cut)
+    # what is cut off a letter ahead of it
+    marks = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and len(rx.split("a" + c)) == 2)
+    after = f"([{LETTERS}])([{marks}])" if marks else None
+
+    def units_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        seen = pc.replace_substring(texts, " ", SPACE)
+        seen = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(SPACE, texts.type), seen, pa.scalar("", texts.type)))
+        if pc.any(pc.match_substring(seen, MARK)).as_py():
+            found = [[u for u in rx.split(text) if u] for text in seen.to_pylist()]
+            return pa.array([u for us in found for u in us], texts.type), np.cumsum([len(us) for us in found])
+        runs = pc.any(pc.match_substring(seen, SPACE * 2)).as_py()
+        seen = pc.replace_substring(pc.replace_substring(seen, "\n", MARK + "\n" + MARK), SPACE, MARK + SPACE)
+        # a run of space marks is one unit's; each pass joins every other pair of what is left
+        for _ in range(2 * runs):
+            seen = pc.replace_substring(seen, SPACE + MARK + SPACE, SPACE * 2)
+        if after:
+            seen = pc.replace_substring_regex(seen, after, rf"\1{MARK}\2")
+        lists = pc.split_pattern(seen, MARK)
+        flat, offsets = lists.flatten(), np.asarray(lists.offsets)
+        full = pc.not_equal(flat, "")
+        ends = np.concatenate([[0], np.cumsum(np.asarray(full))])[offsets[1:] - offsets[0]]
+        return flat.filter(full), ends
+
+    def stretches(texts: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        size = np.cumsum(np.asarray(pc.binary_length(texts))) // SLICE_BYTES
+        starts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)] if len(texts) else []
+        for first, stop in zip(starts, starts[1:], strict=False):
+            yield first, *units_of(texts.slice(first, stop - first))
+
+    return stretches
+
+
+def _units(cut: str, n_sets: int) -> Callable:
+    """(block, text) -> (unit, first, bits0, ...): the distinct units of some texts with the blocks that hold them."""
+    cutter = _cutter(cut)
+
+    def made(held: list[tuple[pa.Array, np.ndarray]]) -> pa.RecordBatch:
+        coded = pa.chunked_array([units for units, _ in held]).unify_dictionaries().combine_chunks()
+        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+        pairs = np.unique(np.asarray(coded.indices).astype(np.int64) << 32 | np.concatenate([blocks for _, blocks in held]))
+        code, block = pairs >> 32, pairs & 0xFFFFFFFF
+        place = block % GROUP_BLOCKS
+        start = np.flatnonzero(np.diff(code, prepend=-1) | np.diff(block - place, prepend=-1))
+        bits = [np.bitwise_or.reduceat(np.where(place // SET_BITS == k, np.int64(1) << (place % SET_BITS), 0), start) for k in range(n_sets)]
+        columns = [coded.dictionary.take(pa.array(code[start])).cast(pa.string()), pa.array((block - place)[start], pa.int32()), *map(pa.array, bits)]
+        return pa.RecordBatch.from_arrays(columns, names=["unit", "first", *(f"bits{k}" for k in range(n_sets))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.Array, np.ndarray]] = []
+        for batch in batches:
+            blocks = np.asarray(batch.column(0)).astype(np.int64)
+            for first, units, ends in cutter(batch.column(1)):
+                if len(units):
+                    held.append((units.dictionary_encode(), np.repeat(blocks[first : first + len(ends)], np.diff(ends, prepend=0))))
+                if sum(len(units) for units, _ in held) >= SLICE_UNITS:
+                    yield made(held)
+                    held = []
+                    release()
+            del batch
+            release()
+        if held:
+            yield made(held)
+        del held
+        release()
 
-def _plain(text: str) -> bool:
-    """Whether the chunks between the text's spaces can be cut one by one: units hold no more than one space mark then."""
-    return "  " not in text and text[0] != " " and SPACE not in text
+    return run
 
 
 def _within(counts: np.ndarray) -> np.ndarray:
@@ -401,44 +452,34 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["block", "sub", "packed"])
 
 
-class _Ids(dict):
-    """Chunk between spaces -> the ids of its units, as bytes."""
-
-    def __init__(self, cut: str, known: dict[str, bytes]):
-        super().__init__()
-        self.units, self.known = _Units(cut), known
-
-    def of(self, units: Iterable[str]) -> bytes:
-        return b"".join([self.known[u] for u in units])
-
-    def __missing__(self, chunk: str) -> bytes:
-        got = self[chunk] = self.of(_Units.__missing__(self.units, chunk))
-        self.units.clear()
-        return got
-
-
 def _assembler(cut: str) -> Callable:
+    cutter = _cutter(cut)
+
     def assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-        known: dict[str, bytes] = {}
-        for packed in words.column("packed"):
-            units, counts, values = _unpacked(packed.as_py())
-            flat, ends = values.tobytes(), np.concatenate([[0], np.cumsum(4 * counts.astype(np.int64))]).tolist()
-            known.update(zip(units.to_pylist(), [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
-        chunks = _Ids(cut, known)
-        rows, ids, ends = [], bytearray(), [0]
-        for packed in texts.column("packed"):
-            batch = pa.ipc.open_stream(packed.as_buffer()).read_all()
-            rows += batch.column(0).chunks
-            for text in batch.column(1).to_pylist():
-                if text and _plain(text):
-                    ids += b"".join(map(chunks.__getitem__, text.split(" ")))
-                elif text:
-                    ids += chunks.of(u for u in chunks.units.rx.split(SPACE + text.replace(" ", SPACE)) if u)
-                ends.append(len(ids) // 4)
-        del known, chunks
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, "<i4")))
+        parts = [_unpacked(packed.as_py()) for packed in words.column("packed")]
+        known = pa.concat_arrays([units for units, _, _ in parts] or [pa.array([], pa.string())]).cast(pa.large_string())
+        counts = np.concatenate([[0], *(counts for _, counts, _ in parts)]).astype(np.int64)
+        values = np.concatenate([np.empty(0, "<i4"), *(values for *_, values in parts)])
+        pieces = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(values, pa.int32()))
+        del parts, counts, values
+        read = [pa.ipc.open_stream(packed.as_buffer()).read_all() for packed in texts.column("packed")]
+        whole = pa.concat_tables(read, promote_options="none").combine_chunks() if read else TEXTS.empty_table()
+        del read
+        ids, ends, total = [], [np.zeros(1, np.int64)], 0
+        for column in whole.column("text").chunks:
+            for _, units, stops in cutter(column):
+                at = pc.index_in(units, value_set=known)
+                if at.null_count:
+                    raise KeyError("a unit is not in the lexicon of its block")
+                taken = pieces.take(at)
+                ids.append(taken.flatten())
+                ends.append(total + np.asarray(taken.offsets).astype(np.int64)[stops])
+                total += len(ids[-1])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.concat_arrays(ids or [pa.array([], pa.int32())]))
+        made = pa.table({"row_id": whole.column("row_id"), "ids": lists})
+        del whole, known, pieces, ids
         release()
-        return pa.table({"row_id": pa.concat_arrays(rows) if rows else pa.array([], pa.int64()), "ids": lists})
+        return made
 
     return assemble
 
@@ -457,14 +498,10 @@ def encode(rows: DataFrame, model: Model) -> DataFrame:
     block = F.pmod(F.xxhash64("row_id", "text"), F.lit(n_blocks)).cast("int").alias("block")
     # the blocks of a unit are bits, as many columns of them as the corpus needs, up to GROUP_BLOCKS blocks a row
     width = min(n_blocks, GROUP_BLOCKS)
-    place = F.col("block") % GROUP_BLOCKS
-    # in projections of their own: beside explode, the block would be hashed from the whole text for every unit
-    split = own.select(block, F.split(marked(F.col("text")), model.cut, -1).alias("units"))
-    units = split.select("block", F.explode("units").alias("unit")).where("unit <> ''")
-    bit = lambda k: F.when(place.between(k, k + SET_BITS - 1), F.call_function("shiftleft", F.lit(1).cast("long"), place - k)).otherwise(0)
-    sets = [F.bit_or(bit(k)).alias(f"bits{k}") for k in range(0, width, SET_BITS)]
-    held = units.groupBy("unit", (F.col("block") - place).alias("first")).agg(*sets)
-    held = held.select("unit", "first", F.array(*[f"bits{k}" for k in range(0, width, SET_BITS)]).alias("bits"))
+    n_sets = -(-width // SET_BITS)
+    units = own.select(block, "text").mapInArrow(_units(model.cut, n_sets), "unit string, first int, " + ", ".join(f"bits{k} long" for k in range(n_sets)))
+    held = units.groupBy("unit", "first").agg(*[F.bit_or(f"bits{k}").alias(f"bits{k}") for k in range(n_sets)])
+    held = held.select("unit", "first", F.array(*[f"bits{k}" for k in range(n_sets)]).alias("bits"))
     wanted = {PARTITIONS: str(n_parts), COALESCE: "false", HASH_KEYS: str(HASH_LIMIT)}
     before = {k: spark.conf.get(k) for k in wanted}
     # each task groups the units of its part in memory, without sorting their edges
@@ -487,23 +524,28 @@ def encode(rows: DataFrame, model: Model) -> DataFrame:
     return both.applyInArrow(_assembler(model.cut), "row_id long, ids array<int>")
 
 
-def _decoder(model: Model) -> Callable[[np.ndarray], str]:
-    shown = model.shown
-
-    def decoded(ids: np.ndarray) -> str:
-        data = b"".join(map(shown.__getitem__, ids.tolist()))
-        return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
+def _decoder(model: Model) -> Callable[[pa.ListArray], Iterator[tuple[np.ndarray, str]]]:
+    """A column of ids -> the ids of each row, none for NULL, and the text that they show."""
+    shown = pa.array(model.shown, pa.large_binary())
+
+    def decoded(column: pa.ListArray) -> Iterator[tuple[np.ndarray, str]]:
+        flat, ends = np.asarray(column.values, dtype="<i4"), np.asarray(column.offsets).astype(np.int64)
+        size = ends[1:] // SLICE_IDS
+        starts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(column)] if len(column) else []
+        for first, stop in zip(starts, starts[1:], strict=False):
+            own = flat[ends[first] : ends[stop]]
+            found = shown.take(pa.array(own))
+            places = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(own) + 1] if len(own) else np.zeros(1, np.int64)
+            data = found.buffers()[2] if len(own) else None
+            data = memoryview(data) if data is not None else memoryview(b"")
+            bounds = (ends[first : stop + 1] - ends[first]).tolist()
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                text = bytes(data[places[a] : places[b]])
+                yield own[a:b], (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
 
     return decoded
 
 
-def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
-    """The arrays of a column, empty for NULL."""
-    flat, ends = np.asarray(column.values, dtype="<i4"), column.offsets.to_pylist()
-    for a, b in zip(ends, ends[1:], strict=False):
-        yield flat[a:b]
-
-
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
     """(row_id, ids) -> (row_id, text): pieces and bytes joined, the mark ahead of the text taken off; bytes that are no
     UTF-8 become U+FFFD. Ids of control pieces show nothing; NULL ids give an empty text."""
@@ -511,7 +553,7 @@ def decode(encoded: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([decoded(ids) for ids in _lists(batch.column(1))], pa.string())
+            texts = pa.array([text for _, text in decoded(batch.column(1))], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["row_id", "text"])
 
     return encoded.select("row_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "row_id long, text string")
@@ -530,12 +572,14 @@ def digests(encoded: DataFrame, model: Model, keep_ids: bool = False) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for ids in _lists(batch.column(1)):
-                text = decoded(ids)
+            for ids, text in decoded(batch.column(1)):
                 rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), len(text), hashlib.sha256(text.encode()).hexdigest()))
             columns = zip(*rows, strict=True) if rows else [()] * 4
             made = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            del rows
             yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + keep_ids], *made], names=names)
+            del batch, made
+            release()
 
     schema = "row_id long, " + ("ids array<int>, " if keep_ids else "") + DIGESTS
     return encoded.select("row_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, schema)

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -89,3 +90,26 @@ def test_query_digests(spark, tmp_path):
         text = (texts[r.doc_id] or "").replace("▁", " ")
         assert (r.n_pieces, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest())
         assert (r.decoded_chars, r.decoded_sha256) == (len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("size", [16_000_000, 50])
+def test_texts_are_cut_where_the_expression_cuts(monkeypatch, size):
+    monkeypatch.setattr(pieces, "SLICE_BYTES", size)
+    rnd, cut = random.Random(5), pieces.load().cut
+    texts = [*TEXTS, *random_texts(200), *("".join(rnd.choice("aé.,'\n ▁漢") for _ in range(rnd.randint(0, 30))) for _ in range(2000))]
+    for given in (texts, [t for t in texts if "\x01" not in (t or "")], [], [None]):
+        column, got = pa.array(given, pa.string()), []
+        for first, units, ends in pieces._cutter(cut)(column):
+            assert first == len(got)
+            got += [units[a:b].to_pylist() for a, b in zip([0, *ends], ends, strict=False)]
+        assert got == [[u for u in re.split(cut, pieces.SPACE + t.replace(" ", pieces.SPACE)) if u] if t else [] for t in given]
+
+
+def test_units_leave_a_task_once_with_all_their_blocks(monkeypatch):
+    monkeypatch.setattr(pieces, "GROUP_BLOCKS", 120)
+    blocks = [0, 59, 60, 119, 120, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(["one two one"] * 5 + [None])], names=["block", "text"])
+    rows = [r for b in pieces._units(pieces.load().cut, 2)(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["unit"], r["first"], r["bits0"], r["bits1"]) for r in rows) == sorted(
+        (u, *x) for u in ("▁one", "▁two") for x in ((0, 1 | 1 << 59, 1 | 1 << 59), (120, 1, 0))
+    )

@@ -136,7 +136,7 @@ def test_a_large_group_needs_few_links(spark, monkeypatch):
     monkeypatch.setattr(wide, "components", counted)
     got = {r.doc_id: r.root for r in wide.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len({got[k] for k in range(200)}) == 1 and len(set(got.values())) == 51
-    assert sum(seen) < 200 * wide.SEEDS * (wide.WEAK + 1)
+    assert sum(seen) < 200 * 4 * 3
 
 
 def test_what_the_first_tables_leave_apart_is_found_in_the_others(spark):
