@@ -20,9 +20,10 @@ from loglens.operators import settled
 DAY = 86400
 
 
-def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """The first row of each key in the given order. Spark keeps one row per key and task before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+def first_by(df: DataFrame, keys: list[str], order: list[Column | str], hashed: bool = False) -> DataFrame:
+    """The first row of each key in the given order. Spark keeps one row per key and task before the shuffle. hashed: rows are
+    sorted by a hash of the keys ahead of the keys, so that long keys are compared only where they are equal."""
+    w = Window.partitionBy(*([F.xxhash64(*keys)] if hashed else []), *keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 

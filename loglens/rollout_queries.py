@@ -20,9 +20,11 @@ from loglens.views import CUT, DAYS, NOW, START
 
 _ISO = "date_format(timestamp_seconds({}), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
 _EVENTS = f"SELECT event_id AS e, user_id AS u, {START} + (event_id * 2593) % {DAYS * 86400} AS ts FROM {{events}}"
-#: A row that many records share: its fields are NULL, hence left out, where its kind has none.
+#: Lines of records (file, u, e), a session's own one with e = -1. A row that many records share: its fields are NULL, hence
+#: left out, where its kind has none.
 _ROLLOUT = f"""
-SELECT u, e, e % {DAYS * 86400} % 7 AS left_out, to_json(named_struct('timestamp', {_ISO.format("ts")},
+SELECT concat_ws('\t', file, CASE WHEN e = -1 THEN concat('{{{{"type":"session_meta","timestamp":"2024-01-01T00:00:00Z","payload":{{{{"id":"', u,
+  '","originator":"codex-tui","cwd":"/gone/first"', CASE WHEN u % 2 = 0 THEN ',"source":"vscode"' ELSE '' END, '}}}}}}}}') ELSE to_json(named_struct('timestamp', {_ISO.format("ts")},
   'type', CASE e % 6 WHEN 0 THEN 'turn_context' WHEN 1 THEN 'token_usage_record' ELSE 'response_item' END,
   'payload', named_struct(
     'type', CASE WHEN e % 6 = 2 THEN 'function_call' WHEN e % 6 > 2 THEN 'message' END, 'role', CASE WHEN e % 6 > 2 THEN 'user' END,
@@ -31,12 +33,8 @@ SELECT u, e, e % {DAYS * 86400} % 7 AS left_out, to_json(named_struct('timestamp
     'name', CASE WHEN e % 6 = 2 THEN concat('tool', e % 4) END, 'call_id', CASE WHEN e % 6 = 2 THEN concat('c', (e div 6) % 40) END,
     'response_id', CASE WHEN e % 6 = 1 THEN concat('r', (e div 6) % 40) END,
     'usage', CASE WHEN e % 6 = 1 THEN named_struct('input_tokens', 100 + e % 97, 'cached_input_tokens', e % 120, 'output_tokens', CASE WHEN e % 11 = 0 THEN -1 ELSE e % 13 END, 'reasoning_output_tokens', e % 4) END,
-    'content', CASE WHEN e % 6 > 2 THEN array(named_struct('type', 'input_text', 'text', concat(CASE WHEN e % 6 = 5 THEN '<injected> ' ELSE 'ask ' END, e))) END))) AS value
-FROM ({_EVENTS}) AS x
-"""
-_META = """
-SELECT DISTINCT user_id AS u, CAST(-1 AS BIGINT) AS e, CAST(-1 AS BIGINT) AS left_out, concat('{{"type":"session_meta","timestamp":"2024-01-01T00:00:00Z","payload":{{"id":"', user_id,
-  '","originator":"codex-tui","cwd":"/gone/first"', CASE WHEN user_id % 2 = 0 THEN ',"source":"vscode"' ELSE '' END, '}}}}') AS value FROM {events}
+    'content', CASE WHEN e % 6 > 2 THEN array(named_struct('type', 'input_text', 'text', concat(CASE WHEN e % 6 = 5 THEN '<injected> ' ELSE 'ask ' END, e))) END))) END) AS value
+FROM (SELECT file, u, e, {START} + (e * 2593) % {DAYS * 86400} AS ts FROM {{records}}) AS x
 """
 _HISTORY = f"""
 SELECT CASE WHEN e % 500 = 3 THEN to_json(named_struct('session_id', concat('x', u), 'ts', ts, 'text', concat('alone ', e)))
@@ -51,13 +49,15 @@ _CODEX = config(None, NOW, (NOW - CUT) // 86400, "codex")
 def rollouts(spark: SparkSession, d: str) -> readers.Parts:
     """The reader's parts over events, written as rollouts and history."""
     events = spark.read.parquet(f"{d}/events.parquet")
-    rows = spark.sql(_ROLLOUT, events=events).unionByName(spark.sql(_META, events=events))
-    copies = rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).where(F.col("left_out") != F.col("copy"))
-    copies = copies.select(F.concat_ws("-", "u", "copy").alias("file"), "value", "e").repartition("file")
-    files = copies.sortWithinPartitions("file", F.col("e") >= 0, F.xxhash64(F.col("e") % (DAYS * 86400)), "e").select(F.concat_ws("\t", "file", "value"))
+    # records are dealt and sorted by their keys; the lines are made where they are written
+    keys = events.select(F.col("user_id").alias("u"), F.col("event_id").alias("e"), (F.col("event_id") % (DAYS * 86400) % 7).alias("left_out"))
+    keys = keys.unionByName(events.select(F.col("user_id").alias("u"), F.lit(-1).cast("long").alias("e"), F.lit(-1).cast("long").alias("left_out")).distinct())
+    copies = keys.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).where(F.col("left_out") != F.col("copy"))
+    copies = copies.select(F.concat_ws("-", "u", "copy").alias("file"), "u", "e").repartition("file")
+    files = spark.sql(_ROLLOUT, records=copies.sortWithinPartitions("file", F.col("e") >= 0, F.xxhash64(F.col("e") % (DAYS * 86400)), "e"))
     history = spark.sql(_HISTORY, events=events)
     parts = readers.Parts(spark)
-    readers.codex(parts, _CODEX, J.scan(spark, written(files, "rollouts"), packed=True), J.scan(spark, written(history, "history")))
+    readers.codex(parts, _CODEX, J.scan(spark, written(files, "rollouts"), packed=True, parse=False), J.scan(spark, written(history, "history")))
     return parts
 
 

@@ -119,7 +119,8 @@ def claude_code(parts: Parts, cfg: Config, raw: DataFrame | None = None) -> None
 
 
 def codex(parts: Parts, cfg: Config, raw: DataFrame | None = None, typed: DataFrame | None = None) -> None:
-    """raw, typed: the lines of the rollouts and of the typed history, as J.scan() gives them; those below home unless given."""
+    """raw, typed: the lines of the rollouts and of the typed history, as J.scan() gives them (raw without j); those below home
+    unless given."""
     agent, base = "codex", f"{cfg.home}/.codex"
     given = raw is not None or typed is not None
     if not given and not os.path.isdir(base):
@@ -138,16 +139,22 @@ def codex(parts: Parts, cfg: Config, raw: DataFrame | None = None, typed: DataFr
         bad(h.where(~ok))
         # the numbers are read by two plans below, so they are fixed here
         history = settled(h.where(ok & inside).select("session", "ts", "text", F.monotonically_increasing_id().alias("id")))
-    raw = raw if given else J.lines(spark, f"{base}/sessions")
+    raw = raw if given else J.lines(spark, f"{base}/sessions", parse=False)
     if raw is None:
-        raw = spark.createDataFrame([], "path string, ord struct<block:bigint,line:bigint>, line string").withColumn("j", F.expr("try_parse_json(line)"))
+        raw = spark.createDataFrame([], "path string, ord struct<block:bigint,line:bigint>, line string")
     parts.notes["files"][agent] = lambda: [files + raw.select("path").distinct().count()] * 2
-    rows = J.once(raw, type=J.string("$.type"))
-    metas = sequence.first_by(rows.where("type = 'session_meta'"), ["path"], ["ord"]).select("path", "j", F.coalesce(J.shown("$.payload.id"), J.shown("$.payload.session_id")).alias("session"))
+    # most lines can't be a session's record, which shows without parsing them
+    heads = J.once(J.parsed(raw.where(J.may_say("session_meta"))), type=J.string("$.type"))
+    metas = sequence.first_by(heads.where("type = 'session_meta'"), ["path"], ["ord"]).select("path", "j", F.coalesce(J.shown("$.payload.id"), J.shown("$.payload.session_id")).alias("session"))
     metas = settled(metas.where("session IS NOT NULL"))
     told(raw.select("path").distinct().join(metas.select("path"), "path", "left_anti"), "missing_session_metadata")
+    rows = J.once(J.parsed(raw), type=J.string("$.type"), ts=J.seconds("$.timestamp"), shaped=J.at("$.payload").isNull() | J.is_object("$.payload"))
+    rows = rows.withColumn("good", F.col("j").isNotNull() & F.col("ts").isNotNull() & F.col("shaped"))
+    # contexts and counters count from before the window on; what does not count is left out ahead of the shuffle
+    rows = rows.where(~F.col("good") | inside | F.col("type").isin("turn_context", "event_msg"))
+    rows = rows.select("path", "good", "ts", "type", F.when(F.col("good"), F.col("j")).alias("j"), _ord().alias("o"), F.col("j").isNull().alias("unread"))
     of = metas.select("path", "session")
-    kept = rows.join(F.broadcast(of) if metas.count() <= 10_000 else of, "path", "left").where("j IS NULL OR session IS NOT NULL")
+    kept = rows.join(F.broadcast(of) if metas.count() <= 10_000 else of.hint("shuffle_hash"), "path", "left").where("unread OR session IS NOT NULL")
     meta = metas.groupBy("session").agg(F.max_by("j", "path").alias("m"))
     meta = meta.select("session", J.shown("$.payload.cwd", "m").alias("meta_cwd"), J.shown("$.payload.originator", "m").alias("originator"), J.shown("$.payload.thread_source", "m").alias("thread"), J.string("$.payload.source", "m").alias("src"), J.is_object("$.payload.source", "m").alias("nested"))
     typed_in = history.select("session").distinct().withColumn("typed", F.lit(True))
@@ -158,21 +165,20 @@ def codex(parts: Parts, cfg: Config, raw: DataFrame | None = None, typed: DataFr
     info = info.select("session", "meta_cwd", "typed", F.when((F.col("src") == "vscode") & (surface == "cli"), "vscode").otherwise(surface).alias("surface"), auto.alias("auto"))
     told(history.select("session").distinct().join(metas.select("session"), "session", "left_anti"), "history_without_rollout")
 
-    kept = J.once(kept, ts=J.seconds("$.timestamp"), shaped=J.kind("$.payload").isNull() | J.is_object("$.payload"))
-    good = F.col("j").isNotNull() & F.col("ts").isNotNull() & F.col("shaped")
-    bad(kept.where(~good))
-    # contexts and counters count from before the window on
-    events = kept.where(good & (inside | F.col("type").isin("turn_context", "event_msg")))
-    events = J.once(events.select("session", "ts", "type", "j", _ord().alias("o")), canon=F.to_json("j"))
-    events = J.once(sequence.first_by(events, ["session", "canon"], ["o"]), pt=J.string("$.payload.type"))
-    order = ["ts", "o"]
+    # one pass keeps what counts and the lines that can't be used; those stay with their file and are never equal
+    kept = kept.select("good", F.when(F.col("good"), F.col("session")).otherwise(F.col("path")).alias("place"), "ts", "type", "j", "o", F.when(~F.col("good"), F.col("o")).alias("own"))
+    events = J.once(kept.repartition("place"), canon=F.to_json("j"))
+    events = sequence.first_by(events, ["place", "good", "canon", "own"], ["o"], hashed=True).drop("canon", "own")
+    events, of_one, order = J.once(events, pt=J.string("$.payload.type")), ["place", "good"], ["ts", "o"]
     context = F.when(F.col("type") == "turn_context", F.struct(J.shown("$.payload.model").alias("model"), J.shown("$.payload.effort").alias("effort")))
     turn_cwd = F.when(F.col("type") == "turn_context", J.shown("$.payload.cwd"))
-    events = events.withColumn("ctx", sequence.carried(context, ["session"], order)).withColumn("turn", sequence.carried(turn_cwd, ["session"], order))
-    events = events.join(info, "session").withColumn("cwd", F.coalesce("turn", "meta_cwd")).select("session", "ts", F.col("o").alias("ord"), "type", "pt", "j", "canon", "cwd", "meta_cwd", F.col("ctx.model").alias("model"), F.col("ctx.effort").alias("effort"), "surface", "auto", F.lit(agent).alias("agent"))
+    events = events.withColumn("ctx", sequence.carried(context, of_one, order)).withColumn("turn", sequence.carried(turn_cwd, of_one, order))
+    events = events.join(info.withColumnRenamed("session", "place"), "place", "left").withColumn("cwd", F.coalesce("turn", "meta_cwd")).select("good", F.col("place").alias("session"), "ts", F.col("o").alias("ord"), "type", "pt", "j", "cwd", "meta_cwd", F.col("ctx.model").alias("model"), F.col("ctx.effort").alias("effort"), "surface", "auto", F.lit(agent).alias("agent"))
     events = settled(events)
+    bad(events.where("NOT good"))
+    events, canon = events.where("good"), F.to_json("j")
 
-    calls = events.where(inside & (F.col("type") == "response_item") & F.col("pt").isin("function_call", "custom_tool_call")).withColumn("call", F.coalesce(J.shown("$.payload.call_id"), F.col("canon")))
+    calls = events.where(inside & (F.col("type") == "response_item") & F.col("pt").isin("function_call", "custom_tool_call")).withColumn("call", F.coalesce(J.shown("$.payload.call_id"), canon))
     calls = sequence.first_by(calls, ["session", "call"], ["ts", "ord"])
     none = F.lit(None).cast("string")
     parts.add("tools", calls.select("ts", "agent", "session", F.coalesce(J.string("$.payload.name"), F.lit("")).alias("name"), none.alias("file_path"), none.alias("skill"), "ord"))
@@ -182,7 +188,7 @@ def codex(parts: Parts, cfg: Config, raw: DataFrame | None = None, typed: DataFr
     bad(msgs.where(odd))
     joined = F.expr("array_join(transform(filter(blocks, b -> coalesce(schema_of_variant(try_variant_get(b, '$.text', 'variant')), 'STRING') = 'STRING'), b -> coalesce(try_variant_get(b, '$.text', 'string'), '')), ' ')")
     cands = msgs.where(~odd).withColumn("blocks", J.array("$.payload.content")).withColumn("text", T.strip(F.coalesce(joined, F.lit(""))))
-    cands = cands.where((F.col("text") != "") & ~_starts(F.col("text"), INJECTED)).withColumn("id", F.xxhash64("session", "canon"))
+    cands = cands.where((F.col("text") != "") & ~_starts(F.col("text"), INJECTED)).withColumn("id", F.xxhash64("session", canon))
     left = history.withColumn("key", T.strip(F.col("text"))).withColumn("id", F.concat(F.lit("h"), F.col("id").cast("string")))
     right = cands.select("session", F.col("text").alias("key"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("id"), "ts", "cwd", "ord")
     pairs = sequence.greedy_matches(left.select("session", "key", "id", "ts"), right.select("session", "key", "id", "ts"), ["session", "key"], 5.0)
@@ -196,7 +202,7 @@ def codex(parts: Parts, cfg: Config, raw: DataFrame | None = None, typed: DataFr
     alone = right.join(pairs.select("session", F.col("right_id").alias("id")), ["session", "id"], "left_anti").join(info, "session")
     parts.add("prompts", alone.select("ts", F.lit(agent).alias("agent"), "session", F.col("key").alias("text"), "cwd", "surface", F.col("auto").alias("is_automation"), "ord"))
 
-    records = events.where(inside & (F.col("type") == "token_usage_record")).withColumn("rid", F.coalesce(J.shown("$.payload.response_id"), F.col("canon")))
+    records = events.where(inside & (F.col("type") == "token_usage_record")).withColumn("rid", F.coalesce(J.shown("$.payload.response_id"), canon))
     records = sequence.first_by(records, ["session", "rid"], ["ts", "ord"])
     fresh = J.amount("$.payload.usage", "input_tokens") - J.amount("$.payload.usage", "cached_input_tokens")
     records = J.once(records, ok=J.valid_numbers("$.payload.usage", USAGE_FIELDS) & (fresh >= 0)).persist()
