@@ -34,6 +34,12 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """side for a join that sorts and spills. Spark takes what is read of files, or exploded, at the size of its files, however many
+    rows they unpack to or are made of each, and so might send through the driver a side that grows with the input."""
+    return side.hint("merge")
+
+
 def lookup(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """rows joined (inner or left) with side, which has a row per key at most; rows should be stored, as they are read twice.
     Keys of more than a thousandth of all rows, of which there are under a thousand, are broadcast; the others are shuffled."""

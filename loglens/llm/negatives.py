@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loglens.llm.common import release, stored, table
+from loglens.llm.common import release, shuffled, stored, table
 
 POSITIVES, NEGATIVES = 5, 3
 ANCHOR_EVERY, SHIFTED_EVERY, LABELS = 50, 7, 10
@@ -134,29 +134,30 @@ def _gather(most: int, exact: bool, same: bool) -> Callable:
 def select(rows: DataFrame, anchors: DataFrame, n_rows: int, n_anchors: int, windows: DataFrame, most: int, same: bool, exact: bool) -> DataFrame:
     """The first `most` rows of each window (ablock, anchor_id, positive_id, hi, span), by falling score, then id: (anchor_id,
     positive_id, vec_id, score, rank). rows and anchors are blocks(), n_rows and n_anchors of them; same: rows of the
-    anchor's label other than itself, else rows of other labels."""
+    anchor's label other than itself, else rows of other labels. Its joins are never broadcast: what is copied to each block
+    of rows or packed in arrays is far larger than Spark makes it out to be."""
     widest = windows.agg(F.max("span").alias("span")).first().span
     rounds = -(-max(1, int(widest or 0).bit_length()) // DIGIT)
     a = anchors.select("ablock", F.col("ids").alias("aids"), F.col("labels").alias("alabels"), F.col("flat").alias("aflat"))
     spread = a.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("rblock"))
     everywhere = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_anchors - 1))).alias("ablock"))
-    pairs = everywhere.join(spread, ["ablock", "rblock"])
+    pairs = everywhere.join(shuffled(spread), ["ablock", "rblock"])
 
     def over(state: DataFrame, run: Callable, schema: str) -> DataFrame:
         packed = state.groupBy("ablock").agg(F.collect_list(F.struct(*WINDOW, "hi", "span", "prefix")).alias("w"))
         packed = packed.select("ablock", *[F.col(f"w.{f}").alias(f"w_{f}") for f in (*WINDOW, "hi", "span", "prefix")])
         # the windows of a block of anchors go to each block of rows, as the anchors do
         packed = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("rblock"))
-        return pairs.join(packed, ["ablock", "rblock"]).mapInArrow(run, schema)
+        return pairs.join(shuffled(packed), ["ablock", "rblock"]).mapInArrow(run, schema)
 
     state = windows.select("ablock", *WINDOW, "hi", "span", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("above"), F.lit(False).alias("whole"))
     for r in reversed(range(rounds)):
         counts = over(state.where("NOT whole"), _count(r * DIGIT, exact, same), "anchor_id long, positive_id long, digit long, n long")
-        counts = counts.groupBy(*WINDOW, "digit").agg(F.sum("n").alias("n")).join(state.select(*WINDOW, "above"), WINDOW)
+        counts = counts.groupBy(*WINDOW, "digit").agg(F.sum("n").alias("n")).join(shuffled(state.select(*WINDOW, "above")), WINDOW)
         upto = F.col("above") + F.sum("n").over(Window.partitionBy(*WINDOW).orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
         reached = counts.withColumn("upto", upto).where(F.col("upto") >= most)
         found = reached.groupBy(*WINDOW).agg(F.min(F.struct("digit", (F.col("upto") - F.col("n")).alias("before"))).alias("x"))
-        state = state.join(found, WINDOW, "left")
+        state = state.join(shuffled(found), WINDOW, "left")
         # too few rows: the window is taken whole
         whole = F.col("whole") | F.col("x").isNull()
         prefix = F.when(whole, F.col("prefix")).otherwise(F.shiftleft("prefix", DIGIT) + F.col("x.digit"))
@@ -194,9 +195,9 @@ def mine(rows: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES
     # 50 p <= 100 s <= 95 p, without products that overflow; no score does for p below zero
     p = F.col("positive_score")
     lo, hi = F.expr("positive_score DIV 2 + positive_score % 2"), F.expr("positive_score DIV 20 * 19 + positive_score % 20 * 19 DIV 20")
-    wanted = near.where(p >= 0).join(at, "anchor_id").select("ablock", *WINDOW, hi.alias("hi"), (hi - lo).alias("span")).where("span >= 0")
+    wanted = near.where(p >= 0).join(shuffled(at), "anchor_id").select("ablock", *WINDOW, hi.alias("hi"), (hi - lo).alias("span")).where("span >= 0")
     found = select(rs, ks, n_rows, n_anchors, stored(wanted, "negatives-windows"), negatives, False, exact)
-    return found.join(near, WINDOW).select(*WINDOW, F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+    return found.join(shuffled(near), WINDOW).select(*WINDOW, F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,14 @@ def test_empty_lonely_and_large(spark, tmp_path):
     assert sorted(tuple(r) for r in negatives.mine(frame(big)).collect()) == slow(big)  # beyond what doubles add exactly
     with pytest.raises(ValueError, match="fit a long"):
         negatives.mine(frame([(0, [1e30], 1)]))
+
+
+def test_no_join_is_broadcast(spark, tmp_path, monkeypatch):
+    """What is copied to each block of rows is many times the size that Spark takes it at."""
+    plans, keep = [], negatives.stored
+    monkeypatch.setattr(negatives, "stored", lambda df, name: plans.append((name, df)) or keep(df, name))
+    rows = spark.createDataFrame([(k, [k % 5 + 1.0, k % 3 + 1.0], k % 2) for k in range(200)], "vec_id long, embedding array<float>, label int")
+    plans.append(("result", negatives.mine(rows)))
+    for name, df in plans:
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString(), name
+    assert {"negatives-state", "negatives-positives", "result"} <= {name for name, _ in plans}
