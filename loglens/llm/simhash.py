@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm.common import stored, table
+from loglens.llm.common import shuffled, stored, table
 from loglens.llm.components import components
 
 SHINGLE, SEED = 4, 42
@@ -138,12 +138,13 @@ def _block(group: pa.Table) -> pa.Table:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Distinct fps (fp) -> links (a, b) that connect all fingerprints within TAU bits of each other."""
+    """Distinct fps (fp) -> links (a, b) that connect all fingerprints within TAU bits of each other. No join is broadcast:
+    postings are many rows a fingerprint, which Spark doesn't count."""
     postings = fps.select("fp", F.explode(index_keys(F.col("fp"))).alias("key"))
     sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(postings.join(sizes, "key"), "postings")
+    met = stored(postings.join(shuffled(sizes), "key"), "postings")
     cold = met.where(F.col("n") <= COLD).select("key", "fp")
-    pairs = cold.select("key", F.col("fp").alias("a")).join(cold.select("key", F.col("fp").alias("b")), "key").where("a < b")
+    pairs = cold.select("key", F.col("fp").alias("a")).join(shuffled(cold.select("key", F.col("fp").alias("b"))), "key").where("a < b")
     near = pairs.where(chain_condition("a", "b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= TAU).select("a", "b")
     hot = met.where(F.col("n") > COLD).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     spread = hot.select("key", "fp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with")).select("key", "fp", "chunk", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"))
@@ -162,10 +163,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fps = stored(fingerprints(docs), "fingerprints")
     own = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fps")
     roots = components(links(own.select("fp"))).withColumnRenamed("node", "fp")
-    of = own.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    of = own.join(shuffled(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = of.join(least, "root").select("fp", "component_id", "root")
-    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key", "root")
+    of = of.join(shuffled(least), "root").select("fp", "component_id", "root")
+    return fps.join(shuffled(of), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key", "root")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from loglens.llm import simhash
+from loglens.llm import components, simhash
 
 
 def slow_fingerprint(text):
@@ -91,3 +91,20 @@ def test_near_duplicates_with_odd_rows(spark):
     assert [r.fingerprint for r in got if r.doc_id == 5] == [f"{slow_fingerprint(base):016x}"]
     assert by[(1, "0" * 16)] == 1 and [v for (d, _), v in by.items() if d == 4] == [4]
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_large_side_is_broadcast(spark, monkeypatch):
+    """Postings are 70 rows a fingerprint, which Spark takes at the size of the fingerprints' file."""
+    plans = []
+
+    def recorded(keep):
+        return lambda df, name: plans.append((name, df)) or keep(df, name)
+
+    monkeypatch.setattr(simhash, "stored", recorded(simhash.stored))
+    monkeypatch.setattr(components, "stored", recorded(components.stored))
+    monkeypatch.setattr(components, "FEW", -1)
+    docs = spark.createDataFrame([(k, f"a b c d e {k // 2}") for k in range(40)], "doc_id long, text string")
+    plans.append(("result", simhash.near_duplicates(docs)))
+    for name, df in plans:
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString(), name
+    assert {"postings", "edges", "result"} <= {name for name, _ in plans}
