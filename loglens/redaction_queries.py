@@ -95,8 +95,9 @@ def redact_planted(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
     planted = F.get(F.array(*[F.lit(p) for p in PLANTED]), (F.col("doc_id") % len(PLANTED)).cast("int"))
     rows = docs.select("doc_id", F.concat("text", F.lit("\n"), planted, F.lit(" end")).alias("text"))
-    counted = F.concat_ws(",", *[F.when(n > 0, F.concat(F.lit(f"{k}="), n)) for k, n in redact.counts(F.col("text"), HOME).items()])
-    return rows.select("doc_id", redact.scrub(F.col("text"), HOME).alias("text"), counted.alias("counts"))
+    done = rows.select("doc_id", F.inline(F.array(redact.scrubbed(F.col("text"), HOME))))
+    counted = F.concat_ws(",", *[F.when(F.get("n", F.lit(i)) > 0, F.concat(F.lit(f"{k}="), F.get("n", F.lit(i)))) for i, k in enumerate(redact.kinds(HOME))])
+    return done.select("doc_id", "text", counted.alias("counts"))
 
 
 _PLANTED_SQL = _CASE.format(*[_q(p) for p in PLANTED])

@@ -9,6 +9,7 @@ from loglens.operators import sequence
 from loglens.plans import coaching, stats
 from loglens.queries import QUERIES
 from loglens.sources.config import config
+from loglens.redaction_queries import HOME, PLANTED, redact_planted
 
 
 def reactions(spark, texts):
@@ -212,3 +213,20 @@ def test_figures_over_hourly_usage(spark):
         assert sorted(map(repr, figure(hours).collect())) == sorted(map(repr, figure(u).collect())), figure.__name__
     for figure in (stats.agents, stats.projects, stats.busiest_hour, stats.words):
         assert sorted(map(repr, figure(p, hours).collect())) == sorted(map(repr, figure(p, u).collect())), figure.__name__
+
+
+def test_redaction_counts_and_text_in_one_pass(spark):
+    """Each rule once; counts beside the text took every rule again for each later one."""
+    odd = ["", None, "x" * 32, "é" + "A1b2" * 9, "+44 20 7946 0958", "Passw0rd!" + "é" * 55, "0" + "é" * 61 + "!A", "A!" + "é" * 61 + "0", "npm_" + "a1" * 16, "basic " + "t0ken." * 4]
+    texts = odd + [f"{a}{mid}{b}" for mid in (" ", "\n", ".") for a in PLANTED for b in PLANTED]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string")
+    t = F.col("text")
+    done = df.select("k", F.inline(F.array(redact.scrubbed(t, HOME))))
+    slow = t
+    for kind, pattern, new in redact._home_rule(HOME) + redact.RULES:
+        slow = redact._change(kind, pattern, new)(slow)  # without guards
+    want = {r.k: r for r in df.select("k", slow.alias("text"), F.array(*redact.counts(t, HOME).values()).alias("n")).collect()}
+    for r in done.collect():
+        assert (r.text, r.n) == (want[r.k].text, [n or 0 for n in want[r.k].n]), texts[r.k]
+    plan = redact_planted(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("long-string") <= 2  # before: once for each later use
