@@ -230,3 +230,15 @@ def test_redaction_counts_and_text_in_one_pass(spark):
         assert (r.text, r.n) == (want[r.k].text, [n or 0 for n in want[r.k].n]), texts[r.k]
     plan = redact_planted(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("long-string") <= 2  # before: once for each later use
+
+
+def test_words_of_the_rules_are_those_of_the_reference(spark):
+    """Text, and what Python's re and the SQL both make of it; Java's words took joiners in and left fractions out."""
+    key, hash_ = "ghp_" + "a1" * 12, "A1b2" * 9
+    cases = {
+        "call 415-555-2671²": "call 415-555-2671²", "call 415-555-2671Ⓐ": "call [phone]Ⓐ", "Bearer abcdefghijklmnopqrst‍": "Bearer [redacted]‍", f"½{key}": f"½{key}",
+        f"x {hash_}½": f"x {hash_}½", f"Ⓐ{hash_} x": "[redacted] x", f"́{key} x": "́[redacted:key] x", "éwww 4²A5b!cdef": "éwww [redacted]",
+    }
+    df = spark.createDataFrame(list(cases.items()), "text string, want string")
+    for r in df.select("text", "want", redact.scrub(F.col("text")).alias("got")).collect():
+        assert r.got == r.want, r.text
