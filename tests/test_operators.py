@@ -9,7 +9,7 @@ from loglens.operators import sequence
 from loglens.plans import coaching, stats
 from loglens.queries import QUERIES
 from loglens.sources.config import config
-from loglens.redaction_queries import HOME, PLANTED, redact_planted
+from loglens.redaction_queries import HOME, ORACLES, PLANTED, redact_planted
 
 
 def reactions(spark, texts):
@@ -242,3 +242,13 @@ def test_words_of_the_rules_are_those_of_the_reference(spark):
     df = spark.createDataFrame(list(cases.items()), "text string, want string")
     for r in df.select("text", "want", redact.scrub(F.col("text")).alias("got")).collect():
         assert r.got == r.want, r.text
+
+
+def test_planted_lines_behind_odd_characters_equal_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["call 415-555-2671²", "call 415-555-2671Ⓐ x", "basic abcdefghijklmnopqrst‍ x", "x " + "A1b2" * 9 + "½ x", "́ghp_" + "a1" * 12]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts * 3)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in redact_planted(spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(db.execute(ORACLES["redact_planted"]).fetchall())
